@@ -29,8 +29,11 @@ from gridloom.llm.hashing import BASE, mix, span_hashes
 
 SKETCH = 64
 LEADER_ROUNDS = 3
-#: Sets below this size use runs of two retained values, larger ones (and an overlap of sizes) runs of three.
+#: Sets up to this size use runs of two retained values, larger ones (and an overlap of sizes) runs of four.
 SMALL, LARGE = 15, 12
+#: A list of more members is a crowded one.  Linked sets share far more than ``CROWDED_KEYS`` lists, so a set
+#: with fewer crowded lists shares an uncrowded one with each partner and leaves its crowded ones.
+CROWDED, CROWDED_KEYS = 256, 4
 #: The estimate has a deviation below 0.05 at 64 values; pairs further below the threshold than this are dropped.
 ESTIMATE_SLACK = 0.3
 
@@ -149,11 +152,23 @@ def connected_labels(edges: DataFrame) -> DataFrame:
 
 
 def _run_keys(classes: DataFrame) -> DataFrame:
-    """rep, n, key: a row for each run of adjacent values in a class's sketch."""
+    """rep, key: a row for each run of adjacent values in a class's sketch."""
     runs = lambda width: F.expr(f"transform(sequence(0, size(sketch) - {width}), i -> xxhash64({width}, {', '.join(f'get(sketch, i + {j})' for j in range(width))}))")
-    two = F.when((F.col("n") <= SMALL) & (F.col("n") >= 2), runs(2)).otherwise(F.array().cast("array<long>"))
-    three = F.when((F.col("n") >= LARGE) & (F.col("n") >= 3), runs(3)).otherwise(F.array().cast("array<long>"))
-    return classes.select("rep", "n", F.explode(F.array_distinct(F.concat(two, three))).alias("key"))
+    none = F.array().cast("array<long>")
+    two = F.when((F.col("n") <= SMALL) & (F.col("n") >= 2), runs(2)).otherwise(none)
+    four = F.when(F.col("n") >= LARGE, runs(4)).otherwise(none)
+    return classes.select("rep", F.explode(F.array_distinct(F.concat(two, four))).alias("key"))
+
+
+def _lists(classes: DataFrame) -> DataFrame:
+    """rep, n, key of all lists with several members, without crowded ones that a class can do without."""
+    keys = _run_keys(classes)
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    lists = materialise(keys.join(shared, "key"))
+    crowded = lists.filter(F.col("members") > CROWDED)
+    bound = crowded.groupBy("rep").agg(F.count("*").alias("k")).filter(F.col("k") >= CROWDED_KEYS).select("rep")
+    kept = lists.filter(F.col("members") <= CROWDED).union(crowded.join(bound, "rep", "left_semi").select(*lists.columns))
+    return kept.join(classes.select("rep", "n"), "rep").select("rep", "n", "key")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -173,9 +188,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
 
-    keys = _run_keys(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    lists = materialise(keys.join(shared, "key"))
+    lists = materialise(_lists(classes))
     labels = _link(lists, classes, texts, width, percent, sketch)
 
     placed = classes.select("signature", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("signature", F.coalesce("label", "rep").alias("component"))
