@@ -2,16 +2,18 @@
 
 One 63-bit hash function serves everything.  A document's set of shingle hashes,
 sorted, starts with its bottom-k sketch.  Equal sets are folded into one class
-first.  Inverted lists are keyed by *runs* of adjacent retained values: two sets
-of Jaccard similarity 0.8 share such a run but for one pair in some 10**10
-(sets that fit the sketch whole always do), while documents that merely quote
-the same passage hardly ever do, so lists of common passages stay short.
-
-Every list names a leader, and members are compared with leaders, never all with
-all.  Compared pairs pass the similarity estimate from the union's sketch, then
-the exact count on whole sets.  What is linked is contracted to components, and
-only members of one list that are still in different components meet again: with
-other leaders, and at last each with each, so that no link is lost.
+first.  Inverted lists hold each class under its rarest retained values only: as
+two linked sketches differ in few values, the rarest value that they share is among
+so many rarest ones of both.  Passages that many documents quote are common values
+and stay out of the lists, unless a document hardly holds anything else.
+
+The classes that meet another one in a list are listed once more by their whole sets,
+where that number is exact.  Every list names a leader, and members are compared with
+leaders, never all with all.  Compared pairs pass the similarity estimate from the
+union's sketch, then the exact count on whole sets.  What is linked is contracted to
+components, and only members of one list that are still in different components meet
+again: with other leaders, and at last those whose counts of shared values allow a
+link at all, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -21,27 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import id_and_text, materialise, text_slices
 from gridloom.llm.hashing import BASE, mix, span_hashes
 
-SKETCH = 64
+SKETCH = 128
 LEADER_ROUNDS = 3
-#: Sets up to this size use runs of two retained values, larger ones (and an overlap of sizes) runs of four.
-SMALL, LARGE = 15, 12
-#: A list of more members is a crowded one.  Linked sets share far more than ``CROWDED_KEYS`` lists, so a set
-#: with fewer crowded lists shares an uncrowded one with each partner and leaves its crowded ones.
-CROWDED, CROWDED_KEYS = 256, 4
-#: The estimate has a deviation below 0.05 at 64 values; pairs further below the threshold than this are dropped.
-ESTIMATE_SLACK = 0.3
+#: Sampling deviations by which two sketches may differ more than their sets: one pair in some 10**9 goes beyond.
+DEVIATIONS = 6.5
+#: The estimate has a deviation below 0.04 at 128 values; pairs further below the threshold than this are dropped.
+ESTIMATE_SLACK = 0.25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct hashes of ``width`` adjacent words.
 
@@ -99,16 +99,17 @@ def sketches(texts: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id and the packed whole set, for documents that stand in a compared pair."""
+    """doc_id and the sorted whole set, for documents whose sketch meets another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
-                packed = [row.tobytes() for row in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(packed, pa.binary())], ["doc_id", "whole"])
+                parts = list(shingle_sets(data, offsets, width))
+                bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))], ["doc_id", "whole"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, whole binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, whole array<long>")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             common, union = [], []
             for x, y in zip(batch.column("whole_a"), batch.column("whole_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                p, q = x.values.to_numpy(), y.values.to_numpy()
                 c = len(np.intersect1d(p, q, assume_unique=True))
                 common.append(c)
                 union.append(len(p) + len(q) - c)
@@ -151,24 +152,44 @@ def connected_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _run_keys(classes: DataFrame) -> DataFrame:
-    """rep, key: a row for each run of adjacent values in a class's sketch."""
-    runs = lambda width: F.expr(f"transform(sequence(0, size(sketch) - {width}), i -> xxhash64({width}, {', '.join(f'get(sketch, i + {j})' for j in range(width))}))")
-    none = F.array().cast("array<long>")
-    two = F.when((F.col("n") <= SMALL) & (F.col("n") >= 2), runs(2)).otherwise(none)
-    four = F.when(F.col("n") >= LARGE, runs(4)).otherwise(none)
-    return classes.select("rep", F.explode(F.array_distinct(F.concat(two, four))).alias("key"))
+def _rarest(sets: DataFrame, need: Column) -> DataFrame:
+    """rep, n, alone, weight, value: a row for each value that lists a class.
+
+    ``sets`` has rep, n and the array ``row``.  Values are ordered by the classes that hold them, then by
+    themselves.  Of the ``need`` first of a class those that no other class holds (``alone`` in all) list
+    nothing; ``weight`` is how many classes hold a value of this class, on average.
+    """
+    values = sets.select("rep", "n", F.size("row").alias("size"), F.explode("row").alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    held = values.join(shared, "value").groupBy("rep", "n", "size").agg(F.array_sort(F.collect_list(F.struct("members", "value"))).alias("held"))
+    alone = F.col("size") - F.size("held")
+    weight = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["members"]) / F.col("size")
+    few = held.withColumns({"alone": alone, "weight": weight, "rest": need - alone}).filter("rest > 0")
+    return few.select("rep", "n", "alone", "weight", F.explode(F.slice("held", F.lit(1), F.col("rest"))).alias("x")).select("rep", "n", "alone", "weight", "x.value")
+
+
+def whole_need(percent: int) -> Column:
+    """Of so many rarest values of a set of n, one at least is among as many of each linked set."""
+    return (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+
+
+def sketch_need(percent: int, k: int) -> Column:
+    """The same for the sketches.
+
+    Of the k least values of the union of two linked sets each is in both with a probability of percent / 100
+    at least, drawn without replacement from a union of at most n * 100 / percent.
+    """
+    share, n = percent / 100, F.col("n")
+    spread = F.greatest(F.lit(0.0), 1 - (k - 1) / F.greatest(F.lit(1.0), n / share - 1))
+    common = F.floor(share * k - DEVIATIONS * F.sqrt(share * (1 - share) * k * spread))
+    sampled = F.when(n > share * k, F.least(n, F.lit(k)) - common + 1).otherwise(0)
+    return F.least(F.lit(k), F.greatest(sampled, F.when(n <= k, whole_need(percent)).otherwise(0))).cast("int")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """rep, n, key of all lists with several members, without crowded ones that a class can do without."""
-    keys = _run_keys(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    lists = materialise(keys.join(shared, "key"))
-    crowded = lists.filter(F.col("members") > CROWDED)
-    bound = crowded.groupBy("rep").agg(F.count("*").alias("k")).filter(F.col("k") >= CROWDED_KEYS).select("rep")
-    kept = lists.filter(F.col("members") <= CROWDED).union(crowded.join(bound, "rep", "left_semi").select(*lists.columns))
-    return kept.join(classes.select("rep", "n"), "rep").select("rep", "n", "key")
+def _met(lists: DataFrame) -> DataFrame:
+    """rep of the classes that share a list with another class."""
+    several = lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
+    return lists.join(several, "value").select("rep").distinct()
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -182,14 +203,17 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat an id should repeat its text, and repeat its result.
     """
     if not 80 <= percent <= 100:
-        raise ValueError("percent must be from 80 to 100: the inverted lists are laid out for such links")
+        raise ValueError("percent must be from 80 to 100: the sketches are laid out for such links")
     texts = id_and_text(df, id_col, text_col)
     docs = materialise(sketches(texts, width, sketch))
     classes = docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes)
 
-    lists = materialise(_lists(classes))
-    labels = _link(lists, classes, texts, width, percent, sketch)
+    met = materialise(_met(_rarest(classes.withColumnRenamed("sketch", "row"), sketch_need(percent, sketch))))
+    sets = whole_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    sets = materialise(sets.select(F.col("doc_id").alias("rep"), F.size("whole").cast("long").alias("n"), "whole"))
+    lists = materialise(_rarest(sets.withColumnRenamed("whole", "row"), whole_need(percent)))
+    labels = _link(lists, sets, percent, sketch)
 
     placed = classes.select("signature", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("signature", F.coalesce("label", "rep").alias("component"))
     # Documents without shingles get a key of their own, so that they don't meet in one task.
@@ -202,18 +226,16 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _link(lists: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """node, label of the classes that are linked with others (columns of lists: rep, n, key)."""
-    listed = lists.select(F.col("rep")).distinct()
-    sets = materialise(whole_sets(texts.join(listed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)).withColumnRenamed("doc_id", "rep")
-    small = materialise(classes.join(listed, "rep", "left_semi").select("rep", "n", "sketch"))
-    labels = listed.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """node, label of the classes that may be linked with others."""
+    listed = sets.select(F.col("rep").alias("node"))
+    labels = listed.withColumn("label", F.col("node"))
     edges = tested = None
     for turn in range(LEADER_ROUNDS + 1):
-        marked = lists.select("rep", "n", "key").join(labels.withColumnRenamed("node", "rep"), "rep")
+        marked = lists.select("rep", "n", "alone", "weight", "value").join(labels.withColumnRenamed("node", "rep"), "rep")
         # Lists whose members are all in one component are settled for good.
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        lists = materialise(marked.join(open_keys, "key"))
+        still_open = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value")
+        lists = materialise(marked.join(still_open, "value"))
         if lists.isEmpty():
             break
         pairs = _pairs(lists, turn, percent)
@@ -222,41 +244,45 @@ def _link(lists: DataFrame, classes: DataFrame, texts: DataFrame, width: int, pe
         pairs = materialise(pairs)
         if pairs.isEmpty():
             continue
-        found = materialise(_verify(pairs, small, sets, percent, k))
+        found = materialise(_verify(pairs, sets, percent, k))
         tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.union(found)
         moved = connected_labels(edges)
-        labels = materialise(listed.withColumnRenamed("rep", "node").join(moved, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        labels = materialise(listed.join(moved, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     return labels
 
 
 def _pairs(marked: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs a < b to compare in this turn; marked has key, rep, n, label, of lists with several labels."""
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and label <> other")
+    """Pairs a < b to compare in this turn; marked has value, rep, n, alone, weight, label, of lists with several labels."""
+    # At most the values that are not alone can be common to both.
+    fits = F.expr(f"100 * least(n - alone, m - other_alone) >= {percent} * (n + m - least(n - alone, m - other_alone)) and label <> other")
     ordered = F.expr("struct(least(rep, head) as a, greatest(rep, head) as b)")
+    head = {"rep": "head", "n": "m", "alone": "other_alone", "label": "other"}
     if turn < LEADER_ROUNDS:
-        rank = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "rep"), F.col("rep"), F.col("n"), F.col("label"))
-        heads = marked.groupBy("key").agg(F.min(rank).alias("x"))
-        heads = heads.select("key", F.col("x.rep").alias("head"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
-        met = marked.join(heads, "key").filter(fits)
+        # A set whose values many others hold leads first: of copies with edits the one with the fewest.
+        first = -F.col("weight") if turn < 2 else F.xxhash64("rep").cast("double")
+        heads = marked.groupBy("value").agg(F.min(F.struct(first.alias("first"), *head)).alias("x")).select("value", *[F.col(f"x.{c}").alias(as_) for c, as_ in head.items()])
+        meet = marked.join(heads, "value").filter(fits)
         if turn:
-            return met.select(ordered.alias("p")).select("p.*").distinct()
+            return meet.select(ordered.alias("p")).select("p.*").distinct()
         # At first each class meets only the leader with which it shares most lists.
-        votes = met.groupBy("rep", "head").agg(F.count("*").alias("votes"))
+        votes = meet.groupBy("rep", "head").agg(F.count("*").alias("votes"))
         return votes.groupBy("rep").agg(F.min_by("head", F.struct(-F.col("votes"), F.col("head"))).alias("head")).select(ordered.alias("p")).select("p.*").distinct()
     # Members that leaders left in different components: what is not compared yet is compared now.
-    other = marked.select("key", F.col("rep").alias("head"), F.col("n").alias("m"), F.col("label").alias("other"))
-    return marked.join(other, "key").filter(fits & (F.col("rep") < F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    other = marked.select("value", *[F.col(c).alias(as_) for c, as_ in head.items()])
+    return marked.join(other, "value").filter(fits & (F.col("rep") < F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs that are linked: the union's sketch estimates, whole sets decide."""
-    side = lambda frame, name, *cols: frame.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    drawn = pairs.join(side(small, "a", "sketch"), "a").join(side(small, "b", "sketch"), "b")
+    drawn = pairs
+    for name in ("a", "b"):
+        drawn = drawn.join(sets.select(F.col("rep").alias(name), F.slice("whole", 1, k).alias(f"sketch_{name}")), name)
     drawn = drawn.withColumn("u", F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k))
     both = F.size(F.array_intersect(F.array_intersect("u", "sketch_a"), "sketch_b"))
-    near = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select("a", "b")
-    whole = near.join(side(sets, "b", "whole"), "b").join(side(sets, "a", "whole"), "a").select("a", "b", "whole_a", "whole_b")
-    return _overlaps(whole).filter(f"100 * common >= {percent} * total").select("a", "b")
+    whole = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select("a", "b")
+    for name in ("b", "a"):
+        whole = whole.join(sets.select(F.col("rep").alias(name), F.col("whole").alias(f"whole_{name}")), name)
+    return _overlaps(whole.select("a", "b", "whole_a", "whole_b")).filter(f"100 * common >= {percent} * total").select("a", "b")
