@@ -77,39 +77,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
         yield np.unique(row >> np.uint64(1)).astype(np.int64) if len(row) else np.zeros(0, np.int64)
 
 
-def sketches(texts: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
-    """doc_id, n (size of the whole set), signature (of the whole set), sketch (its k least hashes)."""
+def signatures(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (size of the whole set) and signature (of the whole set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
-                sizes, marks, parts = [], [], []
+                sizes, marks = [], []
                 for row in shingle_sets(data, offsets, width):
                     sizes.append(len(row))
                     marks.append(hashlib.blake2b(row.tobytes(), digest_size=16).digest())
-                    parts.append(row[:k])
-                bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))],
-                    ["doc_id", "n", "signature", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n", "signature"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n long, signature binary, sketch array<long>")
+    return texts.mapInArrow(run, f"doc_id {kind}, n long, signature binary")
 
 
-def whole_sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id and the sorted whole set, for documents whose sketch meets another one."""
+def sorted_sets(texts: DataFrame, width: int, k: int | None = None) -> DataFrame:
+    """doc_id, n (size of the whole set) and row: the sorted set, or its ``k`` least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
-                parts = list(shingle_sets(data, offsets, width))
+                sets = list(shingle_sets(data, offsets, width))
+                parts = [row[:k] for row in sets]
                 bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))], ["doc_id", "whole"])
+                rows = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array([len(x) for x in sets], pa.int64()), rows], ["doc_id", "n", "row"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, whole array<long>")
+    return texts.mapInArrow(run, f"doc_id {kind}, n long, row array<long>")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -152,18 +149,19 @@ def connected_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _rarest(sets: DataFrame, need: Column) -> DataFrame:
+def _rarest(sets: DataFrame, need: Column, size: Column) -> DataFrame:
     """rep, n, alone, weight, value: a row for each value that lists a class.
 
-    ``sets`` has rep, n and the array ``row``.  Values are ordered by the classes that hold them, then by
-    themselves.  Of the ``need`` first of a class those that no other class holds (``alone`` in all) list
-    nothing; ``weight`` is how many classes hold a value of this class, on average.
+    ``sets`` has rep, n and the array ``row`` of ``size`` values.  Values are ordered by the classes that hold
+    them, then by themselves.  Of the ``need`` first of a class those that no other class holds (``alone`` in
+    all) list nothing; ``weight`` is how many classes hold a value of this class, on average.
     """
-    values = sets.select("rep", "n", F.size("row").alias("size"), F.explode("row").alias("value"))
+    values = sets.select("rep", F.col("n").cast("int").alias("n"), F.explode("row").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
-    held = values.join(shared, "value").groupBy("rep", "n", "size").agg(F.array_sort(F.collect_list(F.struct("members", "value"))).alias("held"))
-    alone = F.col("size") - F.size("held")
-    weight = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["members"]) / F.col("size")
+    # A repeated row counts its values twice, which lists more than is needed; the set keeps each once.
+    held = values.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_set(F.struct("members", "value"))).alias("held"))
+    alone = size - F.size("held")
+    weight = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["members"]) / size
     few = held.withColumns({"alone": alone, "weight": weight, "rest": need - alone}).filter("rest > 0")
     return few.select("rep", "n", "alone", "weight", F.explode(F.slice("held", F.lit(1), F.col("rest"))).alias("x")).select("rep", "n", "alone", "weight", "x.value")
 
@@ -205,14 +203,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100: the sketches are laid out for such links")
     texts = id_and_text(df, id_col, text_col)
-    docs = materialise(sketches(texts, width, sketch))
-    classes = docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes)
-
-    met = materialise(_met(_rarest(classes.withColumnRenamed("sketch", "row"), sketch_need(percent, sketch))))
-    sets = whole_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
-    sets = materialise(sets.select(F.col("doc_id").alias("rep"), F.size("whole").cast("long").alias("n"), "whole"))
-    lists = materialise(_rarest(sets.withColumnRenamed("whole", "row"), whole_need(percent)))
+    docs = materialise(signatures(texts, width))
+    classes = materialise(docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep")))
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    drawn = sorted_sets(texts, width, sketch).join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    met = materialise(_met(_rarest(drawn, sketch_need(percent, sketch), F.least(F.col("n"), F.lit(sketch)))))
+    sets = sorted_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    sets = materialise(sets.withColumnRenamed("doc_id", "rep"))
+    lists = materialise(_rarest(sets, whole_need(percent), F.col("n")))
     labels = _link(lists, sets, percent, sketch)
 
     placed = classes.select("signature", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("signature", F.coalesce("label", "rep").alias("component"))
@@ -279,10 +277,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFram
     """The pairs that are linked: the union's sketch estimates, whole sets decide."""
     drawn = pairs
     for name in ("a", "b"):
-        drawn = drawn.join(sets.select(F.col("rep").alias(name), F.slice("whole", 1, k).alias(f"sketch_{name}")), name)
+        drawn = drawn.join(sets.select(F.col("rep").alias(name), F.slice("row", 1, k).alias(f"sketch_{name}")), name)
     drawn = drawn.withColumn("u", F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k))
     both = F.size(F.array_intersect(F.array_intersect("u", "sketch_a"), "sketch_b"))
     whole = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select("a", "b")
     for name in ("b", "a"):
-        whole = whole.join(sets.select(F.col("rep").alias(name), F.col("whole").alias(f"whole_{name}")), name)
+        whole = whole.join(sets.select(F.col("rep").alias(name), F.col("row").alias(f"whole_{name}")), name)
     return _overlaps(whole.select("a", "b", "whole_a", "whole_b")).filter(f"100 * common >= {percent} * total").select("a", "b")
