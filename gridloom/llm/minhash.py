@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import id_and_text, materialise, text_slices
 from gridloom.llm.hashing import BASE, mix, span_hashes
 
-SKETCH = 128
+SKETCH = 64
 LEADER_ROUNDS = 3
 #: Sampling deviations by which two sketches may differ more than their sets: one pair in some 10**9 goes beyond.
 DEVIATIONS = 6.5
-#: The estimate has a deviation below 0.04 at 128 values; pairs further below the threshold than this are dropped.
-ESTIMATE_SLACK = 0.25
+#: The estimate has a deviation below 0.05 at 64 values; pairs further below the threshold than this are dropped.
+ESTIMATE_SLACK = 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,33 +77,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
         yield np.unique(row >> np.uint64(1)).astype(np.int64) if len(row) else np.zeros(0, np.int64)
 
 
-def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the whole set) and signature (of the whole set)."""
+def sketches(texts: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
+    """doc_id, n (size of the whole set), signature (of the whole set), sketch (its k least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
-                sizes, marks = [], []
+                sizes, marks, parts = [], [], []
                 for row in shingle_sets(data, offsets, width):
                     sizes.append(len(row))
                     marks.append(hashlib.blake2b(row.tobytes(), digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n", "signature"])
+                    parts.append(row[:k])
+                bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))],
+                    ["doc_id", "n", "signature", "sketch"],
+                )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n long, signature binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, n long, signature binary, sketch array<long>")
 
 
-def sorted_sets(texts: DataFrame, width: int, k: int | None = None) -> DataFrame:
-    """doc_id, n (size of the whole set) and row: the sorted set, or its ``k`` least hashes."""
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, n and row (the sorted whole set), for documents whose sketch meets another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
-                sets = list(shingle_sets(data, offsets, width))
-                parts = [row[:k] for row in sets]
-                bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+                parts = list(shingle_sets(data, offsets, width))
+                sizes = [len(p) for p in parts]
+                bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array([len(x) for x in sets], pa.int64()), rows], ["doc_id", "n", "row"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(sizes, pa.int64()), rows], ["doc_id", "n", "row"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(run, f"doc_id {kind}, n long, row array<long>")
@@ -203,12 +208,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100: the sketches are laid out for such links")
     texts = id_and_text(df, id_col, text_col)
-    docs = materialise(signatures(texts, width))
-    classes = materialise(docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    drawn = sorted_sets(texts, width, sketch).join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    met = materialise(_met(_rarest(drawn, sketch_need(percent, sketch), F.least(F.col("n"), F.lit(sketch)))))
-    sets = sorted_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    docs = materialise(sketches(texts, width, sketch))
+    classes = docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("row"))
+    classes = materialise(classes)
+    met = materialise(_met(_rarest(classes, sketch_need(percent, sketch), F.least(F.col("n"), F.lit(sketch)))))
+    sets = whole_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
     sets = materialise(sets.withColumnRenamed("doc_id", "rep"))
     lists = materialise(_rarest(sets, whole_need(percent), F.col("n")))
     labels = _link(lists, sets, percent, sketch)
