@@ -12,8 +12,8 @@ where that number is exact.  Every list names a leader, and members are compared
 leaders, never all with all.  Compared pairs pass the similarity estimate from the
 union's sketch, then the exact count on whole sets.  What is linked is contracted to
 components, and only members of one list that are still in different components meet
-again: with other leaders, and at last those whose counts of shared values allow a
-link at all, so that no link is lost.
+again: with other leaders, and at last those for which the place of a shared value
+allows a link at all, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -155,20 +155,22 @@ def connected_labels(edges: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, need: Column, size: Column) -> DataFrame:
-    """rep, n, alone, weight, value: a row for each value that lists a class.
+    """rep, n, at, weight, value: a row for each value that lists a class.
 
     ``sets`` has rep, n and the array ``row`` of ``size`` values.  Values are ordered by the classes that hold
-    them, then by themselves.  Of the ``need`` first of a class those that no other class holds (``alone`` in
-    all) list nothing; ``weight`` is how many classes hold a value of this class, on average.
+    them, then by themselves; ``at`` is a value's place in its class.  Of the ``need`` first of a class those
+    that no other class holds list nothing; ``weight`` is how many classes hold a value of this class, on average.
     """
     values = sets.select("rep", F.col("n").cast("int").alias("n"), F.explode("row").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    # In one number: the count, as far as it orders, above 48 bits of the hash.
+    key = F.shiftleft(F.least(F.col("members"), F.lit(32767)).cast("long"), 48) + F.shiftrightunsigned("value", 15)
     # A repeated row counts its values twice, which lists more than is needed; the set keeps each once.
-    held = values.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_set(F.struct("members", "value"))).alias("held"))
+    held = values.join(shared, "value").select("rep", "n", key.alias("key")).groupBy("rep", "n").agg(F.array_sort(F.collect_set("key")).alias("held"))
     alone = size - F.size("held")
-    weight = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["members"]) / size
+    weight = F.aggregate("held", F.lit(0.0), lambda a, x: a + F.shiftright(x, 48)) / size
     few = held.withColumns({"alone": alone, "weight": weight, "rest": need - alone}).filter("rest > 0")
-    return few.select("rep", "n", "alone", "weight", F.explode(F.slice("held", F.lit(1), F.col("rest"))).alias("x")).select("rep", "n", "alone", "weight", "x.value")
+    return few.select("rep", "n", "alone", "weight", F.posexplode(F.slice("held", F.lit(1), F.col("rest"))).alias("place", "value")).select("rep", "n", (F.col("alone") + F.col("place")).alias("at"), "weight", "value")
 
 
 def whole_need(percent: int) -> Column:
@@ -234,7 +236,7 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     labels = listed.withColumn("label", F.col("node"))
     edges = tested = None
     for turn in range(LEADER_ROUNDS + 1):
-        marked = lists.select("rep", "n", "alone", "weight", "value").join(labels.withColumnRenamed("node", "rep"), "rep")
+        marked = lists.select("rep", "n", "at", "weight", "value").join(labels.withColumnRenamed("node", "rep"), "rep")
         # Lists whose members are all in one component are settled for good.
         still_open = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value")
         lists = materialise(marked.join(still_open, "value"))
@@ -257,11 +259,11 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _pairs(marked: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs a < b to compare in this turn; marked has value, rep, n, alone, weight, label, of lists with several labels."""
-    # At most the values that are not alone can be common to both.
-    fits = F.expr(f"100 * least(n - alone, m - other_alone) >= {percent} * (n + m - least(n - alone, m - other_alone)) and label <> other")
+    """Pairs a < b to compare in this turn; marked has value, rep, n, at, weight, label, of lists with several labels."""
+    # In the list of the first value that both hold, nothing before it is common: so two linked sets pass in one list at least.
+    fits = F.expr(f"100 * least(n - at, m - other_at) >= {percent} * (n + m - least(n - at, m - other_at)) and label <> other")
     ordered = F.expr("struct(least(rep, head) as a, greatest(rep, head) as b)")
-    head = {"rep": "head", "n": "m", "alone": "other_alone", "label": "other"}
+    head = {"rep": "head", "n": "m", "at": "other_at", "label": "other"}
     if turn < LEADER_ROUNDS:
         # A set whose values many others hold leads first: of copies with edits the one with the fewest.
         first = -F.col("weight") if turn < 2 else F.xxhash64("rep").cast("double")
