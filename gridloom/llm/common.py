@@ -25,13 +25,26 @@ def hex_sha256(col: Column) -> Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+#: Removes a query's shuffle files at its end.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names."""
+    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
+
+    When it is written nothing reads the shuffles before it any more, and Spark may remove their files.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLE_CLEANUP)
+    conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(_SHUFFLE_CLEANUP, before)
 
 
 def text_slices(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
