@@ -47,7 +47,7 @@ def materialise(df: DataFrame) -> DataFrame:
         conf.set(_SHUFFLE_CLEANUP, before)
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a text column into runs of rows of about ``max_bytes`` (a longer text is a run of its own).
 
     Yields first row, end row, the run's UTF-8 bytes and its rows' offsets in them.

@@ -20,7 +20,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for n positions."""
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            row = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+            row = np.full(max(n, 1 << 19), base, dtype=np.uint64)
             row[0] = 1
             _powers[name] = np.multiply.accumulate(row)
     return _powers["up"], _powers["down"]
