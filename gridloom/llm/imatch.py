@@ -27,7 +27,7 @@ MIN_IDF, MAX_IDF = math.log(10), math.log(13_000)
 def term_hashes(text: Column) -> Column:
     """Sorted distinct 64-bit hashes of the lower-cased runs without white space or ASCII punctuation."""
     words = F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _slot(term: Column) -> Column:
@@ -68,13 +68,14 @@ def fingerprint(text_col: str, out_col: str, band: bytes):
                 bits = rate.bit_length() - 1
                 parts.append(f"transform(sequence(0, {SUBSETS - 1}), j -> filter(_terms, t -> (shiftright(t, {bits} * j) & {rate - 1}) = 0))")
             else:
-                # Disjoint subsets; only the terms of one of them are looked at more than once.
-                class_of = f"(shiftright(t, 32) & {rate - 1})"
-                df = df.withColumn(f"_r{rate}", F.expr(f"filter(_terms, t -> {class_of} < {SUBSETS})"))
-                parts.append(f"transform(sequence(0, {SUBSETS - 1}), j -> filter(_r{rate}, t -> {class_of} = j))")
+                # Disjoint: what a thin rate keeps is dealt by two bits, and each hand by two more.
+                kept = "_terms" if rate == SUBSETS else f"filter(_terms, t -> (shiftright(t, 36) & {rate // SUBSETS - 1}) = 0)"
+                hands = "transform(sequence(0, 3), i -> filter({0}, t -> (shiftright(t, {1}) & 3) = i))"
+                df = df.withColumn(f"_r{rate}", F.expr(kept)).withColumn(f"_h{rate}", F.expr(hands.format(f"_r{rate}", 34)))
+                parts.append(f"flatten(transform(_h{rate}, h -> {hands.format('h', 32)}))")
         sets = F.concat(*[F.expr(p) for p in parts])
         df = df.withColumn(out_col, F.transform(sets, hashed))
-        return df.drop("_all", "_in", "_terms", *[f"_r{r}" for r in RATES])
+        return df.drop("_all", "_in", "_terms", *[f"_{x}{r}" for r in RATES for x in "rh"])
 
     return add
 
@@ -102,22 +103,22 @@ def _buckets(texts: DataFrame, rows: int) -> Column:
     return F.floor((F.coalesce(F.col("doc_id"), F.lit(low)) - low) / width).cast("long")
 
 
-def with_next(df: DataFrame, bucket: Column, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, texts: DataFrame, bucket: Column, columns: list[str], add) -> DataFrame:
     """Adds next_<c> for each c of ``columns``: those of the next row by doc_id, after the last of the first.
 
     Rows of equal ids are ordered by text.  Rows are dealt by ``bucket``, runs of ids, and not sorted as
-    one: a run's last row meets the first of the next run.
+    one: a run's last row gets the first of the next run.  ``texts`` are the rows before ``add`` gave them their
+    columns; the runs' first rows are found there, so that no row is worked on twice.
     """
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    placed = df.withColumn("bucket", bucket)
+    heads = texts.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))
     # One row for each run of rows, so this sort is some thousand times smaller than the table.
-    runs = df.select(bucket.alias("bucket")).distinct()
-    ring = runs.select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.first("bucket").over(Window.orderBy("bucket"))).alias("after"))
-    inner = placed.withColumns({"place": F.row_number().over(order), "final": F.lead(F.lit(False), 1, True).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in columns})
-    first = inner.filter("place = 1").select(F.col("bucket").alias("after"), *[F.col(c).alias(f"next_{c}") for c in columns])
-    names = [*df.columns, *[f"next_{c}" for c in columns]]
-    last = inner.filter("final").drop(*[f"next_{c}" for c in columns]).join(ring, "bucket").join(first, "after")
-    return inner.filter("not final").select(*names).union(last.select(*names))
+    ring = heads.select(F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"), "doc_id")
+    first = texts.join(ring, texts["doc_id"].eqNullSafe(ring["doc_id"])).groupBy("bucket").agg(F.min("text").alias("text"))
+    first = add(first).select("bucket", *[F.col(c).alias(f"_first_{c}") for c in columns])
+    inner = df.withColumn("bucket", bucket)
+    inner = inner.withColumns({"_final": F.lead(F.lit(False), 1, True).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in columns}).join(first, "bucket", "left")
+    return inner.select(*df.columns, *[F.when(F.col("_final"), F.col(f"_first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
 
 
 def next_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 4096) -> DataFrame:
@@ -129,11 +130,11 @@ def next_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = id_and_text(df, id_col, text_col)
     band = lexicon_band(texts)
-    marked = fingerprint("text", "print", band)(texts)
+    add = fingerprint("text", "print", band)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    paired = with_next(marked, _buckets(texts, rows), ["text", "print"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print")
+    paired = with_next(add(texts), texts, _buckets(texts, rows), ["text", "print"], add).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print")
     out = fingerprint("edited", "edited_print", band)(paired)
     return out.select(
         "doc_id", "n_chars", "edited", fingerprint_text("print").alias("fingerprint"), fingerprint_text("edited_print").alias("edited_fingerprint"),
