@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -422,11 +421,10 @@ def _rice(bits: _Bits, at: np.ndarray, size: np.ndarray, order: int, out: np.nda
     return at
 
 
-def _runs(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes | None]]]:
+def _runs(column: pd.Series, most: int) -> Iterator[tuple[int, list[bytes | None]]]:
     """The column's values in runs of about ``most`` bytes, with each run's first row."""
     first, held, size = 0, [], 0
     for i, x in enumerate(column):
-        x = x.as_py()
         held.append(x)
         size += len(x or b"")
         if size >= most:
@@ -436,7 +434,7 @@ def _runs(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes | None]
         yield first, held
 
 
-def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 20) -> DataFrame:
+def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
     """Adds ``media_col``: the payload's bytes b as samples b - 128 of a lossless 8-bit mono FLAC stream.
 
     A null or empty payload gives null.  Equal payloads give equal bytes.
@@ -447,7 +445,7 @@ def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str =
         coder = Encoder()
         for batch in batches:
             out: list[bytes | None] = []
-            for _, run in _runs(pa.array(batch, pa.binary()), run_bytes):
+            for _, run in _runs(batch, run_bytes):
                 full = [x for x in run if x]
                 made = iter(coder.encode(full) if full else [])
                 out += [next(made) if x else None for x in run]
@@ -456,7 +454,7 @@ def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str =
     return df.withColumn(media_col, coded(F.col(payload_col)))
 
 
-def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 << 20) -> DataFrame:
+def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
     """Adds ``pcm`` (little-endian signed samples of the stream's byte width) and ``media_error``.
 
     Frame and stream checksums are verified; a stream that fails one, or is none, has null pcm and a reason
@@ -476,7 +474,7 @@ def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 <
 
         for batch in batches:
             out: list[tuple[bytes | None, str | None]] = []
-            for _, run in _runs(pa.array(batch, pa.binary()), run_bytes):
+            for _, run in _runs(batch, run_bytes):
                 full = [x for x in run if x is not None]
                 try:
                     made = iter([(raw(s, p), None) for s, p in zip(full, decode(full), strict=True)])
