@@ -9,12 +9,16 @@ are folded byte by byte over all frames together.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 BLOCK = 512
 RATE = 8000
@@ -421,17 +425,45 @@ def _rice(bits: _Bits, at: np.ndarray, size: np.ndarray, order: int, out: np.nda
     return at
 
 
-def _runs(column: pd.Series, most: int) -> Iterator[tuple[int, list[bytes | None]]]:
-    """The column's values in runs of about ``most`` bytes, with each run's first row."""
-    first, held, size = 0, [], 0
-    for i, x in enumerate(column):
-        held.append(x)
-        size += len(x or b"")
-        if size >= most:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of values of about ``most`` bytes (a longer value ends its run)."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        end = min(int(np.searchsorted(ends, before + most)) + 1, len(sizes))
+        yield first, end
+        first = end
+
+
+def _encoded(coder: Encoder, payloads: list[bytes | None]) -> list[bytes | None]:
+    full = [x for x in payloads if x]
+    made = iter(coder.encode(full) if full else [])
+    return [next(made) if x else None for x in payloads]
+
+
+def _decoded(streams: list[bytes | None]) -> list[tuple[bytes | None, str | None]]:
+    """Samples as bytes, or what is wrong with the stream."""
+
+    def raw(stream: bytes, pcm: np.ndarray) -> bytes:
+        return pcm.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (parse_info(stream)["depth"] + 7) // 8].tobytes()
+
+    def alone(stream: bytes) -> tuple[bytes | None, str | None]:
+        try:
+            return raw(stream, decode([stream])[0]), None
+        except (FlacError, IndexError, OverflowError) as e:
+            return None, str(e)
+
+    full = [x for x in streams if x is not None]
+    try:
+        made = iter([(raw(s, p), None) for s, p in zip(full, decode(full), strict=True)] if full else [])
+    except (FlacError, IndexError, OverflowError):
+        made = iter(map(alone, full))  # one bad stream: each by itself
+    return [next(made) if x is not None else (None, None) for x in streams]
+
+
+def _sizes(batch: pd.Series) -> np.ndarray:
+    return np.array([len(x or b"") for x in batch], dtype=np.int64)
 
 
 def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
@@ -444,12 +476,7 @@ def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str =
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Encoder()
         for batch in batches:
-            out: list[bytes | None] = []
-            for _, run in _runs(batch, run_bytes):
-                full = [x for x in run if x]
-                made = iter(coder.encode(full) if full else [])
-                out += [next(made) if x else None for x in run]
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([x for a, b in _runs(_sizes(batch), run_bytes) for x in _encoded(coder, batch[a:b].tolist())], dtype=object)
 
     return df.withColumn(media_col, coded(F.col(payload_col)))
 
@@ -463,29 +490,35 @@ def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 <
 
     @F.pandas_udf("pcm binary, media_error string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def raw(stream: bytes, pcm: np.ndarray) -> bytes:
-            return pcm.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (parse_info(stream)["depth"] + 7) // 8].tobytes()
-
-        def alone(stream: bytes) -> tuple[bytes | None, str | None]:
-            try:
-                return raw(stream, decode([stream])[0]), None
-            except (FlacError, IndexError, OverflowError) as e:
-                return None, str(e)
-
         for batch in batches:
-            out: list[tuple[bytes | None, str | None]] = []
-            for _, run in _runs(batch, run_bytes):
-                full = [x for x in run if x is not None]
-                try:
-                    made = iter([(raw(s, p), None) for s, p in zip(full, decode(full), strict=True)])
-                except (FlacError, IndexError, OverflowError):
-                    made = iter(map(alone, full))  # one bad stream: each by itself
-                out += [next(made) if x is not None else (None, None) for x in run]
-            yield pd.DataFrame(out, columns=["pcm", "media_error"])
+            yield pd.DataFrame([x for a, b in _runs(_sizes(batch), run_bytes) for x in _decoded(batch[a:b].tolist())], columns=["pcm", "media_error"])
 
     return df.withColumn("_decoded", decoded(F.col(media_col))).withColumns({"pcm": F.col("_decoded.pcm"), "media_error": F.col("_decoded.media_error")}).drop("_decoded")
 
 
+def store_and_read(df: DataFrame, describe: Callable[[bytes | None, bytes | None], tuple], fields: StructType, *, payload_col: str = "payload", run_bytes: int = 1 << 18) -> DataFrame:
+    """``encode_flac`` and ``decode_flac`` in one Python step, for readers that keep neither stream nor samples.
+
+    In place of ``payload_col`` come ``fields``, the values of ``describe(media, pcm)``, and ``media_error``.
+    A task holds one run of ``run_bytes`` of streams and samples, or one longer payload's, at a time.
+    """
+    schema = StructType([*df.drop(payload_col).schema.fields, *fields.fields, StructField("media_error", StringType())])
+    kinds = to_arrow_schema(StructType(schema.fields[-len(fields) - 1 :]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder()
+        for batch in batches:
+            payloads = batch.column(payload_col)
+            others = batch.drop_columns([payload_col])
+            for first, end in _runs(pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False), run_bytes):
+                media = _encoded(coder, payloads.slice(first, end - first).to_pylist())
+                rows = [(*describe(m, pcm), error) for m, (pcm, error) in zip(media, _decoded(media), strict=True)]
+                told = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*others.slice(first, end - first).columns, *told], [*others.schema.names, *kinds.names])
+
+    return df.mapInArrow(run, schema)
+
+
 def pcm_blocks(df: DataFrame, *, id_col: str = "doc_id", block: int = 4096, width: int = 1) -> DataFrame:
     """One row per block of ``block`` samples of ``pcm``: the id, block, sample_offset, samples and pcm.
 

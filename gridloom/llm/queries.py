@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import zlib
+from collections.abc import Callable
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm import flac, imatch, language, licenses, minhash, packing, pieces, pii, secrets, token_count
 from gridloom.llm.common import documents, hex_sha256, id_and_text
@@ -51,31 +54,21 @@ def padded_payloads(df: DataFrame) -> DataFrame:
     return raw.select("doc_id", "n_bytes", F.concat("raw", zeros).alias("payload"))
 
 
+#: What op5 tells of each stored payload.
+MEDIA_FIELDS = StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+
+
+def media_digest(media: bytes | None, pcm: bytes | None) -> tuple[int, str, int, int, str, str]:
+    """``MEDIA_FIELDS`` of a stream and the samples read from it."""
+    media, pcm = media or b"", np.frombuffer(pcm or b"", dtype=np.int8)
+    payload = (pcm.view(np.uint8) ^ 0x80).tobytes()
+    wide, below = pcm.astype(np.int64), pcm < 0
+    feature = f"samples={len(pcm)};peak={int(np.abs(wide).max(initial=0))};sum={int(wide.sum())};energy={int(wide @ wide)};crossings={int(np.count_nonzero(below[1:] != below[:-1]))}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = flac.encode_flac(padded_payloads(documents(spark, sf_dir))).drop("payload")
-    read = flac.decode_flac(stored)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import zlib
-
-        import numpy as np
-
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_error"]
-        for batch in batches:
-            rows = []
-            for media, pcm in zip(batch.column("media").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
-                pcm = np.frombuffer(pcm or b"", dtype=np.int8).astype(np.int64)
-                payload = (pcm + 128).astype(np.uint8).tobytes()
-                crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-                feature = f"samples={len(pcm)};peak={int(np.abs(pcm).max(initial=0))};sum={int(pcm.sum())};energy={int((pcm * pcm).sum())};crossings={crossings}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), feature))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], batch.column("media_error")], names)
-
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_error string")
+    return flac.store_and_read(padded_payloads(documents(spark, sf_dir)), media_digest, MEDIA_FIELDS)
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
