@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blanks credentials that only one source holds and that look live; widely copied examples stay.
+    """Blanks credentials that look live; examples that are widely copied among or within sources stay.
 
     No document goes; n_chars follows the changed text.
     """

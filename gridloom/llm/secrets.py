@@ -1,8 +1,9 @@
 """Secret scans in DataFrame operations only, weighed by who owns a value across the corpus.
 
 Patterns propose candidates; each candidate's hash is counted by distinct repositories and
-owners over all rows.  A value seen with several owners is a widely copied example; one that
-stays with a single owner and looks random is taken for a live credential.
+owners over all rows.  A value that a share of the corpus's owners hold, or that stands in many
+repositories of its owners, is a widely copied example; another one that looks random is taken for
+a live credential.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from gridloom.llm.common import materialise
 #: In the order in which kinds of equal start are listed; ``known`` is added to the three base kinds.
 KINDS = ("assign", "access", "hex", "known")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: To its END line, or where that is missing over the lines of its body; no dash run is read twice.
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-[^-]++){0,20}+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{40,}+)*+)"
 PATTERNS = {
     "assign": ASSIGN,
     # A maximal run decides for these two, so the least length can stand in the pattern.
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"[0-9a-f]{24,}+",
     # Public prefixes of issued credentials, and private key blocks.
-    "known": r"\b(?:gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk_live_[A-Za-z0-9]{16,250}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,1000})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "known": r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,}+)|" + KEY_BLOCK,
 }
 #: No pattern names these characters, and none matches U+0001, so matches can be marked with it.
 MARK, OTHER = "\x01", "\x02"
@@ -39,7 +42,7 @@ def _spans(text: str, kind: str) -> Column:
         end = acc["at"] + F.length(piece)
         v = value(piece)
         # Of mixed characters and enough different ones; a rough sign of randomness.
-        looks = (F.length(v) >= 16) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 8) & ~v.rlike(PLACEHOLDER) | v.startswith("-----BEGIN")
+        looks = (F.length(v) >= 16) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 8) & ~v.rlike(PLACEHOLDER) | v.rlike(r"^-----BEGIN[^-]*-----\s*[^\s-]")
         span = F.struct(acc["at"].alias("start"), F.lit(number).alias("number"), end.alias("end"), F.xxhash64(v).alias("value"), looks.alias("looks"))
         return F.struct(end.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
@@ -68,19 +71,24 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
+def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, most_owners: int = 1, owner_share: float = 0.05, most_repositories: int = 20, repository_share: float = 1e-4) -> DataFrame:
     """Each row's candidates with what the corpus says of their values.
 
     Returns the id column, candidates (array of start, number, end, value hash, looks; start and end are
-    code points, ``number`` indexes ``KINDS``), live (those of at most ``most_owners`` owners that look
-    random), n_live and n_shared (held by more owners).  Rows that repeat an id should repeat its text.
+    code points, ``number`` indexes ``KINDS``), live (those that look random and are not shared), n_live and
+    n_shared.  Shared are values of more owners than ``most_owners`` and ``owner_share`` of the corpus's owners,
+    or of more repositories an owner than ``most_repositories`` and ``repository_share`` of the corpus's
+    repositories.  Rows that repeat an id should repeat its text.
     """
     found = materialise(find_secrets(df, id_col=id_col, text_col=text_col, repository=repository, owner=owner))
     held = found.filter("size(candidates) > 0").dropDuplicates([id_col])
     each = held.select(id_col, F.explode("candidates").alias("c")).withColumn("value", F.col("c.value"))
-    judged = each.join(ownership(found), "value", "left").groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("c.looks") & (F.col("owners") <= most_owners), F.col("c")))).alias("live"),
-        F.count_if(F.col("owners") > most_owners).alias("n_shared"),
+    owner_limit = max(most_owners, owner_share * found.select(F.coalesce("owner", F.lit(""))).distinct().count())
+    repository_limit = max(most_repositories, repository_share * found.select("repository").distinct().count())
+    shared = (F.col("owners") > owner_limit) | (F.col("repositories") > repository_limit * F.col("owners"))
+    judged = each.join(ownership(found).select("value", shared.alias("shared")), "value", "left").groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("c.looks") & ~F.col("shared"), F.col("c")))).alias("live"),
+        F.count_if("shared").alias("n_shared"),
     )
     none = F.array().cast("array<struct<start:int,number:int,end:int,value:bigint,looks:boolean>>")
     # Most rows hold nothing and need no join.
