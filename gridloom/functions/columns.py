@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,9 @@ def ratio(a: Column, b: Column) -> Column:
 def steady(x: Column, places: int) -> Column:
     """Rounds half away from zero in binary arithmetic, as other engines do (``round`` looks at the decimal form)."""
     scale = float(10**places)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    # ``floor`` would give a long and saturate; the remainder stays a double.  Infinities and NaN pass.
+    moved = F.abs(x) * scale + 0.5
+    return F.nanvl(F.signum(x) * (moved - moved % 1.0) / scale, x.cast("double"))
 
 
 def no_nan(x: Column) -> Column:
@@ -23,9 +25,10 @@ def no_nan(x: Column) -> Column:
 
 
 def average_rank(value: Column, keys: list[str | Column]) -> Column:
-    """Rank of the non-null values in each group, ties sharing their mean rank; null for null."""
-    alone = Window.partitionBy(*keys, value.isNull())
-    return F.when(value.isNotNull(), F.rank().over(alone.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+    """Rank of the non-null values in each group, ties sharing their mean rank; null for null.  One sort: ties are the peers of its order."""
+    order = Window.partitionBy(*keys).orderBy(value.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(value.isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
 
 
 def corrected_skewness(x: Column) -> Column:
@@ -63,6 +66,12 @@ def list_item(cell: Column, n: int) -> Column:
     return F.get(cell, F.lit(n) if n >= 0 else F.size(cell) + n)
 
 
+def list_cells(df: DataFrame, cell: str = "cells", out: str = "fac") -> DataFrame:
+    """A row for each element of a list cell: the other columns, n (from 0) and ``out``."""
+    others = [c for c in df.columns if c != cell]
+    return df.select(*others, F.posexplode(cell).alias("n", out))
+
+
 def half_life_weights(window: int, half_life: float) -> Column:
     """Array of ``window`` weights that sum to 1, halving every ``half_life`` places, the newest last and largest."""
     raw = [0.5 ** ((window - 1 - i) / half_life) for i in range(window)]
@@ -84,6 +93,6 @@ def pick_by_sign(judge: Column, above: Column, below: Column) -> Column:
     return F.when(above.isNotNull() & below.isNotNull(), out)
 
 
-def by(*keys: str, order: str | None = None) -> WindowSpec:
-    w = Window.partitionBy(*keys)
-    return w.orderBy(order) if order else w
+def pick_by_market(panel: DataFrame, judge: DataFrame, above: str, below: str, out: str = "fac") -> DataFrame:
+    """``pick_by_sign`` by a market series (date, judge) that holds for all codes; a date without one counts as 0."""
+    return panel.join(judge.select("date", F.col("judge").alias("_judge")), "date", "left").withColumn(out, pick_by_sign(F.col("_judge"), F.col(above), F.col(below))).drop("_judge")

@@ -1,4 +1,7 @@
-"""User factors: a callable from bars to rows of date, code, factor_name and fac."""
+"""Factors by name, built-in and a user's own: a callable from bars to rows of date, code, factor_name and fac.
+
+The built-in ones are registered by ``gridloom.operators.intraday``.
+"""
 
 from __future__ import annotations
 

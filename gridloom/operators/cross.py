@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import average_rank, ratio
+from gridloom.functions.registry import grouped_apply
 
 
 def date_window() -> WindowSpec:
@@ -82,7 +83,9 @@ def clip(panel: DataFrame, method: str, parameter: float | tuple[float, float] |
         raise ValueError("mad and three_sigma take a float, percentile a tuple")
     if method == "percentile":
         return clip_percentile(panel, *(parameter or (0.025, 0.975)), col=col)
-    return clip_mad(panel, parameter or 5.0, col=col) if method == "mad" else clip_sigma(panel, parameter or 3.0, col)
+    default = 5.0 if method == "mad" else 3.0
+    n = default if parameter is None else parameter
+    return clip_mad(panel, n, col=col) if method == "mad" else clip_sigma(panel, n, col)
 
 
 def quantile_group(panel: DataFrame, groups: int = 10, col: str = "fac", out: str = "label") -> DataFrame:
@@ -220,7 +223,7 @@ def box_cox(panel: DataFrame, col: str = "fac") -> DataFrame:
         best = (low + high) / 2
         return g.assign(**{col: np.log(x) if abs(best) < 1e-9 else np.expm1(best * np.log(x)) / best})
 
-    return panel.groupBy("date").applyInPandas(run, kinds)
+    return grouped_apply(panel, ["date"], run, kinds)
 
 
 def correlation(panel: DataFrame, a: str, b: str, *, key: str = "date", method: str = "pearson") -> DataFrame:
@@ -275,9 +278,11 @@ def factors_std(wide: DataFrame, cols: list[str], weights: list[float] | None =
     return wide.withColumn(out, F.sqrt(total / sum(w)))
 
 
-def weighted_std(x: Column, w: Column) -> Column:
-    """Aggregate over (x, w) after the mean is joined as column ``mean``: sqrt(sum(w (x - mean)^2) / sum(w))."""
-    return F.sqrt(ratio(F.sum(w * (x - F.col("mean")) ** 2), F.sum(w)))
+def weighted_std(panel: DataFrame, col: str, weight: str, key: str = "date", out: str = "fac") -> DataFrame:
+    """key, out: sqrt(sum(w (x - mean)^2) / sum(w)) of each group; the mean is unweighted, rows without a value or weight don't count."""
+    both = panel.filter(F.col(col).isNotNull() & F.col(weight).isNotNull())
+    gap = F.col(col) - F.avg(col).over(Window.partitionBy(key))
+    return both.select(key, F.col(weight).alias("_w"), gap.alias("_gap")).groupBy(key).agg(F.sqrt(ratio(F.sum(F.col("_w") * F.col("_gap") * F.col("_gap")), F.sum("_w"))).alias(out))
 
 
 def coalesce_panels(panels: list[DataFrame], col: str = "fac") -> DataFrame:

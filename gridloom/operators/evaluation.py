@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import average_rank, corrected_skewness, ratio
+from gridloom.operators.returns import before
 from gridloom.operators.series import on_grid, shifted
 
 #: Periods a year and trading days a period of each frequency.
 FREQUENCIES = {"D": (252, 1), "W": (52, 5), "M": (12, 22)}
 
 
+def per_year(freq: str) -> int:
+    """Periods a year of D, W or M."""
+    if freq not in FREQUENCIES:
+        raise ValueError(f"freq is one of {', '.join(FREQUENCIES)}")
+    return FREQUENCIES[freq][0]
+
+
 def period_returns(prices: DataFrame, col: str = "open") -> DataFrame:
     """date, code, ret: the price against the grid period before; prices of 0 are missing."""
     x = on_grid(prices.select("date", "code", F.nullif(F.col(col), F.lit(0.0)).alias("p")))
@@ -32,9 +42,14 @@ def rank_ic(pairs: DataFrame) -> DataFrame:
     med = pairs.groupBy("date").agg(F.percentile("fac", F.lit(0.5)).alias("med"))
     x = pairs.join(med, "date").withColumns({"low": F.col("fac") <= F.col("med"), "high": F.col("fac") >= F.col("med")})
     x = x.withColumns({"rf": average_rank(F.col("fac"), ["date"]), "rr": average_rank(F.col("ret"), ["date"])})
-    for half in ("low", "high"):
-        x = x.withColumns({f"{c[0]}_{half}": average_rank(F.when(F.col(half), F.col(c)), ["date"]) for c in ("fac", "ret")})
-    return x.groupBy("date").agg(F.corr("rf", "rr").alias("ic"), F.corr("f_low", "r_low").alias("ic_low"), F.corr("f_high", "r_high").alias("ic_high"))
+    # A half is a run of the factor's order, so its own factor ranks are the whole's but for a constant; its ranks
+    # of the return count its rows in the return's order.  So two sorts serve all six rankings.
+    order = Window.partitionBy("date").orderBy(F.col("ret").asc_nulls_last())
+    upto = lambda half: F.count_if(F.col(half)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = lambda half: F.count_if(F.col(half)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    x = x.withColumns({f"r_{half}": F.when(F.col(half), upto(half) - (ties(half) - 1) / 2.0) for half in ("low", "high")})
+    f = lambda half: F.when(F.col(half), F.col("rf"))
+    return x.groupBy("date").agg(F.corr("rf", "rr").alias("ic"), F.corr(f("low"), "r_low").alias("ic_low"), F.corr(f("high"), "r_high").alias("ic_high"))
 
 
 def ic_summary(ic: DataFrame, per_year: int = 52) -> DataFrame:
@@ -56,6 +71,22 @@ def group_returns(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("date", "grp").agg(F.avg("ret").alias("ret"))
 
 
+def group_net_values(grouped: DataFrame, freq: str = "W") -> DataFrame:
+    """date, grp, ret, net: each group's mean returns and their sums, with a row of 0 a period before the first date."""
+    each = group_returns(grouped)
+    first = each.agg(F.min("date").alias("first"))
+    zero = each.select("grp").distinct().join(first).select(before(F.col("first"), freq).alias("date"), "grp", F.lit(0.0).alias("ret"))
+    run = Window.partitionBy("grp").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return each.unionByName(zero).withColumn("net", F.sum("ret").over(run))
+
+
+def against_index(ls: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds index_ret, long_minus_index and net_index: the long leg of ``long_short`` against an index (date, ret); a date without one is null."""
+    run = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a date: small
+    x = ls.join(index.select("date", F.col("ret").alias("index_ret")), "date", "left").withColumn("long_minus_index", F.col("long") - F.col("index_ret"))
+    return x.withColumn("net_index", F.sum("long_minus_index").over(run))
+
+
 def long_short(grouped: DataFrame, groups: int = 10) -> DataFrame:
     """date, long, short, market, ls, inner_long, inner_short, net and net_long.
 
@@ -70,13 +101,14 @@ def long_short(grouped: DataFrame, groups: int = 10) -> DataFrame:
 
 
 def long_short_stats(ls: DataFrame, per_year: int = 52) -> DataFrame:
-    """annual_ret, vol, ir of the long-short series, with a leading row of 0 counted."""
+    """annual_ret, vol, ir of the long-short series, inner_long and inner_short (a year), with a leading row of 0 counted."""
     n = F.count(F.lit(1)) + 1
     # The deviation of the series with a 0 in front.
     mean = F.sum("ls") / n
     vol = F.sqrt(F.sum(F.col("ls") * F.col("ls")) / n - mean * mean) * F.sqrt(F.lit(per_year))
     annual = F.max_by("net", "date") * per_year / n
-    return ls.agg(annual.alias("annual_ret"), vol.alias("vol"), ratio(annual, vol).alias("ir"))
+    inner = lambda c: (F.sum(c) * per_year / n).alias(c)
+    return ls.agg(annual.alias("annual_ret"), vol.alias("vol"), ratio(annual, vol).alias("ir"), inner("inner_long"), inner("inner_short"))
 
 
 def group_summary(grouped: DataFrame, per_year: int = 52) -> DataFrame:
@@ -85,8 +117,12 @@ def group_summary(grouped: DataFrame, per_year: int = 52) -> DataFrame:
     return grouped.groupBy("grp").agg(F.avg("ret").alias("r")).join(market).select("grp", ((F.col("r") - F.col("m")) * per_year).alias("excess"))
 
 
-def yearly_excess(ls: DataFrame, per_year: int = 52) -> DataFrame:
-    return ls.groupBy(F.year("date").alias("year")).agg((F.avg("inner_long") * per_year).alias("excess"))
+def long_side_by_year(grouped: DataFrame, groups: int = 10, per_year: int = 52) -> DataFrame:
+    """year, ret: mean return a year of whichever of groups 1 and ``groups`` has the higher mean."""
+    each = group_returns(grouped)
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("ret")))
+    side = each.agg(F.when(mean(1) > mean(groups), 1).otherwise(groups).alias("grp"))
+    return each.join(side, "grp").groupBy(F.year("date").alias("year")).agg((F.avg("ret") * per_year).alias("ret"))
 
 
 def coverage(factor: DataFrame, prices: DataFrame, col: str = "open") -> DataFrame:
@@ -98,6 +134,33 @@ def coverage(factor: DataFrame, prices: DataFrame, col: str = "open") -> DataFra
     return each.agg(F.least(F.lit(1.0), F.avg("c")).alias("coverage"), F.avg("pos").alias("positive"), F.avg("sk").alias("skew"), F.avg("ac").alias("autocorr"))
 
 
+#: The rows of ``factor_summary``, in order.
+SUMMARY = ("ic", "annual_ret", "vol", "ir", "positive", "skew", "autocorr", "coverage", "ic_low", "ic_high", "first_excess", "last_excess")
+
+
+def factor_summary(factor: DataFrame, prices: DataFrame, groups: int = 10, freq: str = "W", lag: int = 1, index: DataFrame | None = None) -> DataFrame:
+    """metric, value: the twelve figures of a factor named in ``SUMMARY``.
+
+    The first and last group's excess is over an index (date, ret), or over the mean of all codes.
+    """
+    n = per_year(freq)
+    pairs = paired(factor, period_returns(prices), lag)
+    grouped = equal_groups(pairs, groups)
+    ic, cover = ic_summary(rank_ic(pairs), n), coverage(factor, prices)
+    stats = long_short_stats(long_short(grouped, groups), n)
+    each = group_returns(grouped)
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("ret")))
+    market = (grouped.groupBy("date").agg(F.avg("ret").alias("m")) if index is None else each.select("date").distinct().join(index.select("date", F.col("ret").alias("m")), "date")).agg(F.avg("m").alias("m"))
+    ends = each.agg(mean(1).alias("f"), mean(groups).alias("l")).join(market).select(((F.col("f") - F.col("m")) * n).alias("first_excess"), ((F.col("l") - F.col("m")) * n).alias("last_excess"))
+    row = ic.join(stats).join(cover).join(ends)  # one row each
+    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in SUMMARY])).alias("x")).select("x.*")
+
+
+def summaries(factors: dict[str, DataFrame], prices: DataFrame, **kw) -> DataFrame:
+    """factor_name, metric, value of several factors."""
+    return reduce(DataFrame.unionByName, [factor_summary(f, prices, **kw).select(F.lit(name).alias("factor_name"), "metric", "value") for name, f in factors.items()])
+
+
 def evaluate(factor: DataFrame, prices: DataFrame, groups: int = 10, lag: int = 1) -> DataFrame:
     """The long-short series of a factor, from prices to net values; one plan, no action."""
     return long_short(equal_groups(paired(factor, period_returns(prices), lag), groups), groups)

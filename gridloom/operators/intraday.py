@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import average_rank, ratio
-from gridloom.operators.series import on_grid, rolling_days, shifted
+from gridloom.functions.registry import factor
+from gridloom.operators.series import code_rows, on_grid, rolling_days, shifted
 
-_HOW = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "first": F.first, "last": F.last}
+_HOW = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "first": lambda c: F.min_by(c, "seq"), "last": lambda c: F.max_by(c, "seq")}
 
 
 def day_window() -> WindowSpec:
@@ -22,43 +23,61 @@ def day_bars() -> WindowSpec:
 
 
 def to_freq(bars: DataFrame, freq: str, how: str, col: str) -> DataFrame:
-    """code, date, bucket and ``col`` of every k bars by position ('5T'); a partial last bucket stays."""
+    """code, date, bucket and ``col`` of every k bars by position ('5T'); a partial last bucket stays, a day of fewer than k bars is null."""
     if not freq.endswith("T") or not freq[:-1].isdigit() or how not in _HOW:
         raise ValueError("freq is like 5T, how one of " + ", ".join(_HOW))
-    return bars.withColumn("bucket", F.floor((F.row_number().over(day_bars()) - 1) / int(freq[:-1]))).groupBy("code", "date", "bucket").agg(_HOW[how](col).alias(col))
+    k = int(freq[:-1])
+    x = bars.withColumns({"bucket": F.floor((F.row_number().over(day_bars()) - 1) / k), "_n": F.count(F.lit(1)).over(day_window())})
+    return x.groupBy("code", "date", "bucket").agg(F.when(F.max("_n") >= k, _HOW[how](col)).alias(col))
 
 
 def with_returns(bars: DataFrame, within_day: bool = False) -> DataFrame:
-    """Adds ret against the code's bar before, across days unless ``within_day``."""
-    before = F.lag("close").over(day_bars() if within_day else Window.partitionBy("code").orderBy("seq"))
-    return bars.withColumn("ret", ratio(F.col("close"), before) - 1)
+    """Adds ret against the code's bar before, across days unless ``within_day``.
+
+    Bars are ordered by date, then seq.  They are dealt by code and day; a day's first bar gets the last close of the
+    code's day before from a table of a row a day, so that no task holds a code's whole history of bars.
+    """
+    lag = F.lag("close").over(day_bars())
+    if within_day:
+        return bars.withColumn("ret", ratio(F.col("close"), lag) - 1)
+    last = bars.groupBy("code", "date").agg(F.max_by("close", "seq").alias("_last"))
+    last = last.select("code", "date", F.lag("_last").over(code_rows()).alias("_before"))
+    before = F.when(F.row_number().over(day_bars()) == 1, F.col("_before")).otherwise(lag)
+    return bars.join(last, ["code", "date"]).withColumn("ret", ratio(F.col("close"), before) - 1).drop("_before")
+
+
+def returned(bars: DataFrame) -> DataFrame:
+    """The bars that have a return: all daily factors are of these."""
+    return with_returns(bars).filter("ret is not null")
 
 
 def return_factors(bars: DataFrame) -> DataFrame:
-    """rtn_mean, real_var, rtn_skew, rtn_kurt, rv_up, rv_down and rv_umd of each day's bar returns."""
+    """rtn5_mean (of sums of five bars; null on a day with fewer), real_var, rtn_skew, rtn_kurt, rv_up, rv_down and rv_umd of each day's bar returns."""
     r = F.col("ret")
     sq = r * r
-    out = with_returns(bars).groupBy("code", "date").agg(F.avg(r).alias("rtn_mean"), F.sum(sq).alias("real_var"), F.skewness(r).alias("rtn_skew"), F.kurtosis(r).alias("rtn_kurt"), F.coalesce(F.sum(F.when(r > 0, sq)), F.lit(0.0)).alias("rv_up"), F.coalesce(F.sum(F.when(r < 0, sq)), F.lit(0.0)).alias("rv_down"))
-    return out.withColumn("rv_umd", ratio(F.col("rv_up") - F.col("rv_down"), F.col("real_var")))
+    x = returned(bars)
+    five = to_freq(x, "5T", "sum", "ret").groupBy("code", "date").agg(F.avg("ret").alias("rtn5_mean"))
+    out = x.groupBy("code", "date").agg(F.sum(sq).alias("real_var"), F.skewness(r).alias("rtn_skew"), F.kurtosis(r).alias("rtn_kurt"), F.coalesce(F.sum(F.when(r > 0, sq)), F.lit(0.0)).alias("rv_up"), F.coalesce(F.sum(F.when(r < 0, sq)), F.lit(0.0)).alias("rv_down"))
+    return out.join(five, ["code", "date"]).withColumn("rv_umd", ratio(F.col("rv_up") - F.col("rv_down"), F.col("real_var")))
 
 
 def volume_factors(bars: DataFrame) -> DataFrame:
-    """Skew of log volume, the shares of volume beyond the day's 90 % and 10 % quantiles, cumulated volume, and
-    pvi, the sum of returns where volume is above the day's mean."""
-    lv = F.ln(F.col("volume") + 1e-6)
-    cuts = bars.groupBy("code", "date").agg(F.percentile("volume", F.lit(0.9)).alias("q9"), F.percentile("volume", F.lit(0.1)).alias("q1"), F.avg("volume").alias("mean"))
-    x = with_returns(bars).join(cuts, ["code", "date"]).withColumn("cum", F.sum("volume").over(day_bars().rowsBetween(Window.unboundedPreceding, 0)))
-    v = F.col("volume")
-    part = lambda cond: ratio(F.coalesce(F.sum(F.when(cond, v)), F.lit(0)), F.sum(v))
+    """Skew of log volume, the shares of the sum of log volumes that lie beyond their 90 % and 10 % quantiles of the
+    day, cumulated volume, and pvi, the sum of returns where volume is above the day's mean."""
+    x = returned(bars).withColumn("lv", F.ln(F.col("volume") + 1e-6))
+    cuts = x.groupBy("code", "date").agg(F.percentile("lv", F.lit(0.9)).alias("q9"), F.percentile("lv", F.lit(0.1)).alias("q1"), F.avg("volume").alias("mean"))
+    x = x.join(cuts, ["code", "date"]).withColumn("cum", F.sum("volume").over(day_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    v, lv = F.col("volume"), F.col("lv")
+    part = lambda cond: ratio(F.coalesce(F.sum(F.when(cond, lv)), F.lit(0.0)), F.sum(lv))
     return x.groupBy("code", "date").agg(
-        F.skewness(lv).alias("vol_skew"), part(v > F.col("q9")).alias("top_share"), part(v < F.col("q1")).alias("low_share"),
+        F.skewness(lv).alias("vol_skew"), part(lv > F.col("q9")).alias("top_share"), part(lv < F.col("q1")).alias("low_share"),
         F.avg("cum").alias("cum_mean"), F.stddev_samp("cum").alias("cum_std"), F.coalesce(F.sum(F.when(v > F.col("mean"), F.col("ret"))), F.lit(0.0)).alias("pvi"),
     )
 
 
 def bucket_factors(bars: DataFrame, k: int = 15) -> DataFrame:
     """ovr and cvr, the volume shares of the first and last k-bar bucket, and skew and kurtosis of the buckets' changes; null with one bucket."""
-    b = to_freq(bars, f"{k}T", "sum", "volume")
+    b = to_freq(returned(bars), f"{k}T", "sum", "volume")
     w = day_window().orderBy("bucket")
     b = b.withColumns({"chg": ratio(F.col("volume"), F.lag("volume").over(w)) - 1, "n": F.count(F.lit(1)).over(day_window())})
     several = F.col("n") >= 2
@@ -68,20 +87,14 @@ def bucket_factors(bars: DataFrame, k: int = 15) -> DataFrame:
 
 def volatility_factors(bars: DataFrame, k: int = 5, skip: int = 15, parkinson: str = "extremes") -> DataFrame:
     """vov1, the deviation of k-bar sums of returns without the day's first and last bars, and vov2, the
-    range-based volatility of k-bar highs and lows (their means with ``parkinson='mean'``)."""
-    n = F.count(F.lit(1)).over(day_window())
-    place = F.row_number().over(day_bars())
-    inner = with_returns(bars).withColumns({"place": place, "n": n}).filter((F.col("place") >= skip) & (F.col("place") <= F.col("n") - skip))
+    range-based volatility of k-bar highs and lows (their means with ``parkinson='mean'``; null on a day of fewer bars)."""
+    x = returned(bars).withColumns({"place": F.row_number().over(day_bars()), "n": F.count(F.lit(1)).over(day_window())})
+    inner = x.filter((F.col("place") >= skip) & (F.col("place") <= F.col("n") - skip))
     one = to_freq(inner, f"{k}T", "sum", "ret").groupBy("code", "date").agg(F.stddev_samp("ret").alias("vov1"))
     high, low = ("mean", "mean") if parkinson == "mean" else ("max", "min")
-    b = bars.withColumn("bucket", F.floor((place - 1) / k)).groupBy("code", "date", "bucket").agg(_HOW[high]("high").alias("high"), _HOW[low]("low").alias("low"))
-    two = b.groupBy("code", "date").agg(F.sqrt(F.sum(F.ln(ratio(F.col("high"), F.col("low"))) ** 2) / (4 * F.ln(F.lit(2.0)) * F.count(F.lit(1)))).alias("vov2"))
-    return two.join(one, ["code", "date"], "left").select("code", "date", "vov1", "vov2")
-
-
-def bar_return() -> Column:
-    """Return against the code's bar before, across days."""
-    return ratio(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("seq"))) - 1
+    b = x.groupBy("code", "date", "n", F.floor((F.col("place") - 1) / k).alias("bucket")).agg(_HOW[high]("high").alias("high"), _HOW[low]("low").alias("low"))
+    two = b.filter(F.col("n") >= k).groupBy("code", "date").agg(F.sqrt(F.sum(F.ln(ratio(F.col("high"), F.col("low"))) ** 2) / (4 * F.ln(F.lit(2.0)) * F.count(F.lit(1)))).alias("vov2"))
+    return x.select("code", "date").distinct().join(two, ["code", "date"], "left").join(one, ["code", "date"], "left").select("code", "date", "vov1", "vov2")
 
 
 def smart_scores(bars: DataFrame) -> DataFrame:
@@ -93,7 +106,7 @@ def smart_scores(bars: DataFrame) -> DataFrame:
     inf = F.lit(float("inf"))
     over = lambda d: F.when(d == 0, inf).otherwise(F.try_divide(r, d))
     logv = F.when(v > 0, F.ln(v))
-    x = bars.withColumns({"price": (F.col("close") + F.col("high") + F.col("low")) / 3, "_r": bar_return()}).filter("_r is not null")
+    x = returned(bars).withColumn("price", (F.col("close") + F.col("high") + F.col("low")) / 3).withColumnRenamed("ret", "_r")
     x = x.filter(~((F.abs("_r") == 0) & ((F.col("volume") == 0) | (F.col("volume") == 1))))
     return x.withColumns({"s1": over(F.sqrt(v)), "s2": over(F.pow(v, F.lit(0.1))), "s3": v, "s5": F.when(v == 0, F.lit(0.0)).otherwise(over(logv))})
 
@@ -102,25 +115,31 @@ def smart_money(bars: DataFrame, days: int = 10, share: float = 0.2) -> DataFram
     """code, date (window end), score, q: price of the bars with the highest scores, up to ``share`` of the
     window's volume, against the whole window's price; for scores s1 to s5 in one pass.
 
-    s4 adds the ranks of |R| and V within the window.  If the first bar alone exceeds the share, q is null.
+    s4 adds the ranks of |R| and V within the window, where R is against the window's own bar before: its first bar
+    has none and comes last.  If the first bar alone exceeds the share, q is null.  Bars are spread once over their
+    windows; each score is a sort within a window's partition, so the scores cost no shuffle.
     """
-    x = rolling_days(smart_scores(bars), days)
     key = ["code", "window_end"]
-    x = x.withColumn("s4", average_rank(F.abs("_r"), key) + average_rank(F.col("volume"), key))
+    whole = Window.partitionBy(*key)
+    x = rolling_days(smart_scores(bars), days)
+    x = x.withColumn("_r4", F.abs(ratio(F.col("close"), F.lag("close").over(whole.orderBy("date", "seq"))) - 1))
+    x = x.withColumn("s4", average_rank(F.col("_r4"), key) + average_rank(F.col("volume"), key))
     names = ["s1", "s2", "s3", "s4", "s5"]
-    each = x.select(*key, "seq", "price", "volume", F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(n).cast("double").alias("s")) for n in names])).alias("e")).select(*key, "seq", "price", "volume", "e.*")
-    order = Window.partitionBy(*key, "score").orderBy(F.desc("s"), "seq")
-    each = each.withColumns({"run": F.sum("volume").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("volume").over(Window.partitionBy(*key, "score"))})
-    smart = F.col("run") <= share * F.col("total")
     pv, v = F.col("price") * F.col("volume"), F.col("volume")
-    q = ratio(ratio(F.sum(F.when(smart, pv)), F.sum(F.when(smart, v))), ratio(F.sum(pv), F.sum(v)))
-    return each.groupBy("code", F.col("window_end").alias("date"), "score").agg(q.alias("q"))
+    total = F.sum("volume").over(whole)
+    for n in names:
+        run = F.sum("volume").over(whole.orderBy(F.col(n).desc_nulls_last(), "date", "seq").rowsBetween(Window.unboundedPreceding, 0))
+        x = x.withColumn(f"_{n}", run <= share * total)
+    of = lambda n: ratio(F.sum(F.when(F.col(f"_{n}"), pv)), F.sum(F.when(F.col(f"_{n}"), v)))
+    out = x.groupBy(*key).agg(ratio(F.sum(pv), F.sum(v)).alias("_all"), *[of(n).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(n).alias("score"), ratio(F.col(n), F.col("_all")).alias("q")) for n in names])
+    return out.select("code", F.col("window_end").alias("date"), F.explode(rows).alias("x")).select("code", "date", "x.*")
 
 
 def reverse_momentum(bars: DataFrame, daily: DataFrame, days: int = 20, top: int = 10, quantile: float = 15 / 16) -> DataFrame:
-    """code, date, m_high, m_low, m: sums of the daily return over the ``top`` days of highest and lowest volume
-    quantile among the last ``days`` days, and their difference.  Days without a quantile come last."""
-    q = bars.groupBy("code", "date").agg(F.percentile("volume", F.lit(quantile)).alias("q"))
+    """code, date, m_high, m_low, m: sums of the daily return over the ``top`` days of highest and lowest quantile of
+    the bars' mean price (amount / volume) among the last ``days`` days, and their difference.  Days without a quantile come last."""
+    q = bars.groupBy("code", "date").agg(F.percentile(ratio(F.col("amount"), F.col("volume")), F.lit(quantile)).alias("q"))
     x = q.join(daily.select("code", "date", "ret"), ["code", "date"], "left")
     x = rolling_days(x, days)
     w = Window.partitionBy("code", "window_end")
@@ -136,6 +155,40 @@ def day_returns(bars: DataFrame) -> DataFrame:
     return days.select("code", "date", (ratio(F.col("close"), shifted("close")) - 1).alias("ret"))
 
 
+def _long(wide: DataFrame, prefix: str = "") -> DataFrame:
+    return union_factors([wide]).withColumn("factor_name", F.concat(F.lit(prefix), "factor_name"))
+
+
+@factor("pv_returns")
+def _pv_returns(bars: DataFrame) -> DataFrame:
+    return _long(return_factors(bars))
+
+
+@factor("pv_volume")
+def _pv_volume(bars: DataFrame) -> DataFrame:
+    return _long(volume_factors(bars))
+
+
+@factor("pv_bars15")
+def _pv_bars15(bars: DataFrame) -> DataFrame:
+    return _long(bucket_factors(bars))
+
+
+@factor("pv_vov")
+def _pv_vov(bars: DataFrame) -> DataFrame:
+    return _long(volatility_factors(bars))
+
+
+@factor("smart_money")
+def _smart(bars: DataFrame) -> DataFrame:
+    return smart_money(bars).select("date", "code", F.concat(F.lit("smart_"), "score").alias("factor_name"), F.col("q").alias("fac"))
+
+
+@factor("reverse_m")
+def _reverse(bars: DataFrame) -> DataFrame:
+    return _long(reverse_momentum(bars, day_returns(bars)), "reverse_")
+
+
 def union_factors(parts: list[DataFrame]) -> DataFrame:
     """Wide daily factors as long rows: date, code, factor_name, fac."""
     long = [p.unpivot(["date", "code"], [c for c in p.columns if c not in ("date", "code")], "factor_name", "fac") for p in parts]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import ratio
+from gridloom.functions.registry import grouped_apply
 
 
 def code_window() -> WindowSpec:
@@ -75,11 +76,11 @@ def forward_returns(daily: DataFrame) -> DataFrame:
 def money_flow_line(daily: DataFrame) -> DataFrame:
     """Adds obv: volume weighed by the close's place in the range, signed by the change, cumulated.
 
-    A row without a range is null, and so are all rows behind it, as a running sum has it.
+    A row whose close doesn't change, or has none before it, adds 0.  A row that changes and closes at its high is
+    null, and so are all rows behind it, as a running sum has it.
     """
     flow = F.col("vol") * ratio((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("close"))
-    sign = F.coalesce(F.signum(F.col("close") - F.col("pre_close")), F.lit(0.0))
-    out = daily.withColumn("_flow", flow * sign)
+    out = daily.withColumn("_flow", F.when(F.col("close") > F.col("pre_close"), flow).when(F.col("close") < F.col("pre_close"), -flow).otherwise(0.0))
     run = code_rows().rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("obv", F.when(F.count_if(F.col("_flow").isNull()).over(run) == 0, F.sum("_flow").over(run))).drop("_flow")
 
@@ -125,7 +126,7 @@ def down_market(daily: DataFrame, threshold: float = 50.0, newest: bool = False)
 def per_code(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], added: str, key: str = "code") -> DataFrame:
     """``fn`` on each code's rows in order of date, for recursions that no window expresses; ``added`` is the new columns' DDL."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.groupBy(key).applyInPandas(lambda g: fn(g.sort_values("date", ignore_index=True)), f"{kinds}, {added}")
+    return grouped_apply(df, [key], lambda g: fn(g.sort_values("date", ignore_index=True)), f"{kinds}, {added}")
 
 
 def ema(values: pd.Series, span: int) -> pd.Series:
@@ -149,14 +150,14 @@ def adaptive_mean(x: pd.Series, period: int, fast: int = 2, slow: int = 30, carr
 
 
 def trend_strength(daily: DataFrame) -> DataFrame:
-    """Adds trend (EMA10 / EMA26), accelerator (trend / EMA12 of it) and long (both above 1)."""
+    """Adds trend (EMA10 / EMA26), accelerator (trend / EMA12 of it), ``short_state``'s columns, and long: both above 1 and not short."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         trend = ema(g["close"], 10) / ema(g["close"], 26)
-        accelerator = trend / ema(trend, 12)
-        return g.assign(trend=trend, accelerator=accelerator, long=(trend > 1) & (accelerator > 1))
+        return g.assign(trend=trend, accelerator=trend / ema(trend, 12))
 
-    return per_code(daily, run, "trend double, accelerator double, long boolean")
+    out = short_state(per_code(daily, run, "trend double, accelerator double"))
+    return out.withColumn("long", (F.col("trend") > 1) & (F.col("accelerator") > 1) & ~F.col("short"))
 
 
 def resonance(daily: DataFrame, *, ama: int = 10, bull: float = 1.125, bear: float = 1.275) -> DataFrame:
@@ -167,13 +168,21 @@ def resonance(daily: DataFrame, *, ama: int = 10, bull: float = 1.125, bear: flo
     """
     kinds = per_code(daily, lambda g: g.assign(ama_vol=adaptive_mean(g["vol"].astype(float), ama)), "ama_vol double")
     out = kinds.withColumn("bma", rolling("close", 50, grid=False))
-    out = out.withColumn("price_energy", ratio(F.col("bma"), lagged("bma", 2)))
+    out = out.withColumn("price_energy", ratio(F.col("bma"), lagged("bma", 3)))
     out = out.withColumn("volume_energy", ratio(rolling("ama_vol", 5, grid=False), rolling("ama_vol", 100, grid=False)))
     out = out.withColumn("resonance", F.col("price_energy") * F.col("volume_energy"))
     rises = rolling("close", 5, grid=False) > rolling("close", 90, grid=False)
     return out.withColumn("long", F.coalesce(F.when(rises, F.col("resonance") > bull).otherwise(F.col("resonance") > bear), F.lit(False)))
 
 
+def combined_rule(daily: DataFrame) -> DataFrame:
+    """Adds ``combined``: the resonance rule or the trend rule while 5 rows' mean is above 90 rows', else the resonance rule alone."""
+    trend = trend_strength(daily).select("date", "code", F.col("long").alias("_trend"))
+    x = resonance(daily).join(trend, ["date", "code"])
+    rises = F.coalesce(rolling("close", 5, grid=False) > rolling("close", 90, grid=False), F.lit(False))
+    return x.withColumn("combined", combined_long(F.col("long"), F.col("_trend"), rises)).drop("_trend")
+
+
 def combined_long(v: Column, trend: Column, rises: Column) -> Column:
     """In a rising market either signal, else only the first."""
     return F.when(rises, v | trend).otherwise(v)

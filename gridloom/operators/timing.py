@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import ratio
+from gridloom.functions.registry import grouped_apply
 from gridloom.operators.series import code_rows, lagged, per_code, rolling
 
 
@@ -33,8 +34,32 @@ def _events(x: DataFrame) -> DataFrame:
     return out.withColumns({"lc": F.coalesce(F.col("lc") if "lc" in x.columns else F.col("so"), F.lit(False)), "sc": F.coalesce(F.col("sc") if "sc" in x.columns else F.col("lo"), F.lit(False))})
 
 
+def _since_forced(x: DataFrame, forced: Column, turn: Column) -> DataFrame:
+    """Adds _last, the last value that an event forced whatever the state was, and _turns, how often it was turned round since."""
+    run = code_rows().rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_f": forced, "_t": F.count_if(turn).over(run)})
+    x = x.withColumns({"_last": F.last("_f", ignorenulls=True).over(run), "_from": F.last(F.when(F.col("_f").isNotNull(), F.col("_t")), ignorenulls=True).over(run)})
+    return x.withColumn("_turns", F.col("_t") - F.coalesce("_from", F.lit(0))).drop("_f", "_t", "_from")
+
+
 def long_short_signal(x: DataFrame) -> DataFrame:
-    """Adds signal 1, 0 or -1: lo opens a long (before so a short), lc closes it (to a short on so), sc a short (to a long on lo)."""
+    """Adds signal 1, 0 or -1: lo opens a long (before so a short), lc closes it (to a short on so), sc a short (to a long on lo).
+
+    Without lc and sc of their own one event alone forces the state and both together turn it round (from 0 to a long),
+    so windows tell it; with them the rows of a code are walked in Python.
+    """
+    if "lc" in x.columns or "sc" in x.columns:
+        return _walked(x)
+    e = _events(x)
+    lo, so = F.col("lo"), F.col("so")
+    e = _since_forced(e, F.when(lo & ~so, 1).when(so & ~lo, -1), lo & so)
+    odd = F.col("_turns") % 2 == 1
+    signal = F.when(F.col("_last").isNotNull(), F.when(odd, -F.col("_last")).otherwise(F.col("_last"))).when(F.col("_turns") == 0, 0).when(odd, 1).otherwise(-1)
+    return e.withColumn("signal", signal.cast("int")).drop("_last", "_turns")
+
+
+def _walked(x: DataFrame) -> DataFrame:
+    """``long_short_signal`` row by row, for closing events that are not the opening ones."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         state, out = 0, []
@@ -52,16 +77,10 @@ def long_short_signal(x: DataFrame) -> DataFrame:
 
 
 def long_signal(x: DataFrame) -> DataFrame:
-    """Adds signal 1 or 0: lo opens, lc closes."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        state, out = 0, []
-        for lo, lc in zip(g["lo"], g["lc"], strict=True):
-            state = int(not lc) if state else int(lo)
-            out.append(state)
-        return g.assign(signal=out)
-
-    return per_code(_events(x), run, "signal int")
+    """Adds signal 1 or 0: lo opens, lc closes.  One of them forces the state, both turn it round."""
+    lo, lc = F.col("lo"), F.col("lc")
+    e = _since_forced(_events(x), F.when(lo & ~lc, 1).when(lc & ~lo, 0), lo & lc)
+    return e.withColumn("signal", ((F.coalesce("_last", F.lit(0)) + F.col("_turns")) % 2).cast("int")).drop("_last", "_turns")
 
 
 def _clamped(s: Column) -> Column:
@@ -87,16 +106,24 @@ def one_signal(x: DataFrame, col: str, kind: int, start: str | None = None) -> D
     return out if start is None else out.filter(F.col("date") >= F.to_date(F.lit(start)))
 
 
-def market_effect(panel: DataFrame, back: int = 20, up: float = 0.5, down: float = -0.3, count: int = 50) -> DataFrame:
-    """date, pos, neg, effect: 1 if more than ``count`` codes rose by ``up`` in ``back`` rows, else -1 if more fell, else 0."""
+def movers(panel: DataFrame, back: int = 20, up: float = 0.5, down: float = -0.3) -> DataFrame:
+    """date, pos, neg: how many codes rose above ``up`` or fell below ``down`` in ``back`` rows."""
     x = panel.withColumn("chg", ratio(F.col("close"), lagged("close", back)) - 1)
-    x = x.groupBy("date").agg(F.count_if(F.col("chg") > up).alias("pos"), F.count_if(F.col("chg") < down).alias("neg"))
-    return x.withColumn("effect", F.when(F.col("pos") > count, 1).when(F.col("neg") > count, -1).otherwise(0))
+    return x.groupBy("date").agg(F.count_if(F.col("chg") > up).alias("pos"), F.count_if(F.col("chg") < down).alias("neg"))
+
+
+def _effect(pos_num: Column, neg_num: Column) -> Column:
+    return F.when(F.col("pos") > pos_num, 1).when(F.col("neg") > neg_num, -1).otherwise(0)
+
+
+def market_effect(panel: DataFrame, back: int = 20, up: float = 0.5, down: float = -0.3, pos_num: int = 50, neg_num: int = 50) -> DataFrame:
+    """date, pos, neg, effect: 1 if more than ``pos_num`` codes rose, else -1 if more than ``neg_num`` fell, else 0."""
+    return movers(panel, back, up, down).withColumn("effect", _effect(F.lit(pos_num), F.lit(neg_num)))
 
 
 def effect_signals(index: DataFrame, effect: DataFrame, window: int = 20) -> DataFrame:
-    """Index rows with ma and signal: 1 above the mean on effect 1, -1 on effect -1, else 0."""
-    x = index.withColumn("ma", rolling("close", window, grid=False)).join(effect.select("date", "effect"), "date", "left")
+    """Index rows with ma and signal: 1 above the mean on effect 1, -1 on effect -1, else 0.  Columns of ``effect`` but its counts stay."""
+    x = index.withColumn("ma", rolling("close", window, grid=False)).join(effect.drop("pos", "neg"), "date", "left")
     return x.withColumn("signal", F.when(F.col("effect") == -1, -1).when((F.col("effect") == 1) & (F.col("close") > F.col("ma")), 1).otherwise(0))
 
 
@@ -135,35 +162,39 @@ def _account_stats(g: pd.DataFrame, cash: float) -> dict[str, float]:
     out, trades = _account(g, cash)
     e = out["equity"].to_numpy()
     r = np.diff(e) / e[:-1]
-    wins, losses = [t[2] for t in trades if t[2] > 0], [t[2] for t in trades if t[2] <= 0]
+    r = np.concatenate(([0.0], r))  # the first row earned nothing
+    wins, losses = [t[2] for t in trades if t[2] > 0], [t[2] for t in trades if t[2] < 0]
     days = (pd.Timestamp(g["date"].iat[-1]) - pd.Timestamp(g["date"].iat[0])).days
     total = e[-1] / cash - 1
     spread = r.std(ddof=1) if len(r) > 1 else 0.0
     return {
-        "total": total, "annual": (1 + total) ** (365 / days) - 1 if days else np.nan, "max_drawdown": float((e / np.maximum.accumulate(e) - 1).min()), "sharpe": float(r.mean() / spread * np.sqrt(252)) if spread > 0 else 0.0,
-        "n_trades": len(trades), "win": len(wins) / len(trades) if trades else np.nan, "pl_ratio": np.mean(wins) / abs(np.mean(losses)) if wins and losses and np.mean(losses) else np.nan, "mean_ret": np.mean([t[2] for t in trades]) if trades else np.nan,
+        "total": total, "annual": total * 365 / days if days else np.nan, "max_drawdown": float((e / np.maximum.accumulate(e) - 1).min()), "sharpe": float(r.mean() / spread * np.sqrt(252)) if spread > 0 else 0.0,
+        "n_trades": len(trades), "win": len(wins) / len(trades) if trades else np.nan, "pl_ratio": np.mean(wins) / abs(np.mean(losses)) if wins and losses else np.nan, "mean_ret": np.mean([t[2] for t in trades]) if trades else np.nan,
     }
 
 
 def account_stats(signals: DataFrame, cash: float = 1_000_000.0, keys: tuple[str, ...] = ("code",)) -> DataFrame:
-    """A row for each key: total, annual, max_drawdown, sharpe (0 without deviation), n_trades, win share, pl_ratio, mean_ret."""
+    """A row for each key: total, annual (total over calendar years), max_drawdown, sharpe (of all rows, the first
+    with a return of 0; 0 without deviation), n_trades, win share, pl_ratio (null without gains or losses), mean_ret."""
     kinds = ", ".join(f"{k} {dict(signals.dtypes)[k]}" for k in keys)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date", ignore_index=True)
         return pd.DataFrame([{k: g[k].iat[0] for k in keys} | _account_stats(g, cash)])
 
-    return signals.groupBy(*keys).applyInPandas(run, f"{kinds}, {_STATS}")
+    return grouped_apply(signals, list(keys), run, f"{kinds}, {_STATS}")
 
 
-def grid_search(index: DataFrame, panel: DataFrame, ups: list[float], counts: list[int], cash: float = 1_000_000.0, back: int = 20, window: int = 20) -> DataFrame:
-    """Account statistics for every pair of thresholds, and best (of the code's highest total): one job for the whole grid."""
-    grid = panel.sparkSession.createDataFrame(list(product(ups, counts)), "up double, cnt int")
-    chg = panel.withColumn("chg", ratio(F.col("close"), lagged("close", back)) - 1)
-    each = chg.join(grid).groupBy("date", "up", "cnt").agg(F.count_if(F.col("chg") > F.col("up")).alias("pos"), F.count_if(F.col("chg") < -F.col("up")).alias("neg"))
-    effect = each.withColumn("effect", F.when(F.col("pos") > F.col("cnt"), 1).when(F.col("neg") > F.col("cnt"), -1).otherwise(0))
-    x = index.withColumn("ma", F.avg("close").over(code_rows().rowsBetween(-(window - 1), 0))).join(effect, "date")
-    x = x.withColumn("signal", F.when(F.col("effect") == -1, -1).when((F.col("effect") == 1) & (F.col("close") > F.col("ma")), 1).otherwise(0))
-    stats = account_stats(x.select("code", "up", "cnt", "date", "open", "close", "signal"), cash, ("code", "up", "cnt"))
-    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("total"), "up", "cnt"))
+def grid_search(index: DataFrame, panel: DataFrame, pos_nums: list[int], neg_nums: list[int], cash: float = 1_000_000.0, window: int = 20, **thresholds) -> DataFrame:
+    """Account statistics for every pair of counts, and best (of the code's highest total, the first of equal ones): one job for the whole grid.
+
+    Movers are counted once; only a row a date is spread over the grid.
+    """
+    grid = F.array(*[F.struct(F.lit(p).alias("pos_num"), F.lit(n).alias("neg_num")) for p, n in product(pos_nums, neg_nums)])
+    # Index rows are spread, too, so that a date without an effect stays in every pair's account.
+    x = index.withColumn("ma", rolling("close", window, grid=False)).join(movers(panel, **thresholds), "date", "left").withColumn("g", F.explode(grid)).select("*", "g.*")
+    effect = _effect(F.col("pos_num"), F.col("neg_num"))
+    x = x.withColumn("signal", F.when(effect == -1, -1).when((effect == 1) & (F.col("close") > F.col("ma")), 1).otherwise(0))
+    stats = account_stats(x.select("code", "pos_num", "neg_num", "date", "open", "close", "signal"), cash, ("code", "pos_num", "neg_num"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("total"), "pos_num", "neg_num"))
     return stats.withColumn("best", place == 1)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import columns, registry
 from gridloom.functions.columns import ratio, steady
 from gridloom.operators import cross, evaluation, intraday, options, returns, series, timing
 from gridloom.sources import readers, views
@@ -192,9 +193,9 @@ def vov(spark, sf):
 
 @query
 def interval_expand(spark, sf):
-    orders = views.table(spark, sf, "orders").filter("o_orderkey % 50 = 0")
+    orders = views.table(spark, sf, "orders")
     entry = F.to_date("o_orderdate")
-    return cross.expand_membership(orders.select(F.col("o_custkey").cast("string").alias("code"), F.col("o_orderpriority").alias("kind"), entry.alias("entry"), F.when(F.col("o_orderkey") % 100 != 0, F.date_add(entry, 20)).alias("exit")), "1998-12-31")
+    return cross.expand_membership(orders.select(F.col("o_custkey").cast("string").alias("code"), F.col("o_orderpriority").alias("kind"), entry.alias("entry"), F.when(F.col("o_orderstatus") != "P", F.date_add(entry, 20)).alias("exit")), "1998-12-31").groupBy("kind", "date").agg(F.count("*").alias("members"), F.countDistinct("code").alias("codes"))
 
 
 @query
@@ -303,7 +304,12 @@ def down_filter(spark, sf):
 
 @query
 def ema_trend(spark, sf):
-    return series.trend_strength(views.index_daily(spark, sf)).select("date", "code", "trend", "accelerator", "long")
+    return series.trend_strength(views.index_daily(spark, sf)).select("date", "code", "trend", "accelerator", "short", "long")
+
+
+@query
+def combined_trend(spark, sf):
+    return series.combined_rule(views.index_daily(spark, sf)).select("date", "code", "combined")
 
 
 @query
@@ -348,7 +354,7 @@ def range_pos(spark, sf):
 @query
 def position_returns(spark, sf):
     pos = returns.positions(timing.mean_reversion(views.index_daily(spark, sf), "close", 20).select("date", "code", "signal"))
-    return returns.position_returns(pos.filter("pos is not null"), _tame(spark, sf).select("date", "code", F.col("pct_change").alias("ret")).filter("ret is not null"))
+    return returns.position_returns(pos, _tame(spark, sf).select("date", "code", F.col("pct_change").alias("ret")).filter("ret is not null"))
 
 
 @query
@@ -398,12 +404,12 @@ def rolling_returns(spark, sf):
 
 @query
 def market_effect(spark, sf):
-    return timing.market_effect(views.panel(spark, sf), back=3, up=0.05, down=-0.05, count=20)
+    return timing.market_effect(views.panel(spark, sf), back=3, up=0.05, down=-0.05, pos_num=20, neg_num=25)
 
 
 def _account_signals(spark, sf):
-    effect = timing.market_effect(views.panel(spark, sf), back=3, up=0.05, down=-0.05, count=20)
-    months = views.index_daily(spark, sf).withColumn("date", F.trunc("date", "month")).groupBy("date", "code").agg(steady(F.avg("open"), 4).alias("open"), steady(F.avg("close"), 4).alias("close"))
+    effect = timing.market_effect(views.panel(spark, sf), back=3, up=0.05, down=-0.05, pos_num=20, neg_num=25)
+    months = views.index_daily(spark, sf).withColumns({"day": F.col("date"), "date": F.trunc("date", "month")}).groupBy("date", "code").agg(F.min_by("open", "day").alias("open"), F.max_by("close", "day").alias("close"))
     return timing.effect_signals(months, effect, 3)
 
 
@@ -420,7 +426,12 @@ def account_stats(spark, sf):
 @query
 def grid_search(spark, sf):
     index = _account_signals(spark, sf).select("date", "code", "open", "close")
-    return timing.grid_search(index, views.panel(spark, sf), [0.02, 0.05, 0.1], [10, 20], back=3, window=3)
+    return timing.grid_search(index, views.panel(spark, sf), [10, 20, 30], [15, 25], window=3, back=3, up=0.05, down=-0.05)
+
+
+@query
+def effect_signals(spark, sf):
+    return _account_signals(spark, sf).select("date", "code", "ma", "effect", "signal")
 
 
 @query
@@ -442,9 +453,9 @@ def risk_limits(spark, sf):
 @query
 def calendar_spread(spark, sf):
     x = options.greeks(views.option_book(spark, sf)).withColumn("pair", F.floor(F.col("opt_id") / 4))
-    near = x.filter("opt_id % 4 = 1")
-    far = x.filter("opt_id % 4 = 3 and abs(theta) > 0.01")
-    return options.calendar_spread(near, far, "pair")
+    # Calls with calls (0, 2) and puts with puts (1, 3); the ratio is null where the far theta is 0.
+    x = x.withColumn("pair", F.col("pair") * 2 + F.col("opt_id") % 2)
+    return options.calendar_spread(x.filter("opt_id % 4 < 2"), x.filter("opt_id % 4 >= 2"), "pair").select("pair", "net_theta", "net_vega", *[F.when(F.abs("twr") < 1e3, F.col(c)).alias(c) for c in ("twr", "enter", "leave")])
 
 
 @query
@@ -475,6 +486,278 @@ def de_cross(spark, sf):
     return cross.regress_out(_three(spark, sf), "amount", ["vol", "close"]).select("date", "code", steady(F.col("fac"), 3).alias("fac"))
 
 
+# Readers, masks and column functions
+
+
+def _calendar(spark, sf):
+    """The index bars' dates; those at the end of a week's work are closed."""
+    return views.index_daily(spark, sf).select(F.col("date").alias("cal_date")).distinct().withColumn("is_open", F.weekday("cal_date") < 5)
+
+
+@query
+def trade_dates(spark, sf):
+    return readers.trading_days(_calendar(spark, sf), "1995-01-01", "1996-12-31")
+
+
+@query
+def read_daily_days(spark, sf):
+    return readers.read_daily(views.index_daily(spark, sf), "close", freq="D", start="1994-02-01", end="1997-06-30", calendar=_calendar(spark, sf))
+
+
+@query
+def read_open_monthly(spark, sf):
+    return readers.read_daily(views.index_daily(spark, sf), "open", adjusted=False, freq="M", calendar=_calendar(spark, sf))
+
+
+@query
+def industry_spells(spark, sf):
+    s = views.table(spark, sf, "supplier")
+    table = s.select(F.col("s_suppkey").cast("string").alias("ts_code"), F.col("s_nationkey").cast("string").alias("l1code"), F.to_date(F.lit("1992-01-01")).alias("in_date"), F.lit(None).cast("date").alias("out_date"))
+    return readers.industry_members(table)
+
+
+def _status(spark, sf):
+    return _factor(spark, sf).filter("(cast(code as int) + month(date)) % 7 = 0").select("date", "code", F.when(F.month("date") % 2 == 0, 0).otherwise(1).alias("status"))
+
+
+@query
+def status_table(spark, sf):
+    return readers.status_rows(_status(spark, sf), "1994-01-01", "1995-12-31")
+
+
+@query
+def index_window(spark, sf):
+    return readers.index_data(views.index_daily(spark, sf), "A", "1993-01-01", "1994-12-31", ["date", "close", "vol"])
+
+
+@query
+def index_bars(spark, sf):
+    x = views.index_daily(spark, sf).withColumnsRenamed({"code": "order_book_id", "vol": "volume", "pre_close": "prev_close"}).drop("pct_change")
+    return readers.index_bars(x).select("date", "code", "close", "vol", "pre_close", "pct_change")
+
+
+@query
+def last_export(spark, sf):
+    li = views.table(spark, sf, "lineitem")
+    return readers.read_exports(li.select(F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("code"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("at")), "at").select("date", "code", "price")
+
+
+@query
+def incremental_rows(spark, sf):
+    daily = views.index_daily(spark, sf).select("date", "code", "close")
+    fresh = readers.new_rows(daily, daily.filter("date < '1997-01-01'"))
+    return readers.without(fresh, codes=spark.createDataFrame([("N",)], "code string"), date="1997-03-03")
+
+
+@query
+def stock_lists(spark, sf):
+    s = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.when(F.col("s_acctbal") < 0, "D").otherwise("L").alias("list_status"))
+    every = readers.all_stocks(s.filter("list_status = 'L'"), s.filter("list_status = 'D'"))
+    return every.join(readers.active(every).select("code", F.lit(True).alias("active")), "code", "left")
+
+
+@query
+def main_boards(spark, sf):
+    return cross.main_boards(_factor(spark, sf))
+
+
+@query
+def tradable_pool(spark, sf):
+    panel, attr = _factor(spark, sf), views.attributes(spark, sf)
+    listing = attr.select("code", F.when(F.col("circ_mv") < 0, F.to_date(F.lit("1998-06-01"))).otherwise(F.to_date(F.lit("1990-01-01"))).alias("list_date"))
+    flag = lambda k, name: panel.filter(f"(cast(code as int) + month(date)) % {k} = 0").select("date", "code", (F.month("date") % 2).alias(name))
+    return cross.tradable(panel, listing=listing, st=flag(7, "status"), suspended=flag(11, "status"), limits=flag(13, "limit_status"), smooth_days=6)
+
+
+@query
+def missing_cells(spark, sf):
+    panel = _factor(spark, sf)
+    sides = {"panel": panel, "grid": series.densify(panel)}
+    return sides["panel"].transform(cross.has_missing).withColumn("side", F.lit("panel")).unionByName(cross.has_missing(sides["grid"]).withColumn("side", F.lit("grid")))
+
+
+@query
+def common_keys(spark, sf):
+    x = _factor(spark, sf)
+    a, b = cross.common_keys([x.filter("cast(code as int) % 3 <> 0"), x.filter("cast(code as int) % 2 = 0")], "code")
+    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+
+
+@query
+def first_of_panels(spark, sf):
+    x = _three(spark, sf)
+    a = x.filter("cast(code as int) % 2 = 0").select("date", "code", F.col("amount").alias("fac"))
+    b = x.filter("cast(code as int) % 3 = 0").select("date", "code", F.col("vol").alias("fac"))
+    return cross.coalesce_panels([a, b])
+
+
+@query
+def first_rows(spark, sf):
+    return cross.first_rows(views.panel(spark, sf).select("code", "date", "close"), ["code"], "date")
+
+
+@query
+def column_rules(spark, sf):
+    x = _three(spark, sf)
+    judge = x.groupBy("date").agg((F.max_by("close", "code") - F.min_by("close", "code")).alias("judge"))
+    x = columns.pick_by_market(x, judge, "amount", "vol", "market_pick")
+    gap = F.col("close") - 1500
+    return x.select(
+        "date", columns.code_suffix(F.col("code")).alias("code"), columns.percent_text(F.round(F.col("vol") / 64) / 8).alias("pct"), columns.pair_max(F.col("vol"), F.col("close")).alias("high"), columns.pair_min(F.col("vol"), F.col("close")).alias("low"),
+        columns.pick_by_sign(gap, F.col("amount"), F.col("vol")).alias("own_pick"), "market_pick",
+    )
+
+
+@query
+def list_cells(spark, sf):
+    x = cross.zip_factors(_three(spark, sf), ["amount", "vol", "close"])
+    one = x.withColumn("last", columns.list_item(F.col("cells"), -1)).withColumn("none", columns.list_item(F.col("cells"), 3))
+    return columns.list_cells(one)
+
+
+@query
+def half_life(spark, sf):
+    return views.table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.posexplode(columns.half_life_weights(8, 3.0)).alias("place", "weight"))
+
+
+@query
+def weighted_std(spark, sf):
+    return cross.weighted_std(_three(spark, sf), "close", "vol")
+
+
+@query
+def distance_mean(spark, sf):
+    return cross.distance(_factor(spark, sf).withColumn("fac", F.col("fac") / 1000), square=True)
+
+
+@query
+def level_signal(spark, sf):
+    x = series.on_grid(views.index_daily(spark, sf)).withColumns({"fac": steady(F.col("close") / F.col("open"), 6), "other": F.col("vol")})
+    return timing.one_signal(timing.level_events(x, "fac", 0.97, 1.03, "other", 300.0, 600.0), "fac", 0, "1995-01-01").select("date", "code", "signal")
+
+
+@query
+def level_long(spark, sf):
+    x = views.index_daily(spark, sf).withColumn("fac", steady(F.col("close") / F.col("open"), 6))
+    return timing.one_signal(timing.level_events(x, "fac", 0.97, 1.03), "fac", 1).select("date", "code", "signal")
+
+
+# More of evaluation and performance
+
+
+@query
+def group_nets(spark, sf):
+    return evaluation.group_net_values(evaluation.equal_groups(_pairs(spark, sf), 5), "M")
+
+
+def _index_returns(spark, sf):
+    """A benchmark a month: the mean price of all codes against the month before."""
+    x = views.panel(spark, sf).groupBy("date").agg(steady(F.avg("open"), 4).alias("p"))
+    return x.select("date", (ratio(F.col("p"), F.lag("p").over(Window.orderBy("date"))) - 1).alias("ret"))
+
+
+@query
+def long_against_index(spark, sf):
+    return evaluation.against_index(evaluation.evaluate(_factor(spark, sf), views.panel(spark, sf), 5), _index_returns(spark, sf)).select("date", "long_minus_index", "net_index")
+
+
+@query
+def factor_summary(spark, sf):
+    return evaluation.factor_summary(_factor(spark, sf), views.panel(spark, sf), 5, "M", index=_index_returns(spark, sf))
+
+
+@query
+def factor_summaries(spark, sf):
+    x = views.panel(spark, sf)
+    return evaluation.summaries({c: x.select("date", "code", F.col(c).alias("fac")) for c in ("amount", "vol")}, x, groups=5, freq="M").filter("metric in ('coverage', 'annual_ret', 'ic')")
+
+
+@query
+def long_side_by_year(spark, sf):
+    return evaluation.long_side_by_year(evaluation.equal_groups(_pairs(spark, sf), 5), 5, 12)
+
+
+@query
+def relative_to_index(spark, sf):
+    monthly = returns.by_period(views.returns(spark, sf), "month").select("strategy", F.last_day("period").alias("date"), (F.col("ret") / 100).alias("ret"))
+    return returns.against_index(monthly, views.index_daily(spark, sf), "N", "M", 12)
+
+
+@query
+def excess_detail(spark, sf):
+    return returns.detail(views.returns(spark, sf)).select("strategy", "excess_annual", "excess_sigma", "excess_sharpe", "excess_drawdown", "years", "bars")
+
+
+@query
+def sub_period(spark, sf):
+    return returns.between_dates(views.returns(spark, sf), "1994-01-01", "1995-12-31").select("strategy", "annual", "sigma", "sharpe", "max_drawdown")
+
+
+@query
+def rolling_sharpes(spark, sf):
+    return returns.rolling_sharpes(views.returns(spark, sf))
+
+
+@query
+def period_sums(spark, sf):
+    x = views.returns(spark, sf)
+    return returns.by_period(x, "month", "sum").withColumnRenamed("ret", "total").join(returns.by_period(x, "month", "total_lr").withColumnRenamed("ret", "log_total"), ["strategy", "period"]).join(returns.by_period(x.withColumn("ret", 1 + F.col("ret")), "month", "mul").withColumnRenamed("ret", "product"), ["strategy", "period"])
+
+
+@query
+def start_zero(spark, sf):
+    return returns.start_at_zero(views.returns(spark, sf), "W")
+
+
+# More of the option rules
+
+
+def _priced(spark, sf):
+    """Greeks, and what the rules need beside them: a margin, a price and a day's moves, all of the key."""
+    x = options.greeks(views.option_book(spark, sf))
+    key = F.col("opt_id")
+    return x.withColumns({"margin": (key % 9 + 1) * 1000.0, "ds": (key % 11 - 5) / 2.0, "dv": (key % 5 - 2) / 100.0, "price": options.intrinsic_value(F.col("cp"), F.col("s"), F.col("k")) + key % 13 / 4.0})
+
+
+@query
+def option_values(spark, sf):
+    c = F.col
+    return _priced(spark, sf).select(
+        "opt_id", options.value_change(c("delta"), c("gamma"), c("vega"), c("theta"), c("ds"), c("dv"), F.lit(1 / 252)).alias("change"), options.delta_after(c("delta"), c("gamma"), c("ds")).alias("delta_after"),
+        options.intrinsic_value(c("cp"), c("s"), c("k")).alias("intrinsic"), options.time_value(c("price"), c("cp"), c("s"), c("k")).alias("time_value"),
+    )
+
+
+@query
+def option_rules(spark, sf):
+    c = F.col
+    return _priced(spark, sf).select("opt_id", options.max_contracts(F.lit(50_000.0), c("margin")).alias("contracts"), options.theta_return(c("theta") / 252, c("margin")).alias("theta_return"), options.theta_covers_gamma(c("theta"), c("gamma"), c("sigma"), c("s")).alias("covered"), F.least(options.vega_days(c("vega"), c("theta") / 252), F.lit(1e4)).alias("vega_days"))
+
+
+@query
+def sell_screen(spark, sf):
+    return options.sell_screen(options.greeks(views.option_book(spark, sf))).select("opt_id")
+
+
+@query
+def hedge_trades(spark, sf):
+    # A book's positions of one call, by key, stand for the steps of a path.
+    x = options.greeks(views.option_book(spark, sf)).select((F.col("opt_id") % 500).alias("opt_id"), F.date_add(F.to_date(F.lit("1992-01-01")), F.floor(F.col("opt_id") / 500).cast("int")).alias("date"), "s", "gamma")
+    return options.hedge_trades(x)
+
+
+@query
+def book_in_currency(spark, sf):
+    books = options.share_equivalents(options.greeks(views.option_book(spark, sf))).withColumn("currency", F.substring("book", 1, 1))
+    rates = spark.createDataFrame([(str(i), 1.0 + i / 4) for i in range(1, 6)], "currency string, rate double")
+    return options.in_base_currency(books, rates).select("book", steady(F.col("sep"), 3).alias("sep"))
+
+
+@query
+def all_factors(spark, sf):
+    return registry.compute(views.bars(spark, sf)).groupBy("factor_name").agg(F.count("*").alias("cells"), F.count("fac").alias("filled"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From prices to the net values of a long-short portfolio of five groups."""
     return QUERIES["long_short"](spark, sf_dir)

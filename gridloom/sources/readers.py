@@ -92,6 +92,11 @@ def jdbc_table(spark: SparkSession, url: str, table: str, *, column: str | None
     return reader.load()
 
 
+def append_jdbc(df: DataFrame, url: str, table: str, *, options: dict[str, str] | None = None) -> None:
+    """Appends the rows to a database table."""
+    df.write.format("jdbc").options(**(options or {})).option("url", url).option("dbtable", table).mode("append").save()
+
+
 def append_table(df: DataFrame, path: str, partition: str = "date") -> None:
     df.write.mode("append").partitionBy(partition).parquet(path)
 
@@ -105,6 +110,18 @@ def create_table(spark: SparkSession, name: str, columns: dict[str, str]) -> Non
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'`{c}` {t}' for c, t in columns.items())}) USING parquet")
 
 
+def vendor_export(spark: SparkSession, paths: list[str], names: list[str], *, drop: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """CSV exports of one vendor table as one: columns in ``drop`` go, the others get ``names`` by position.
+
+    Below its column names a file has rows of titles and units; they go, as their ``key`` (the first name, if not given)
+    doesn't begin with a digit.  All columns stay text; ``_file`` names the file, in whose order ``read_exports`` takes the last.
+    """
+    raw = spark.read.option("header", True).csv(paths).withColumn("_file", F.input_file_name())
+    kept = raw.drop(*drop)
+    out = kept.toDF(*names, "_file")
+    return out.filter(F.col(key or names[0]).rlike("^[0-9]"))
+
+
 def read_exports(df: DataFrame, order: str) -> DataFrame:
     """One row for each (date, code) of several vendor exports: the last by ``order``."""
     last = F.max_by(F.struct(*[c for c in df.columns if c not in ("date", "code")]), order).alias("x")
@@ -117,6 +134,20 @@ def complete_until(daily: DataFrame, expected: DataFrame) -> DataFrame:
     return held.join(expected, "date").filter("have >= n").agg(F.max("date").alias("date"))
 
 
+def is_open_day(calendar: DataFrame, date: str) -> bool:
+    """Whether the calendar has the day as an open one; a load on another day has nothing to do."""
+    return not calendar.filter("is_open").filter(F.col("cal_date") == F.to_date(F.lit(date))).isEmpty()
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def rewrite_partitions(df: DataFrame, path: str, partition: str = "date") -> None:
+    """Writes the partitions that ``df`` holds anew; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def new_rows(daily: DataFrame, loaded: DataFrame, initial: bool = False) -> DataFrame:
     """What is later than the loaded high-water mark, or everything on the initial load."""
     if initial:

@@ -41,11 +41,12 @@ def index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code (event type), date, seq, close, high, low, volume of the intraday table."""
+    """code (event type), date, seq, close, high, low, volume, amount of the intraday table."""
     value = F.col("value")
+    volume = F.get_json_object("props", "$.k").cast("int") + 1
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("code"), F.to_date("ts").alias("date"), F.col("event_id").alias("seq"), value.alias("close"), (value * 1.01).alias("high"), (value * 0.99).alias("low"),
-        (F.get_json_object("props", "$.k").cast("int") + 1).alias("volume"),
+        volume.alias("volume"), steady(value * volume, 2).alias("amount"),
     )
 
 
