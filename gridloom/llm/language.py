@@ -13,6 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm.common import id_and_text, row_slices
 
@@ -31,17 +32,24 @@ def fit_dictionaries(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Label -> (labelled rows, dictionary) from rows whose label and text aren't null.
 
     The dictionaries are made of a bounded sample: of each label the ``docs`` rows of least hash of id
-    (ties by id), each giving at most ``size`` / 8 bytes, until ``size`` bytes are full.  So at most
+    (ties by id), each giving at most ``size`` / 8 characters, until ``size`` bytes are full.  So at most
     ``most_labels`` * ``docs`` short strings reach the driver, whatever the input.  Row counts cover all rows.
+    Of more labels than ``most_labels`` the most frequent are learned (ties by name); the others' rows get one of
+    these, or are rejected.  Repeated rows count as often as they stand and are sampled once, of an id with several texts the least.  Without a labelled row there is no dictionary.
     """
     labelled = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    rows = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels + 1).collect()}
-    if len(rows) > most_labels:
-        raise ValueError(f"more than {most_labels} labels: raise most_labels if they are languages")
+    counted = labelled.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id", 0.05).alias("ids")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
+    rows = {r["label"]: r["n"] for r in counted}
+    if not rows:
+        return {}
     # The ids are chosen on narrow rows; only then are their texts fetched, by a broadcast of at most labels * docs rows.
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = labelled.select("doc_id", "label").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs)
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "label"]).select("label", "place", F.substring("text", 1, size // 8).alias("text")).orderBy("label", "place", "text")
+    # A bound on the hash leaves about twice the ids asked for of a label, and those are ranked.
+    drawn = F.xxhash64(F.col("doc_id").cast("string"))
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r["label"], min(1.0, (2.0 * docs + 64) / max(r["ids"], 1)))])
+    few = labelled.select(F.col("doc_id").alias("id"), F.col("label").alias("of"), drawn.alias("drawn")).filter((F.shiftrightunsigned("drawn", 11) / float(1 << 53)) < F.try_element_at(share, F.col("of"))).distinct()
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy("drawn", "id"))).filter(F.col("place") <= docs).drop("drawn")
+    found = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("label") == F.col("of")))
+    sample = found.groupBy("label", "place").agg(F.min(F.substring("text", 1, size // 8)).alias("text")).orderBy("label", "place")
     out: dict[str, bytes] = {}
     for r in sample.toLocalIterator():
         if len(out.setdefault(r["label"], b"")) < size:
@@ -49,8 +57,8 @@ def fit_dictionaries(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return {k: (rows[k], out.get(k, b" ")[:size]) for k in sorted(rows)}
 
 
-def identify(df: DataFrame, dictionaries: dict[str, tuple[int, bytes]], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.002) -> DataFrame:
-    """The id column, lang_pred, score, margin and rejected of each row.
+def identify(df: DataFrame, dictionaries: dict[str, tuple[int, bytes]], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.002, keep: str | None = None) -> DataFrame:
+    """The id column, lang_pred, score, margin and rejected of each row, and ``keep``, if named: a struct of all its columns.
 
     Whole texts count: they are compressed in windows of 4096 bytes.  ``margin`` is the share by which the
     best result is smaller than the next; equal results go to the label with more labelled rows.  ``score`` is
@@ -81,12 +89,17 @@ def identify(df: DataFrame, dictionaries: dict[str, tuple[int, bytes]], *, id_co
                     rest = sorted(sizes)[1] if len(sizes) > 1 else None
                     found.append((langs[sizes.index(best)], 1 / sum(2.0 ** max(best - s, -1000) for s in sizes), 1.0 if rest is None else (rest - best) / rest))
                 names, scores, margins = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    out = id_and_text(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double")
+                found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept.names), *found], schema.names)
+
+    texts = id_and_text(df, id_col, text_col)
+    if keep:
+        texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    kept = texts.drop("text").schema
+    schema = StructType(kept.fields).add("lang_pred", "string").add("score", "double").add("margin", "double")
+    out = texts.mapInArrow(run, schema)
     rejected = (F.col("margin") < min_margin) | (F.col("lang_pred") == NO_LANGUAGE)
-    return out.select(F.col("doc_id").alias(id_col), "lang_pred", "score", "margin", rejected.alias("rejected"))
+    return out.select(F.col("doc_id").alias(id_col), "lang_pred", "score", "margin", rejected.alias("rejected"), *([F.col("row").alias(keep)] if keep else []))
 
 
 def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
