@@ -114,23 +114,6 @@ def whole_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, n long, row array<long>")
 
 
-def _overlaps(pairs: DataFrame) -> DataFrame:
-    """a, b and the exact sizes of the intersection and union of their whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common, union = [], []
-            for x, y in zip(batch.column("whole_a"), batch.column("whole_b"), strict=True):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                c = len(np.intersect1d(p, q, assume_unique=True))
-                common.append(c)
-                union.append(len(p) + len(q) - c)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "total"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, common long, total long")
-
-
 def connected_labels(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each node's connected component (edges: a, b).
 
@@ -161,7 +144,8 @@ def _rarest(sets: DataFrame, need: Column, size: Column) -> DataFrame:
     that no other class holds list nothing; ``weight`` is how many classes hold a value of this class, on average.
     """
     values = sets.select("rep", F.col("n").cast("int").alias("n"), F.explode("row").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    # Written, so that both sides of the join are plain shuffles: Spark then splits a value that many classes hold.
+    shared = materialise(values.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1"))
     # In one number: the count, as far as it orders, above 48 bits of the hash.
     key = F.shiftleft(F.least(F.col("members"), F.lit(32767)).cast("long"), 48) + F.shiftrightunsigned("value", 15)
     # A repeated row counts its values twice, which lists more than is needed; the set keeps each once.
@@ -192,7 +176,7 @@ def sketch_need(percent: int, k: int) -> Column:
 
 def _met(lists: DataFrame) -> DataFrame:
     """rep of the classes that share a list with another class."""
-    several = lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value")
+    several = materialise(lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value"))
     return lists.join(several, "value").select("rep").distinct()
 
 
@@ -204,7 +188,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Returns a row for each input row: the id column, n_shingles, component_id (the least id that links
     reach, its own included) and kept (the id is its component's).  A text without words, or null, has
     no shingles and is linked with nothing; a text of fewer than ``width`` words counts as one shingle.
-    Rows that repeat an id should repeat its text, and repeat its result.
+    Rows that repeat an id should repeat its text, and repeat its result.  Rows with a null id are compared like others; their
+    component is the least id that links reach, or null if there is none, and kept is null.  An empty table gives no rows.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100: the sketches are laid out for such links")
@@ -237,7 +222,8 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         marked = lists.select("rep", "n", "at", "weight", "value").join(labels.withColumnRenamed("node", "rep"), "rep")
         # Lists whose members are all in one component are settled for good.
-        still_open = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value")
+        of_list = [F.min("label").alias("low"), F.max("label").alias("high"), F.min("at").alias("least_at")]
+        still_open = materialise(marked.groupBy("value").agg(*of_list, F.min(_leader(turn)).alias("x")).filter("low <> high").drop("low", "high"))
         lists = materialise(marked.join(still_open, "value"))
         if lists.isEmpty():
             break
@@ -255,24 +241,33 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     return labels
 
 
+#: What a member that is compared with is called.
+_OTHER = {"rep": "head", "n": "m", "at": "other_at", "label": "other"}
+
+
+def _leader(turn: int) -> Column:
+    """What is least for a list's leader in this turn, with its columns."""
+    # A set whose values many others hold leads first: of copies with edits the one with the fewest.
+    first = -F.col("weight") if turn == 0 else F.xxhash64("rep").cast("double")
+    return F.struct(first.alias("first"), *_OTHER)
+
+
 def _pairs(marked: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs a < b to compare in this turn; marked has value, rep, n, at, weight, label, of lists with several labels."""
+    """Pairs a < b to compare in this turn; marked has value, rep, n, at, weight, label, x (the list's leader) and least_at, of lists with several labels."""
     # In the list of the first value that both hold, nothing before it is common: so two linked sets pass in one list at least.
     fits = F.expr(f"100 * least(n - at, m - other_at) >= {percent} * (n + m - least(n - at, m - other_at)) and label <> other")
     ordered = F.expr("struct(least(rep, head) as a, greatest(rep, head) as b)")
-    head = {"rep": "head", "n": "m", "at": "other_at", "label": "other"}
     if turn < LEADER_ROUNDS:
-        # A set whose values many others hold leads first: of copies with edits the one with the fewest.
-        first = -F.col("weight") if turn == 0 else F.xxhash64("rep").cast("double")
-        heads = marked.groupBy("value").agg(F.min(F.struct(first.alias("first"), *head)).alias("x")).select("value", *[F.col(f"x.{c}").alias(as_) for c, as_ in head.items()])
-        meet = marked.join(heads, "value").filter(fits)
+        meet = marked.select("*", *[F.col(f"x.{c}").alias(as_) for c, as_ in _OTHER.items()]).filter(fits)
         if turn:
             return meet.select(ordered.alias("p")).select("p.*").distinct()
         # At first each class meets only the leader with which it shares most lists.
         votes = meet.groupBy("rep", "head").agg(F.count("*").alias("votes"))
         return votes.groupBy("rep").agg(F.min_by("head", F.struct(-F.col("votes"), F.col("head"))).alias("head")).select(ordered.alias("p")).select("p.*").distinct()
-    # Members that leaders left in different components: what is not compared yet is compared now.
-    other = marked.select("value", *[F.col(c).alias(as_) for c, as_ in head.items()])
+    # Members that leaders left in different components: what is not compared yet is compared now.  A partner's first
+    # common value has ``least_at`` values before it at least, so who can't fit even the best partner meets none.
+    marked = marked.filter(f"100 * (n - at) >= {percent} * (n + least_at)")
+    other = marked.select("value", *[F.col(c).alias(as_) for c, as_ in _OTHER.items()])
     return marked.join(other, "value").filter(fits & (F.col("rep") < F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
 
 
@@ -286,4 +281,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFram
     whole = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select("a", "b")
     for name in ("b", "a"):
         whole = whole.join(sets.select(F.col("rep").alias(name), F.col("row").alias(f"whole_{name}")), name)
-    return _overlaps(whole.select("a", "b", "whole_a", "whole_b")).filter(f"100 * common >= {percent} * total").select("a", "b")
+    # A set's values are distinct, so the two sizes and that of the intersection tell the union's.
+    whole = whole.withColumn("common", F.size(F.array_intersect("whole_a", "whole_b"))).withColumn("total", F.size("whole_a") + F.size("whole_b") - F.col("common"))
+    return whole.filter(f"100 * common >= {percent} * total").select("a", "b")
