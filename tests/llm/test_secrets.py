@@ -37,3 +37,55 @@ def test_long_tokens_are_spanned_whole(spark):
     token = "ghp_" + "aB3dE5gH7j" * 40
     out = scanned(spark, [(1, token, "a")])
     assert out[1]["candidates"][0]["end"] == len(token)
+
+
+def test_long_credentials_are_spanned_whole_and_nothing_of_them_is_left(spark):
+    part = "aB3dE5gH7jK9_-" * 215
+    texts = [f"x eyJ{part}.eyJ{part}.{part * 2} y", "z " + key("\n".join(BODY + str(i) for i in range(40))) + " z", f"password={part * 4}"]
+    out = scanned(spark, [(i, t, f"s{i}") for i, t in enumerate(texts)])
+    df = spark.createDataFrame([(i, t, out[i]["live"]) for i, t in enumerate(texts)], f"doc_id long, text string, live {secrets.SPANS}")
+    assert [r[0] for r in df.orderBy("doc_id").select(secrets.redact(F.col("text"), F.col("live"))).collect()] == ["x [SECRET] y", "z [SECRET] z", "[SECRET]"]
+
+
+def test_many_matches_and_hostile_runs_are_read_in_good_time(spark):
+    import time
+
+    texts = ["token=abcdef " * 20_000, "eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 5_000, "eyJaaaaaaaaa." * 20_000, "password" * 50_000]
+    began = time.time()
+    out = scanned(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    assert time.time() - began < 60
+    spans = out[0]["candidates"]
+    assert [(c["start"], c["end"]) for c in spans] == [(13 * i, 13 * i + 12) for i in range(20_000)]
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    text = f"token={LEAKED}"
+    rows = [(None, text, "a"), (None, f"secret: {EXAMPLE}", "b"), (7, text, None), (7, "nothing", "a"), (7, "nothing", "a"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"live": F.lit(1), "value": F.lit("x"), "uid": F.lit(2)})
+    out = secrets.scan_secrets(df, owner=F.col("source"), keep="row").collect()
+    assert len(out) == len(rows)
+    got = sorted((str(r["row"]["text"]), r["n_live"], r["n_shared"], len(r["candidates"]), r["row"]["live"]) for r in out)
+    # The leak has two owners, more than one; the example has one.
+    assert got == sorted([(text, 0, 1, 1, 1), (f"secret: {EXAMPLE}", 1, 0, 1, 1), (text, 0, 1, 1, 1), ("nothing", 0, 0, 0, 1), ("nothing", 0, 0, 0, 1), ("None", 0, 0, 0, 1)])
+    assert secrets.scan_secrets(df.filter("false"), owner=F.col("source")).count() == 0
+
+
+def test_ownership_is_that_of_plain_python(spark):
+    import collections
+
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"]: r["candidates"] for r in secrets.find_secrets(df).collect()}
+    owners, repositories = collections.defaultdict(set), collections.defaultdict(set)
+    for d in table:
+        for c in found[d["doc_id"]]:
+            owners[c["value"]].add(d["source"] or "")
+            repositories[c["value"]].add(d["doc_id"])
+    most_owners, most_repositories = max(1, 0.05 * len({d["source"] or "" for d in table})), max(20, 1e-4 * len(table))
+    shared = {v for v in owners if len(owners[v]) > most_owners or len(repositories[v]) > most_repositories * len(owners[v])}
+    for r in secrets.scan_secrets(df, owner=F.col("source")).collect():
+        own = found[r["doc_id"]]
+        assert r["candidates"] == own and r["n_shared"] == sum(c["value"] in shared for c in own)
+        assert r["live"] == sorted(c for c in own if c["looks"] and c["value"] not in shared) and r["n_live"] == len(r["live"])
