@@ -7,7 +7,7 @@ import json
 import numpy as np
 
 _NONE = np.int64(1 << 40)
-_SLOTS = 20
+_SLOTS = 18
 
 
 class PairTable:

@@ -31,8 +31,13 @@ from gridloom.llm.word_ids import WordIds
 
 K1, B = 1.2, 0.75
 
-#: One strong term of a document.
-STRONG = np.dtype([("term", "<u4"), ("weight", "<f4")])
+
+
+def strong_type(width: str) -> np.dtype:
+    """One strong term of a document: an id of the type ``width`` and its weight, to three digits, as retrieval adds up a few."""
+    return np.dtype([("term", width), ("weight", "<f2")])
+
+
 #: A piece of a list is named by its task and number; a choice is a score in hundredths and the complement of a name.
 NUMBER_BITS, PIECE_BITS = 24, 42
 PIECE_MASK = (1 << PIECE_BITS) - 1
@@ -196,16 +201,17 @@ def corpus_of(tokens: DataFrame, width: str) -> Corpus:
 
 
 def strong_rows(tokens: DataFrame, width: str, corpus: Corpus, query_terms: int) -> DataFrame:
-    """uid and strong (bytes of ``STRONG``, by falling weight) of each document."""
+    """uid and strong (bytes of ``strong_type``, by falling weight) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = strong_type(width)
         for batch in batches:
             for first, end, flat, sizes in id_slices(batch.column("ids"), width):
                 doc, term, weight, strong = corpus.strong_terms(flat, sizes, query_terms)
-                packed = np.zeros(len(strong), dtype=STRONG)
+                packed = np.zeros(len(strong), dtype=kind)
                 packed["term"], packed["weight"] = term[strong], weight[strong]
                 raw = packed.tobytes()
-                ends = (np.concatenate(([0], np.cumsum(np.bincount(doc[strong], minlength=len(sizes))))) * STRONG.itemsize).tolist()
+                ends = (np.concatenate(([0], np.cumsum(np.bincount(doc[strong], minlength=len(sizes))))) * kind.itemsize).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("uid").slice(first, end - first), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["uid", "strong"])
 
     return tokens.select("uid", "ids").mapInArrow(run, "uid long, strong binary")
@@ -217,7 +223,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def postings(strong: DataFrame) -> DataFrame:
+def postings(strong: DataFrame, width: str) -> DataFrame:
     """A row for each strong term: term, near, uid, strong.
 
     ``near`` names the document's other strong terms that come first in an order of the term's own, drawn
@@ -225,12 +231,13 @@ def postings(strong: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = strong_type(width)
         for batch in batches:
             held = batch.column("strong").to_pylist()
-            sizes = np.array([len(h) // STRONG.itemsize for h in held], dtype=np.int64)
+            sizes = np.array([len(h) // kind.itemsize for h in held], dtype=np.int64)
             for q in np.unique(sizes[sizes > 0]).tolist():
                 rows = np.flatnonzero(sizes == q)
-                term = np.frombuffer(b"".join([held[i] for i in rows.tolist()]), dtype=STRONG)["term"].reshape(len(rows), q).astype(np.uint64)
+                term = np.frombuffer(b"".join([held[i] for i in rows.tolist()]), dtype=kind)["term"].reshape(len(rows), q).astype(np.uint64)
                 drawn = _mixed(_mixed(term + np.uint64(1))[:, :, None] ^ term[:, None, :])
                 drawn[:, np.arange(q), np.arange(q)] = np.iinfo(np.uint64).max
                 first = np.argsort(drawn, axis=2)[:, :, : min(3, q - 1)]
@@ -243,11 +250,12 @@ def postings(strong: DataFrame) -> DataFrame:
     return strong.mapInArrow(run, "term long, near long, uid long, strong binary")
 
 
-def retrieval(strong: list[bytes], top: int) -> np.ndarray:
+def retrieval(strong: list[bytes], top: int, width: str) -> np.ndarray:
     """For each document of a piece, its ``top`` best scores among the others, the i-th divided by i, summed."""
     m = len(strong)
-    held = np.frombuffer(b"".join(strong), dtype=STRONG)
-    doc = np.repeat(np.arange(m), [len(s) // STRONG.itemsize for s in strong])
+    kind = strong_type(width)
+    held = np.frombuffer(b"".join(strong), dtype=kind)
+    doc = np.repeat(np.arange(m), [len(s) // kind.itemsize for s in strong])
     _, term, count = np.unique(held["term"], return_inverse=True, return_counts=True)
     # Common terms by a matrix product, others pair by pair.
     common = count > max(m // 16, 1)
@@ -269,7 +277,7 @@ def retrieval(strong: list[bytes], top: int) -> np.ndarray:
     return best @ (1 / np.arange(1, k + 1))
 
 
-def choices(listed: DataFrame, top: int, piece_rows: int) -> DataFrame:
+def choices(listed: DataFrame, top: int, piece_rows: int, width: str) -> DataFrame:
     """uid and choice of each document in each piece of the lists, which are sorted by term and near."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -305,7 +313,7 @@ def choices(listed: DataFrame, top: int, piece_rows: int) -> DataFrame:
             return out
 
         for rows in pieces(noted()):
-            score = (retrieval([r[3] for r in rows], top) * 100).astype(np.int64)
+            score = (retrieval([r[3] for r in rows], top, width) * 100).astype(np.int64)
             uids.extend([r[2] for r in rows])
             found.append((score << PIECE_BITS) | (PIECE_MASK - ((split[0] << NUMBER_BITS) + number)))
             number += 1
@@ -318,7 +326,7 @@ def choices(listed: DataFrame, top: int, piece_rows: int) -> DataFrame:
 
 
 def pack_documents(
-    df: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 2048, shard_tokens: int = 4_000_000,
+    df: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 2048, shard_tokens: int = 1_000_000,
     query_terms: int = 12, top: int = 32, with_ids: bool = False, piece_rows: int = 256,
 ) -> DataFrame:
     """Packs all rows into sequences of at most ``window`` ids.
@@ -329,7 +337,12 @@ def pack_documents(
     offset (in its sequence) and, with ``with_ids``, ids (array).  Neighbours are looked for among all rows, in
     pieces of at most ``piece_rows`` of each strong term's list; rows without a neighbour stay in their order.
     A shard ends at ``shard_docs`` rows or ``shard_tokens`` ids, so memory doesn't grow with the input.  Rows
-    that repeat an id are packed apart.
+    that repeat an id are packed apart, and so are null ids.  A document longer than a window fills windows of its own.  Equal
+    scores go by position, equal texts are neighbours.  An empty table gives no rows.
+
+    A document asks for neighbours by its ``query_terms`` strongest terms, as search engines do with a whole document for a query,
+    and a window asks for ``top`` of them.  When these are used up the window's last document asks in its turn, and so on: so
+    neither number ends the search while unused documents share a term, nor does it drop a row.
     """
     from tokenizers import Tokenizer
 
@@ -339,9 +352,9 @@ def pack_documents(
     corpus = corpus_of(tokens, width)
     strong = materialise(strong_rows(tokens, width, corpus, query_terms))
     order = ["term", "near", "uid"]
-    listed = postings(strong).repartitionByRange(*order).sortWithinPartitions(*order)
+    listed = postings(strong, width).repartitionByRange(*order).sortWithinPartitions(*order)
     # Every choice of a document differs in its piece, so the best one is one number.  Once they are written the lists' shuffle goes.
-    chosen = materialise(choices(listed, top, piece_rows).groupBy("uid").agg(F.max("choice").alias("choice")))
+    chosen = materialise(choices(listed, top, piece_rows, width).groupBy("uid").agg(F.max("choice").alias("choice")))
     # No list's piece has a negative name: there is one for each run of rows that found nothing.
     alone = F.lit(-1) - F.shiftright("uid", 8)
     group = F.coalesce(F.col("choice").bitwiseAND(F.lit(PIECE_MASK)), alone)

@@ -27,11 +27,11 @@ _LOWER[65:91] += 32
 #: Control characters, and bytes of characters beyond U+00FF or below U+00C0.
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[*range(9), *range(14, 32), 127, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
-_SLOTS = 21
+_SLOTS = 20
 
 
 class WordIds:
-    def __init__(self, path: str, most: int = 4_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -46,7 +46,7 @@ class WordIds:
     def _forget(self) -> None:
         """An empty table: a slot for each hash prefix, and a pool of ids of at most ``most`` and one batch's."""
         self.held = np.zeros(1 << _SLOTS, dtype=np.uint64)
-        self.at, self.size = np.zeros(1 << _SLOTS, dtype=np.int64), np.zeros(1 << _SLOTS, dtype=np.int64)
+        self.at, self.size = np.zeros(1 << _SLOTS, dtype=np.int32), np.zeros(1 << _SLOTS, dtype=np.int32)
         self.pool, self.filled = np.zeros(1 << 20, dtype=np.uint32), 0
 
     def _add(self, flat: np.ndarray) -> int:
@@ -100,7 +100,7 @@ class WordIds:
             start, end, owner = start[plain], end[plain], owner[plain]
         hashes = span_hashes(low, start, end)
         slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(self.held[slot] != hashes)
         if len(miss):
             _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
