@@ -1,27 +1,31 @@
 """I-Match document fingerprints in DataFrame operations only.
 
-Terms are hashed; a first pass counts the documents of each slot of a hashed lexicon of
-fixed size, so what a task must know of the corpus stays 2**18 bytes at every input size.
-A document keeps its terms within a band of inverse document frequency, sorted and
-distinct, and hashes them under randomised subsets of the lexicon at several rates: long
-documents are told apart and found again by thin subsets, short ones by thick ones.
+Terms are hashed to 64 bits and each term's documents are counted over all rows.  Those within
+a band of inverse document frequency are the lexicon.  A document keeps its terms of the
+lexicon, sorted and distinct, and hashes them under randomised subsets of the lexicon at several
+rates: long documents are told apart and found again by thin subsets, short ones by thick ones.
+
+The lexicon's size is bounded at every input size: as a term is in one of 13,000 documents at
+least, there are no more than 13,000 terms for each distinct term of a document on average.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_and_text
+from gridloom.llm.common import id_and_text, materialise
 
-SLOT_BITS = 18
 SUBSETS = 16
 #: One subset of a scale keeps one of so many terms of the lexicon.
 RATES = (4, 16, 64, 256, 1024)
 #: Terms in more than a tenth of the documents, or in fewer than one of 13,000, are outside the band.
 MIN_IDF, MAX_IDF = math.log(10), math.log(13_000)
+#: Bytes of text that a task joins at a time.
+TASK_BYTES = 1 << 25
 
 
 def term_hashes(text: Column) -> Column:
@@ -30,36 +34,36 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def _slot(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 64 - SLOT_BITS)
+def lexicon(texts: DataFrame, *, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[int]:
+    """The hashes of the terms in the band, sorted; document counts are those of each term over all rows."""
+    counted = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(float(max(texts.count(), 1))) / F.col("df"))
+    return sorted(r["term"] for r in counted.filter((idf >= min_idf) & (idf <= max_idf)).select("term").collect())
 
 
-def lexicon_band(texts: DataFrame, *, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> bytes:
-    """A byte for each slot of the hashed lexicon, 1 if its terms are in the band (document counts over all rows)."""
-    counted = texts.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), _slot))).alias("slot")).groupBy("slot").agg(F.count("*").alias("df"))
-    n = texts.count()
-    idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    kept = counted.filter((idf >= min_idf) & (idf <= max_idf)).select("slot")
-    band = bytearray(1 << SLOT_BITS)
-    for row in kept.collect():  # at most 2**18 small numbers, at every input size
-        band[row["slot"]] = 1
-    return bytes(band)
+def in_lexicon(terms: list[int]):
+    """A function of a hash column: whether it is one of ``terms``, by a constant table of short lists that its first bits index."""
+    bits = max(1, len(terms).bit_length())
+    table: list[list[int]] = [[] for _ in range(1 << bits)]
+    for t in terms:
+        table[(t & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)].append(t)
+    held = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
+    return lambda t: F.array_contains(F.get(held, F.shiftrightunsigned(t, 64 - bits).cast("int")), t)
 
 
-def fingerprint(text_col: str, out_col: str, band: bytes):
-    """A function of DataFrames that adds ``out_col``: 80 hashes of ``text_col``, 0 for an empty subset.
+def fingerprint(text_col: str, out_col: str, terms: list[int]):
+    """A function of DataFrames that adds ``out_col``: 80 hashes of ``text_col``, 0 for an empty subset; ``terms`` is the lexicon.
 
-    A text without a term in the band is hashed by all its terms; one without terms has zeros only.
+    A text without a term in the lexicon is hashed by all its terms; one without terms has zeros only.
     """
-    mark = F.lit(bytearray(band))
-    one = F.lit(bytearray(b"\1"))
+    known = in_lexicon(terms)
 
     def hashed(terms: Column) -> Column:
         return F.when(F.size(terms) == 0, 0).otherwise(F.hash(terms))
 
     def add(df: DataFrame) -> DataFrame:
         df = df.withColumn("_all", term_hashes(F.col(text_col)))
-        df = df.withColumn("_in", F.filter("_all", lambda t: F.substring(mark, _slot(t).cast("int") + 1, F.lit(1)) == one))
+        df = df.withColumn("_in", F.filter("_all", known))
         df = df.withColumn("_terms", F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")))
         parts = []
         for rate in RATES:
@@ -94,49 +98,55 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when {a} = {b} then 1.0D else cast(greatest({', '.join(shares)}) as double) end")
 
 
-def _buckets(texts: DataFrame, rows: int) -> Column:
-    """Runs of ids of some ``rows`` rows each where ids are spread evenly."""
-    low, high, n = texts.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n or low is None:
-        return F.lit(0).cast("long")
-    width = max(1, (high - low + 1) * rows // n)
-    return F.floor((F.coalesce(F.col("doc_id"), F.lit(low)) - low) / width).cast("long")
-
+def next_keys(named: DataFrame) -> DataFrame:
+    """Of rows that ``k1`` and ``k2`` name, who follows whom: k1, k2, n, n1, n2 (the next row's name) and times.
 
-def with_next(df: DataFrame, texts: DataFrame, bucket: Column, columns: list[str], add) -> DataFrame:
-    """Adds next_<c> for each c of ``columns``: those of the next row by doc_id, after the last of the first.
-
-    Rows of equal ids are ordered by text.  Rows are dealt by ``bucket``, runs of ids, and not sorted as
-    one: a run's last row gets the first of the next run.  ``texts`` are the rows before ``add`` gave them their
-    columns; the runs' first rows are found there, so that no row is worked on twice.
+    Rows are ordered by doc_id (null first), then name; after the last comes the first.  Equal rows (same id and text) follow
+    one another: they are one name, whose ``times`` - 1 = copies - 1 rows are followed by their like.  Only ids, names
+    and lengths are sorted: in ranges, of which each one's last row gets the next range's first.
     """
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    heads = texts.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))
-    # One row for each run of rows, so this sort is some thousand times smaller than the table.
-    ring = heads.select(F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"), "doc_id")
-    first = texts.join(ring, texts["doc_id"].eqNullSafe(ring["doc_id"])).groupBy("bucket").agg(F.min("text").alias("text"))
-    first = add(first).select("bucket", *[F.col(c).alias(f"_first_{c}") for c in columns])
-    inner = df.withColumn("bucket", bucket)
-    inner = inner.withColumns({"_final": F.lead(F.lit(False), 1, True).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in columns}).join(first, "bucket", "left")
-    return inner.select(*df.columns, *[F.when(F.col("_final"), F.col(f"_first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
-
-
-def next_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 4096) -> DataFrame:
+    narrow = named.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    ranged = materialise(narrow.repartitionByRange("doc_id", "k1", "k2").withColumn("part", F.spark_partition_id()))
+    name = F.struct("k1", "k2")
+    heads = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("head"))
+    parts = Window.orderBy("part")  # a row for each range
+    ring = heads.select("part", F.coalesce(F.lead("head").over(parts), F.first("head").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
+    follow = F.lead(name).over(Window.partitionBy("part").orderBy("doc_id", "k1", "k2"))
+    placed = ranged.withColumn("after", follow).join(ring, "part").withColumn("after", F.coalesce("after", F.struct("head.k1", "head.k2")))
+    link = lambda to, times: F.struct(to["k1"].alias("n1"), to["k2"].alias("n2"), times.cast("int").alias("times"))
+    last = link(F.col("after"), F.lit(1))
+    links = F.when(F.col("copies") > 1, F.array(last, link(name, F.col("copies") - 1))).otherwise(F.array(last))
+    return placed.select("k1", "k2", "n", F.explode(links).alias("link")).select("k1", "k2", "n", "link.*")
+
+
+def next_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
     """Fingerprints of each text and of the same text with its last quarter replaced by the next text's start.
 
-    Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited and near_next (likeness to
-    the edited text and to the next row's text).  A null text is empty, and has no terms.  An empty table
-    gives no rows; a single row is its own next one.
+    Returns the id column, n_chars, edited, fingerprint, edited_fingerprint, near_edited and near_next (likeness to
+    the edited text and to the next row's text) and next_id, for each row.  Rows are ordered by id, of any type that can be ordered, null
+    first; rows of one id follow in an order by a hash of their texts, and equal rows give equal results but for
+    the last of them.  A null text is empty, and has no terms; a text of 1 to 3 characters has no quarter and is
+    its own edited text.  An empty table gives no rows; a single row is its own next one.
+
+    Whole texts are shuffled once, by the hashes that name them.  Each row is joined to the name of the row before it and sends
+    that one its first characters and its fingerprint, by a second, smaller shuffle.
     """
     texts = id_and_text(df, id_col, text_col)
-    band = lexicon_band(texts)
-    add = fingerprint("text", "print", band)
-    n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    paired = with_next(add(texts), texts, _buckets(texts, rows), ["text", "print"], add).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print")
-    out = fingerprint("edited", "edited_print", band)(paired)
-    return out.select(
-        "doc_id", "n_chars", "edited", fingerprint_text("print").alias("fingerprint"), fingerprint_text("edited_print").alias("edited_fingerprint"),
-        likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"),
+    terms = lexicon(texts)
+    name = {k: F.xxhash64(F.lit(i), "doc_id", "text") for i, k in enumerate(("k1", "k2"))}
+    quarter = F.floor(F.col("n") / 4).cast("int")
+    named = texts.select("doc_id", F.length("text").alias("n"), *[c.alias(k) for k, c in name.items()])
+    links = next_keys(named)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = fingerprint("text", "print", terms)(texts.withColumns(name))
+    # A name's partition is fixed here, so that both joins below read one and the same shuffle.
+    rows = rows.repartition(max(2, math.ceil(size / task_bytes)), "k1", "k2").dropDuplicates(["k1", "k2"])
+    sent = rows.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "doc_id", "text", "print").join(links.hint("shuffle_hash"), ["n1", "n2"])
+    sent = sent.select("k1", "k2", "n", "times", F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), quarter).alias("start"), F.col("print").alias("next_print"))
+    paired = rows.join(sent, ["k1", "k2"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - quarter), "start"))
+    out = fingerprint("edited", "edited_print", terms)(paired.select("doc_id", "n", "times", "next_id", "edited", "print", "next_print"))
+    out = out.select(
+        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited", fingerprint_text("print").alias("fingerprint"), fingerprint_text("edited_print").alias("edited_fingerprint"),
+        likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"), "next_id", "times",
     )
+    return out.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times")
