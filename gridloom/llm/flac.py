@@ -1,9 +1,10 @@
 """FLAC: an encoder and a decoder for mono audio in numpy, as column operators.
 
-Both work on many frames at once.  The decoder advances all frames of a group in
-lockstep: the n-th Rice code of every frame is read in one vector step, predictors
-are undone by sums or by one vector step per sample, and header and frame checksums
-are folded byte by byte over all frames together.
+Both work on groups of ``GROUP`` frames, so that what they hold beside a stream and its
+samples doesn't grow with it.  The decoder advances all frames of a group in lockstep: the
+n-th Rice code of every frame is read in one vector step, predictors are undone by sums or
+by one vector step per sample, and header and frame checksums are folded byte by byte over
+all frames together.  Samples are handed on in blocks with their offsets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 BLOCK = 512
+GROUP = 512
 RATE = 8000
+#: Samples of a block that a reader seeks.
+PCM_BLOCK = 4096
 #: Fixed predictors of the format: order n takes the n-th difference.
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 #: The format's block-size and sample-size codes (fixed values; 6 and 7 read 8 or 16 bits after the header).
@@ -101,7 +105,7 @@ class Encoder:
         number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = np.repeat(np.cumsum(lengths) - lengths, blocks) + number * BLOCK
         size = np.minimum(BLOCK, np.repeat(lengths, blocks) - number * BLOCK)
-        bodies = self._bodies(data, start, size)
+        bodies = [b for i in range(0, len(start), GROUP) for b in self._bodies(data, start[i : i + GROUP], size[i : i + GROUP])]
         heads = [self.header(n, s) for n, s in zip(number.tolist(), size.tolist(), strict=True)]
         frames = [h + b for h, b in zip(heads, bodies, strict=True)]
         spans = np.array([len(f) for f in frames], dtype=np.int64)
@@ -262,7 +266,6 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     base = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    bits = _Bits(data)
     # Sync codes propose frames; those whose header checksum holds and that follow one another by number are frames.
     starts, owner = [], []
     for i, info in enumerate(infos):
@@ -280,21 +283,26 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         if n == due.get(i, 0):
             sequels[k], due[i], last = True, n + 1, k  # noqa: F841
     start, owner, depth, heads = start[sequels], owner[sequels], depth[sequels], {k: v[sequels] for k, v in heads.items()}
-    samples, stop = _subframes(bits, 8 * (start + heads["bytes"]), heads["size"], depth)
-    end = (stop + 7) >> 3
-    crc = checksums(data, start, end - start, CRC16, 16).astype(np.int64)
-    if (crc != bits.read(8 * end, 16)).any():
-        raise FlacError("a frame's checksum fails")
-    follow = np.concatenate((start[1:], [len(data)]))
     closing = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
-    if (end + 2 != np.where(closing, (base + lengths)[owner], follow)).any():
-        raise FlacError("bytes between frames")
+    follow = np.where(closing, (base + lengths)[owner], np.concatenate((start[1:], [len(data)]))) if len(owner) else start
+    samples = [np.zeros(0, np.int32)]
+    for i in range(0, len(start), GROUP):
+        g = slice(i, i + GROUP)
+        low, size = start[i], heads["size"][g]
+        own = data[low : int(follow[g][-1])]
+        bits = _Bits(own)
+        rows, stop = _subframes(bits, 8 * (start[g] - low + heads["bytes"][g]), size, depth[g])
+        end = (stop + 7) >> 3
+        if (end + low + 2 != follow[g]).any():
+            raise FlacError("bytes between frames, or a frame that is cut")
+        if (checksums(own, start[g] - low, end - (start[g] - low), CRC16, 16).astype(np.int64) != bits.read(8 * end, 16)).any():
+            raise FlacError("a frame's checksum fails")
+        samples.append(rows[np.arange(rows.shape[1]) < size[:, None]].astype(np.int32))
+    flat, per_frame = np.concatenate(samples), np.concatenate(([0], np.cumsum(heads["size"])))
     out = []
     first = np.searchsorted(owner, np.arange(len(streams) + 1))
     for i, info in enumerate(infos):
-        rows = slice(first[i], first[i + 1])
-        sizes = heads["size"][rows]
-        pcm = samples[rows][np.arange(samples.shape[1]) < sizes[:, None]] if len(sizes) else np.zeros(0, np.int32)
+        pcm = flat[per_frame[first[i]] : per_frame[first[i + 1]]]
         width = (info["depth"] + 7) // 8
         raw = pcm.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
         if len(pcm) != info["samples"] or info["md5"] != bytes(16) and hashlib.md5(raw).digest() != info["md5"]:
@@ -362,8 +370,10 @@ def _subframes(bits: _Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray)
         for i in range(order):
             out[rows, i] = bits.signed(end[rows], depth[rows])
             end[rows] += depth[rows]
-        taps, shift = np.broadcast_to(np.array(FIXED.get(order, ()), dtype=np.int64), (len(rows), order if code < 32 else 0)), np.zeros(len(rows), dtype=np.int64)
-        if code >= 32:
+        shift = np.zeros(len(rows), dtype=np.int64)
+        if code < 32:
+            taps = np.broadcast_to(np.array(FIXED[order], dtype=np.int64), (len(rows), order))
+        else:
             precision = bits.read(end[rows], 4) + 1
             shift = bits.signed(end[rows] + 4, 5)
             end[rows] += 9
@@ -469,7 +479,8 @@ def _sizes(batch: pd.Series) -> np.ndarray:
 def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
     """Adds ``media_col``: the payload's bytes b as samples b - 128 of a lossless 8-bit mono FLAC stream.
 
-    A null or empty payload gives null.  Equal payloads give equal bytes.
+    A null or empty payload gives null.  Equal payloads give equal bytes.  A payload of any length is coded whole; a task
+    holds one run of ``run_bytes``, or one longer payload and its stream.
     """
 
     @F.pandas_udf("binary")
@@ -496,33 +507,38 @@ def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 <
     return df.withColumn("_decoded", decoded(F.col(media_col))).withColumns({"pcm": F.col("_decoded.pcm"), "media_error": F.col("_decoded.media_error")}).drop("_decoded")
 
 
-def store_and_read(df: DataFrame, describe: Callable[[bytes | None, bytes | None], tuple], fields: StructType, *, payload_col: str = "payload", run_bytes: int = 1 << 18) -> DataFrame:
-    """``encode_flac`` and ``decode_flac`` in one Python step, for readers that keep neither stream nor samples.
+def cut_blocks(pcm: bytes, block: int = PCM_BLOCK, width: int = 1) -> Iterator[tuple[int, bytes]]:
+    """Sample offset and bytes of each block of ``block`` samples of ``width`` bytes."""
+    for at in range(0, len(pcm) // width, block):
+        yield at, pcm[at * width : (at + block) * width]
+
 
-    In place of ``payload_col`` come ``fields``, the values of ``describe(media, pcm)``, and ``media_error``.
-    A task holds one run of ``run_bytes`` of streams and samples, or one longer payload's, at a time.
+def read_blocks(df: DataFrame, describe: Callable[[bytes | None, Iterator[tuple[int, bytes]]], tuple], fields: StructType, *, media_col: str = "media", block: int = PCM_BLOCK, run_bytes: int = 1 << 18) -> DataFrame:
+    """Decodes stored streams and tells of each what ``describe`` does of the stream and its blocks (of 8-bit samples, with their offsets).
+
+    In place of ``media_col`` come ``fields``, those values, and ``media_error``, as ``decode_flac`` has it; a stream that
+    fails has no blocks.  A task holds one run of ``run_bytes`` of streams and samples, or one longer stream's, at a time.
     """
-    schema = StructType([*df.drop(payload_col).schema.fields, *fields.fields, StructField("media_error", StringType())])
+    schema = StructType([*df.drop(media_col).schema.fields, *fields.fields, StructField("media_error", StringType())])
     kinds = to_arrow_schema(StructType(schema.fields[-len(fields) - 1 :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder()
         for batch in batches:
-            payloads = batch.column(payload_col)
-            others = batch.drop_columns([payload_col])
-            for first, end in _runs(pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False), run_bytes):
-                media = _encoded(coder, payloads.slice(first, end - first).to_pylist())
-                rows = [(*describe(m, pcm), error) for m, (pcm, error) in zip(media, _decoded(media), strict=True)]
+            stored = batch.column(media_col)
+            others = batch.drop_columns([media_col])
+            for first, end in _runs(pc.fill_null(pc.binary_length(stored), 0).to_numpy(zero_copy_only=False), run_bytes):
+                media = stored.slice(first, end - first).to_pylist()
+                rows = [(*describe(m, cut_blocks(pcm or b"", block)), error) for m, (pcm, error) in zip(media, _decoded(media), strict=True)]
                 told = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*others.slice(first, end - first).columns, *told], [*others.schema.names, *kinds.names])
 
     return df.mapInArrow(run, schema)
 
 
-def pcm_blocks(df: DataFrame, *, id_col: str = "doc_id", block: int = 4096, width: int = 1) -> DataFrame:
+def pcm_blocks(df: DataFrame, *, id_col: str = "doc_id", block: int = PCM_BLOCK, width: int = 1) -> DataFrame:
     """One row per block of ``block`` samples of ``pcm``: the id, block, sample_offset, samples and pcm.
 
-    A reader seeks sample s in block s div ``block``.  Rows without pcm give no block.
+    A reader seeks sample s in block s div ``block``.  Rows without pcm give no block; rows that repeat an id give its blocks as often.
     """
     n = F.floor(F.octet_length("pcm") / width)
     cut = df.filter("pcm is not null and octet_length(pcm) > 0").select(F.col(id_col), "pcm", F.explode(F.sequence(F.lit(0), (F.ceil(n / block) - 1).cast("int"))).alias("block"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +58,29 @@ def padded_payloads(df: DataFrame) -> DataFrame:
 MEDIA_FIELDS = StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
 
 
-def media_digest(media: bytes | None, pcm: bytes | None) -> tuple[int, str, int, int, str, str]:
-    """``MEDIA_FIELDS`` of a stream and the samples read from it."""
-    media, pcm = media or b"", np.frombuffer(pcm or b"", dtype=np.int8)
-    payload = (pcm.view(np.uint8) ^ 0x80).tobytes()
-    wide, below = pcm.astype(np.int64), pcm < 0
-    feature = f"samples={len(pcm)};peak={int(np.abs(wide).max(initial=0))};sum={int(wide.sum())};energy={int(wide @ wide)};crossings={int(np.count_nonzero(below[1:] != below[:-1]))}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+def media_digest(media: bytes | None, blocks: Iterator[tuple[int, bytes]]) -> tuple[int, str, int, int, str, str]:
+    """``MEDIA_FIELDS`` of a stream and the blocks of samples read from it, one block at a time."""
+    media, whole, tail = media or b"", hashlib.sha256(), b""
+    samples = n_blocks = peak = total = energy = crossings = 0
+    below = None
+    for offset, pcm in blocks:
+        if offset != samples:
+            raise ValueError("a block is missing")
+        payload = (np.frombuffer(pcm, dtype=np.uint8) ^ 0x80).tobytes()
+        whole.update(payload)
+        tail = (tail + payload)[-64:]
+        wide = np.frombuffer(pcm, dtype=np.int8).astype(np.int64)
+        sign = wide < 0
+        crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + (below is not None and below != bool(sign[0]))
+        peak, total, energy = max(peak, int(np.abs(wide).max())), total + int(wide.sum()), energy + int(wide @ wide)
+        samples, n_blocks, below = samples + len(wide), n_blocks + 1, bool(sign[-1])
+    feature = f"samples={samples};blocks={n_blocks};peak={peak};sum={total};energy={energy};crossings={crossings}"
+    return samples, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.store_and_read(padded_payloads(documents(spark, sf_dir)), media_digest, MEDIA_FIELDS)
+    stored = flac.encode_flac(padded_payloads(documents(spark, sf_dir))).drop("payload")
+    return flac.read_blocks(stored, media_digest, MEDIA_FIELDS)
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +89,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = imatch.next_likeness(documents(spark, sf_dir))
-    return out.select("doc_id", "n_chars", hex_sha256(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", hex_sha256(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,3 +126,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
     "pipeline": pipeline,
 }
+
+
+#: DuckDB SQL where it can express a query: near copies as a join on all shingles and the least id that links reach.
+ORACLE: dict[str, str] = {
+    "op4_minhash": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (n + m - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 85 * (n + m - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, sh""",
+}
