@@ -29,6 +29,14 @@ def hex_sha256(col: Column) -> Column:
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for rows written between steps; a temporary one where there is only this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="gridloom-")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
 
@@ -36,8 +44,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     conf = df.sparkSession.conf
     before = conf.get(_SHUFFLE_CLEANUP)
     conf.set(_SHUFFLE_CLEANUP, "true")

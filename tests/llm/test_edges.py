@@ -27,6 +27,41 @@ def test_a_row_for_each_row(name, docs, none):
     assert run(none).count() == 0
 
 
+ROWWISE = ["language", "pii", "licenses", "flac", "tokens", "secrets", "pieces", "minhash"]
+
+
+@pytest.mark.parametrize("name", ROWWISE)
+def test_values_don_t_depend_on_other_columns_or_on_repeated_rows(name, docs):
+    run = OPERATORS[name]
+    text = lambda rows: sorted(str(r.asDict(True)) for r in rows)
+    plain = run(docs.select("doc_id", "text", "lang", "source")).collect()
+    assert text(run(docs).collect()) == text(plain)
+    twice = docs.unionByName(docs)
+    if name == "language":  # fitted on the same rows
+        known = language.fit_dictionaries(docs)
+        run = lambda d: language.identify(d, known)
+    assert text(run(twice).collect()) == sorted(2 * text(plain))
+
+
+@pytest.mark.parametrize("name", ["language", "pii", "licenses", "tokens", "pieces", "flac", "minhash"])
+def test_null_and_empty_texts_give_the_same(name, docs):
+    out = {r["doc_id"]: r.asDict(True) for r in OPERATORS[name](docs.filter("doc_id < 3 or doc_id = 8")).collect()}
+    strip = lambda r: {k: v for k, v in r.items() if k not in ("doc_id", "component_id")}
+    assert strip(out[1]) == strip(out[2]) != strip(out[8])
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_a_text_of_five_megabytes(name, spark):
+    long = " ".join(f"word{i % 9973} and another{i % 7}" for i in range(220_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, "short text of some words here", "en", "b"), (3, long, "en", "c")], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r.asDict(True) for r in OPERATORS[name](df).collect()}
+    assert set(out) == {1, 2, 3}
+    if name not in ("imatch", "minhash"):
+        assert {k: v for k, v in out[1].items() if k != "doc_id"} == {k: v for k, v in out[3].items() if k != "doc_id"}
+    if name == "minhash":
+        assert out[3]["component_id"] == 1
+
+
 def test_packing_holds_every_row_and_no_row(docs, none):
     out = packing.pack_documents(docs, tokenizer=WORD)
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}

@@ -34,3 +34,53 @@ def test_each_copy_counts_once():
 
 def test_prose_has_no_license():
     assert names(PROSE) == [] and names("") == [] and names("copyright") == []
+
+
+def brute(text, templates, threshold):
+    """The best run of words of any one template: Dice of all runs, one by one."""
+    words, best = licenses.words_of(text), {}
+    for name, t in templates.items():
+        own = licenses.bigrams(licenses.words_of(t))
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                run = licenses.bigrams(words[i:j])
+                dice = 2 * len(run & own) / (len(run) + len(own))
+                if dice >= threshold and dice > best.get(name, 0):
+                    best[name] = dice
+    return best
+
+
+def test_dice_is_that_of_all_runs():
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    for _ in range(60):
+        template = rng.choices(vocabulary, k=rng.randint(6, 20))
+        noise = lambda k: rng.choices(vocabulary, k=k)  # noqa: E731, B023
+        inside = [w if rng.random() > 0.05 else rng.choice(vocabulary) for w in template]
+        text = " ".join(noise(rng.randint(0, 15)) + inside + noise(rng.randint(0, 15)))
+        matcher = licenses.Matcher({"t": " ".join(template)}, 0.8)
+        size, _, own = matcher.sets[0]
+        words = licenses.words_of(text)
+        runs = matcher.windows(list(zip(words, words[1:], strict=False)), size, own, matcher.least[0])
+        want = brute(text, {"t": " ".join(template)}, 0.8)
+        assert bool(runs) == bool(want) == bool(matcher.scan(text))
+        if want:
+            assert max(r[0] for r in runs) == pytest.approx(want["t"])
+
+
+def test_mixed_case_and_several_paragraphs_are_found():
+    mit = licenses.TEMPLATES["MIT"]
+    assert names("".join(c.upper() if i % 2 else c.lower() for i, c in enumerate(mit))) == ["MIT"]
+    cut = mit.replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    assert names(f"import os\n\n# {cut}\n\ndef main():\n    return 1\n" + PROSE) == ["MIT"]
+
+
+def test_rows_of_nulls_ties_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    mit = "Released under the MIT License."
+    df = spark.createDataFrame([(1, None), (2, ""), (3, mit), (3, mit), (None, mit + " " + mit)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("license", "dice", "words")})
+    out = sorted(map(tuple, licenses.license_scan(df).collect()), key=str)
+    assert out == sorted([(1, None, None, 0, []), (2, None, None, 0, []), (3, "MIT notice", 1.0, 1, ["MIT notice"]), (3, "MIT notice", 1.0, 1, ["MIT notice"]), (None, "MIT notice", 1.0, 2, ["MIT notice"])], key=str)
