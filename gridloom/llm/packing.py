@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,29 +151,28 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int, top: int,
 
 def id_slices(column: pa.Array, width: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` ids: first row, end row, their ids as one array, and each row's count."""
-    column = column.cast(pa.large_binary())
-    n, unit = len(column), np.dtype(width).itemsize
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=column.offset + n + 1)[column.offset :] if n else np.zeros(1, np.int64)
-    first = 0
-    while first < n:
-        end = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + most * unit, side="right")) - 1))
-        flat = np.frombuffer(column.buffers()[2], dtype=width, count=(offsets[end] - offsets[first]) // unit, offset=offsets[first])
-        yield first, end, flat.astype(np.uint32), np.diff(offsets[first : end + 1]) // unit
+    held, opened = column.to_pylist(), zstandard.ZstdDecompressor().decompress
+    sizes = np.array([zstandard.frame_content_size(x) for x in held], dtype=np.int64) // np.dtype(width).itemsize
+    offsets, first = np.concatenate(([0], np.cumsum(sizes))), 0
+    while first < len(held):
+        end = min(len(held), max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1))
+        yield first, end, np.frombuffer(b"".join(map(opened, held[first:end])), dtype=width).astype(np.uint32), sizes[first:end]
         first = end
 
 
 def tokenise(texts: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFrame:
-    """uid (split and place in it), doc_id and ids (bytes of the type ``width``, with the end id) of each row."""
+    """uid (split and place in it), doc_id and ids (of the type ``width``, with the end id, compressed, as they are shuffled twice) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail, count = once_a_worker(WordIds, tokenizer), np.array([end_id], dtype=width).tobytes(), 0
+        pressed = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
                 flat, bounds = coder.encode(data, offsets)
                 raw, ends = flat.astype(width).tobytes(), (bounds * np.dtype(width).itemsize).tolist()
                 uid = (batch.column("split")[0].as_py() << 33) + count + np.arange(end - first, dtype=np.int64)
                 count += end - first
-                ids = [raw[a:b] + tail for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                ids = [pressed(raw[a:b] + tail) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column("doc_id").slice(first, end - first), pa.array(ids, pa.binary())], ["uid", "doc_id", "ids"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -380,7 +380,7 @@ def pack_documents(
             held.clear()
             return pa.RecordBatch.from_arrays(columns, names)
 
-        split, key_type = [0], [None]
+        split, key_type, opened = [0], [None], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             if batch.num_rows:
                 split[0], key_type[0] = batch.column("split")[0].as_py(), batch.schema.field("doc_id").type
@@ -390,7 +390,7 @@ def pack_documents(
                     yield flush()
                 state["group"] = group
                 keys.append(key)
-                held.append(np.frombuffer(raw, dtype=width).astype("<u4"))
+                held.append(np.frombuffer(opened(raw), dtype=width).astype("<u4"))
                 state["tokens"] += len(held[-1])
         if held:
             yield flush()
