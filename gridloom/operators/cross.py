@@ -301,6 +301,12 @@ def has_missing(dense: DataFrame, col: str = "fac") -> DataFrame:
     return dense.agg(F.coalesce(F.bool_or(F.col(col).isNull()), F.lit(False)).alias("missing"))
 
 
+def grid_has_missing(panel: DataFrame, col: str = "fac") -> DataFrame:
+    """``has_missing`` of all dates by all codes, without laying them out: whether a value is null or a cell lacks its row (one row a cell at most)."""
+    whole = F.countDistinct("date") * F.countDistinct("code")
+    return panel.agg((F.coalesce(F.bool_or(F.col(col).isNull()), F.lit(False)) | (F.count(F.lit(1)) < whole)).alias("missing"))
+
+
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows that repeat ``keys`` the first by ``order``."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

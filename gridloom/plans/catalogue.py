@@ -572,8 +572,7 @@ def tradable_pool(spark, sf):
 @query
 def missing_cells(spark, sf):
     panel = _factor(spark, sf)
-    sides = {"panel": panel, "grid": series.densify(panel)}
-    return sides["panel"].transform(cross.has_missing).withColumn("side", F.lit("panel")).unionByName(cross.has_missing(sides["grid"]).withColumn("side", F.lit("grid")))
+    return cross.has_missing(panel).withColumn("side", F.lit("panel")).unionByName(cross.grid_has_missing(panel).withColumn("side", F.lit("grid")))
 
 
 @query

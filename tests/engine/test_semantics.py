@@ -122,6 +122,13 @@ def test_signals_with_closing_events_of_their_own(spark):
     assert [r["signal"] for r in timing.long_signal(x).orderBy("date").collect()] == [1, 1, 0, 0, 1]
 
 
+def test_holes_of_the_grid_are_missing(spark):
+    x = spark.createDataFrame([(day(0), "a", 1.0), (day(0), "b", 1.0), (day(1), "a", 1.0)], "date date, code string, fac double")
+    both = lambda d: (cross.has_missing(d).first()[0], cross.grid_has_missing(d).first()[0], cross.has_missing(series.densify(d)).first()[0])
+    assert both(x) == (False, True, True) and both(x.filter("code = 'a'")) == (False, False, False)
+    assert both(x.withColumn("fac", F.lit(None).cast("double"))) == (True, True, True)
+
+
 def test_a_clip_of_zero_is_no_default(spark):
     x = spark.createDataFrame([(DAY, c, v) for c, v in zip("abc", [1.0, 2.0, 9.0], strict=True)], "date date, code string, fac double")
     assert {r["code"]: r["fac"] for r in cross.clip(x, "mad", 0.0).collect()} == {"a": 2.0, "b": 2.0, "c": 2.0}
