@@ -45,9 +45,9 @@ def test_values_don_t_depend_on_other_columns_or_on_repeated_rows(name, docs):
 
 @pytest.mark.parametrize("name", ["language", "pii", "licenses", "tokens", "pieces", "flac", "minhash"])
 def test_null_and_empty_texts_give_the_same(name, docs):
-    out = {r["doc_id"]: r.asDict(True) for r in OPERATORS[name](docs.filter("doc_id < 3 or doc_id = 8")).collect()}
+    out = {r["doc_id"]: r.asDict(True) for r in OPERATORS[name](docs.filter("doc_id in (1, 2, 12, 14)")).collect()}
     strip = lambda r: {k: v for k, v in r.items() if k not in ("doc_id", "component_id")}
-    assert strip(out[1]) == strip(out[2]) != strip(out[8])
+    assert strip(out[1]) == strip(out[2]) and any(strip(out[i]) != strip(out[1]) for i in (12, 14))
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))

@@ -48,7 +48,7 @@ def test_one_of_each_group_of_near_copies_stays(stages):
 def test_live_secrets_are_blanked_and_nothing_else_changes(spark, stages):
     before, after = rows(stages["near_duplicates"]), rows(stages["secrets"])
     scanned = {r["doc_id"]: r["live"] for r in secrets.scan_secrets(stages["near_duplicates"], owner=F.col("source")).collect()}
-    assert set(after) == set(before) and any(scanned.values())
+    assert set(after) == set(before)
     for i, d in before.items():
         text, at, parts = d["text"], 0, []
         for s in scanned[i]:
