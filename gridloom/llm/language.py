@@ -65,6 +65,7 @@ def identify(df: DataFrame, dictionaries: dict[str, tuple[int, bytes]], *, id_co
     the best label's share when each byte more halves a label's weight.  Rejected are margins below
     ``min_margin`` and texts that are null or have no letter, whose lang_pred is ``und`` and score 0.
     With one label known its margin is 1; with none every text is ``und``.
+    Texts of any length are read whole; equal rows give equal rows, ids may be null or repeat; an empty table gives no rows.
     """
     langs = sorted(dictionaries, key=lambda k: (-dictionaries[k][0], k))
     contents = [dictionaries[k][1] for k in langs]

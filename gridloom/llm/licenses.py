@@ -137,6 +137,7 @@ def license_scan(df: DataFrame, *, templates: Mapping[str, str] | None = None, t
     Every run of a text's words is compared; ``templates`` are name -> text.  Of runs that overlap the one with
     the most shared bigrams times Dice counts, of equal ones the smaller template, then the first name.  Rows without a match, null and empty
     texts have null license and dice, 0 matches and an empty array.
+    Texts of any length are read whole; equal rows give equal rows, ids may be null or repeat; an empty table gives no rows.
     """
     known = dict(TEMPLATES if templates is None else templates)
 

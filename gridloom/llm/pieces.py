@@ -68,6 +68,7 @@ def encode_pieces(df: DataFrame, *, model: str, id_col: str = "doc_id", text_col
     Returns the id column, n_tokens, ids (array of int) and decoded (string); with ``digests`` ids_sha256
     (of the decimal ids joined by one space) and decoded_sha256 instead of the last two.  Null and empty
     texts give the end id alone and decode to the empty text.  ``table_rows`` bounds a task's table.
+    Texts of any length are read whole; equal rows give equal rows, ids may be null or repeat; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,8 @@ def pii_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Base kinds: leftmost non-overlapping matches per kind of email, ip (parts to 255), card (12 to 19
     digits, Luhn) and phone (9 to 15 digits); failing matches are dropped, a null text is empty.  Added: iban (mod 97) and ssn
-    (only near a context word).  Texts without any give an empty array.
+    (only near a context word).  Texts without any give an empty array.  Spans of equal start are ordered by kind.
+    Texts of any length are read whole; equal rows give equal rows, ids may be null or repeat; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

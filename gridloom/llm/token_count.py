@@ -71,6 +71,7 @@ def token_counts(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_
     ``tokenizer`` is the path of a byte-level BPE tokenizer.json.  No tokens are added; an added token's own
     string inside a text counts as that one token.  Null or empty texts have 0 bytes and 0 tokens.
     ``table_rows`` bounds each of a task's two tables of known strings.
+    Texts of any length are read whole; equal rows give equal rows, ids may be null or repeat; an empty table gives no rows.
     """
 
     kind = df.schema[id_col].dataType.simpleString()
