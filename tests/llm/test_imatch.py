@@ -40,9 +40,20 @@ def band_of(texts):
     return {x for x, n in df.items() if imatch.MIN_IDF <= math.log(len(texts) / n) <= imatch.MAX_IDF}
 
 
-def print_of(text, band):
+def sifted(texts):
+    """What is taken for a term of the band."""
+    table, bits = imatch.sieve(sorted(band_of(texts)))
+
+    def known(x):
+        one, two, code = imatch._places(x, bits)
+        return code in (table[one], table[two])
+
+    return known
+
+
+def print_of(text, known):
     every = terms_of(text)
-    own = [t for t in every if t in band] or every
+    own = [t for t in every if known(t)] or every
     sets = [[t for t in own if (t >> (2 * j)) & 3 == 0] for j in range(16)]
     for rate in (16, 64, 256, 1024):
         kept = [t for t in own if (t >> 36) & (rate // 16 - 1) == 0]
@@ -59,14 +70,14 @@ def likeness_of(a, b):
 
 def brute(rows):
     """rows of (id, text) in their order -> (n_chars, edited, fingerprint, edited fingerprint, near_edited, near_next)."""
-    band = band_of([t for _, t in rows])
+    known = sifted([t for _, t in rows])
     text = lambda p: ",".join(f"{x:x}" if x else "" for x in p)
     out = []
     for k, (_, a) in enumerate(rows):
         b = rows[(k + 1) % len(rows)][1]
         q = len(a) // 4
         edited = a[: len(a) - q] + b[:q]
-        p, e, n = (print_of(x, band) for x in (a, edited, b))
+        p, e, n = (print_of(x, known) for x in (a, edited, b))
         out.append((len(a), edited, text(p), text(e), likeness_of(p, e), likeness_of(p, n)))
     return out
 
@@ -93,6 +104,18 @@ def test_rare_and_frequent_terms_are_outside_the_band(spark):
     assert imatch.fingerprint("text", "p", terms)(df.limit(1)).count() == 1
 
 
+def test_the_sieve_holds_every_term_and_few_others():
+    import random
+
+    rng = random.Random(1)
+    for n in (0, 1, 5, 1000, 60_000):
+        terms = sorted({rng.getrandbits(64) - 2**63 for _ in range(n)})
+        table, bits = imatch.sieve(terms)
+        known = lambda x: imatch._places(x, bits)[2] in (table[imatch._places(x, bits)[0]], table[imatch._places(x, bits)[1]])  # noqa: B023, E731
+        assert all(map(known, terms)) and len(table) <= max(16, 6 * n)
+        assert sum(known(rng.getrandbits(64) - 2**63) for _ in range(20_000)) < 150
+
+
 def test_ids_of_any_type_far_apart_null_and_repeated(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta"
     for kind, ids in (("string", [None, "a", "b", "b", "z"]), ("long", [None, -(2**63), 0, 0, 2**63 - 1])):
