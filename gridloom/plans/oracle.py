@@ -286,3 +286,13 @@ t AS (SELECT strategy, exp(sum(ln(1 + ret)) * 250 / count(*)) - 1 AS a, (exp(std
     "atm_concentration": """SELECT book, round(share, 6) AS share, share >= 0.3 AS over FROM (SELECT book, coalesce(sum(abs(gamma * contracts)) FILTER (abs(s / k - 1) <= 0.01), 0) / nullif(sum(abs(gamma * contracts)), 0) AS share FROM gr GROUP BY 1)""",
     "strategy_greeks": "SELECT opt_id % 1000 AS strategy, round(sum(delta * contracts), 4) + 0 AS delta, round(sum(gamma * contracts), 4) + 0 AS gamma, round(sum(vega * contracts), 4) + 0 AS vega, round(sum(theta * contracts), 4) + 0 AS theta FROM gr GROUP BY 1",
 }.items()}
+
+
+def _summary_of(col: str) -> str:
+    """Three figures of one factor, which takes the place of ``amount`` as the panel's factor."""
+    base = _BASE.replace("amount AS fac FROM panel", f"{col} AS fac FROM panel").replace("max(amount) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fac", f"max({col}) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fac")
+    return base + _LEGS + _IC + f""", z AS (SELECT long - short AS x FROM ls UNION ALL SELECT 0), zs AS (SELECT sum(x) * 12 / count(*) AS r FROM z), ia AS (SELECT avg(ic) AS i FROM ic), ca AS (SELECT least(1, avg(c)) AS c FROM (SELECT count({col}) / nullif(count(open), 0) AS c FROM grid GROUP BY date))
+SELECT '{col}' AS factor_name, unnest(['ic', 'annual_ret', 'coverage']) AS metric, round(unnest([i, r, c]), 6) + 0 AS value FROM zs, ia, ca"""
+
+
+ORACLE["factor_summaries"] = f"SELECT * FROM ({_summary_of('amount')}) UNION ALL SELECT * FROM ({_summary_of('vol')})"
