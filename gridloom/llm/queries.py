@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm import flac, imatch, language, licenses, minhash, packing, pieces, pii, secrets, token_count
+from gridloom.llm import flac, imatch, language, licenses, minhash, packing, pieces, pii, quality, secrets, spelling, token_count, whitening
 from gridloom.llm.common import documents, hex_sha256, id_and_text
 
 
@@ -107,6 +107,26 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), model=tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    fitted = whitening.fit_whitening(vectors)
+    rows = whitening.whiten(vectors, fitted)
+    error = whitening.identity_error(rows, fitted)
+    explained = F.array(*[F.lit(float(x)) for x in fitted.explained]) if fitted else F.array(F.lit(None).cast("double"))
+    spread = rows.select("vec_id", F.lit(fitted.n if fitted else 0).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    return spread.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(documents(spark, sf_dir))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = quality.fit_lines(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.quality_rules(docs.select("doc_id", "text"), field).drop("text", "labels")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_pieces": op10_pieces,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
+    "op13_quality": op13_quality,
     "pipeline": pipeline,
 }
 
