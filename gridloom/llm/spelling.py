@@ -202,7 +202,8 @@ def spelling_variants(vocab: DataFrame, ratio: float = 2.0, trie_words: int = TR
         raise ValueError("a form occurs more often than its word")
     vocab = materialise(vocab)
     pairs = near_words(vocab, trie_words)
-    both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
+    turned = F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m"))
+    both = pairs.select(F.explode(F.array(F.struct("word", "n", "other", "m"), turned)).alias("x")).select("x.*")
     alone = vocab.select("word", "n", F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("m"))
     best = F.min(F.when(F.col("other").isNotNull(), F.struct((-F.col("m")).alias("less"), F.col("other"))))
     seen = both.unionByName(alone).groupBy("word").agg(F.max("n").alias("n"), F.count("other").alias("n_near"), best.alias("best"))
