@@ -42,7 +42,7 @@ class Lines:
 
 
 def read_lines(texts: list[str | None]) -> Lines:
-    """Counts and line features of some whole texts (null: no words)."""
+    """Counts and line features of one or more whole texts (null: no words)."""
     raw = [(t or "").encode() for t in texts]
     n = len(raw)
     whole = b"\n".join(raw)
