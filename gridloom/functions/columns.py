@@ -31,6 +31,13 @@ def average_rank(value: Column, keys: list[str | Column]) -> Column:
     return F.when(value.isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
 
 
+def pair_corr(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: Pearson's correlation over the rows that have both; null where one of them is constant (``corr`` would raise)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def corrected_skewness(x: Column) -> Column:
     """Aggregate: skewness with the small-sample correction; null for fewer than three values."""
     n = F.count(x)

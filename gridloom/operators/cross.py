@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import average_rank, ratio
+from gridloom.functions.columns import average_rank, pair_corr, ratio
 from gridloom.functions.registry import grouped_apply
 
 
@@ -230,10 +230,10 @@ def correlation(panel: DataFrame, a: str, b: str, *, key: str = "date", method:
     """Correlation of two columns for each ``key`` (date: across codes, code: along time)."""
     both = panel.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     if method == "pearson":
-        return both.groupBy(key).agg(F.corr(a, b).alias("corr"))
+        return both.groupBy(key).agg(pair_corr(a, b).alias("corr"))
     if method == "spearman":
         ranked = both.select(key, average_rank(F.col(a), [key]).alias("a"), average_rank(F.col(b), [key]).alias("b"))
-        return ranked.groupBy(key).agg(F.corr("a", "b").alias("corr"))
+        return ranked.groupBy(key).agg(pair_corr("a", "b").alias("corr"))
     if method != "kendall":
         raise ValueError("method is pearson, spearman or kendall")
 
@@ -253,7 +253,7 @@ def correlation(panel: DataFrame, a: str, b: str, *, key: str = "date", method:
 def correlation_matrix(panel: DataFrame, cols: list[str], *, key: str = "date") -> DataFrame:
     """left, right, corr: the mean over keys of every pair's correlation, both ways round, in one aggregation."""
     pairs = list(combinations(cols, 2))
-    each = panel.groupBy(key).agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    each = panel.groupBy(key).agg(*[pair_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     mean = each.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(pairs))])
     rows = [F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), v.alias("corr")) for i, (a, b) in enumerate(pairs) for x, y, v in ((a, b, F.col(f"c{i}")), (b, a, F.col(f"c{i}")))]
     rows += [F.struct(F.lit(c).alias("left"), F.lit(c).alias("right"), F.lit(1.0).alias("corr")) for c in cols]

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import average_rank, corrected_skewness, ratio
+from gridloom.functions.columns import average_rank, corrected_skewness, pair_corr, ratio
 from gridloom.operators.returns import before
 from gridloom.operators.series import on_grid, shifted
+from gridloom.sources.readers import between, resample
 
 #: Periods a year and trading days a period of each frequency.
 FREQUENCIES = {"D": (252, 1), "W": (52, 5), "M": (12, 22)}
@@ -49,7 +50,7 @@ def rank_ic(pairs: DataFrame) -> DataFrame:
     ties = lambda half: F.count_if(F.col(half)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
     x = x.withColumns({f"r_{half}": F.when(F.col(half), upto(half) - (ties(half) - 1) / 2.0) for half in ("low", "high")})
     f = lambda half: F.when(F.col(half), F.col("rf"))
-    return x.groupBy("date").agg(F.corr("rf", "rr").alias("ic"), F.corr(f("low"), "r_low").alias("ic_low"), F.corr(f("high"), "r_high").alias("ic_high"))
+    return x.groupBy("date").agg(pair_corr("rf", "rr").alias("ic"), pair_corr(f("low"), "r_low").alias("ic_low"), pair_corr(f("high"), "r_high").alias("ic_high"))
 
 
 def ic_summary(ic: DataFrame, per_year: int = 52) -> DataFrame:
@@ -101,11 +102,12 @@ def long_short(grouped: DataFrame, groups: int = 10) -> DataFrame:
 
 
 def long_short_stats(ls: DataFrame, per_year: int = 52) -> DataFrame:
-    """annual_ret, vol, ir of the long-short series, inner_long and inner_short (a year), with a leading row of 0 counted."""
+    """annual_ret, vol, ir of the long-short series, inner_long and inner_short (a year).
+
+    Net values begin with a row of 0, which counts as a period in the yearly returns; the deviation is of the series alone.
+    """
     n = F.count(F.lit(1)) + 1
-    # The deviation of the series with a 0 in front.
-    mean = F.sum("ls") / n
-    vol = F.sqrt(F.sum(F.col("ls") * F.col("ls")) / n - mean * mean) * F.sqrt(F.lit(per_year))
+    vol = F.stddev_pop("ls") * F.sqrt(F.lit(per_year))
     annual = F.max_by("net", "date") * per_year / n
     inner = lambda c: (F.sum(c) * per_year / n).alias(c)
     return ls.agg(annual.alias("annual_ret"), vol.alias("vol"), ratio(annual, vol).alias("ir"), inner("inner_long"), inner("inner_short"))
@@ -126,12 +128,18 @@ def long_side_by_year(grouped: DataFrame, groups: int = 10, per_year: int = 52)
 
 
 def coverage(factor: DataFrame, prices: DataFrame, col: str = "open") -> DataFrame:
-    """coverage, positive (share of signs), skew and autocorr of a factor: means over its dates."""
-    both = prices.select("date", "code", F.col(col).alias("p")).join(on_grid(factor).withColumn("before", shifted("fac")), ["date", "code"], "left")
-    each = both.groupBy("date").agg(
-        ratio(F.count("fac"), F.count("p")).alias("c"), ratio(F.count_if(F.col("fac") > 0), F.count_if(F.col("fac") != 0)).alias("pos"), corrected_skewness(F.col("fac")).alias("sk"), F.corr("fac", "before").alias("ac"), F.count("fac").alias("n")
-    ).filter("n > 0")
-    return each.agg(F.least(F.lit(1.0), F.avg("c")).alias("coverage"), F.avg("pos").alias("positive"), F.avg("sk").alias("skew"), F.avg("ac").alias("autocorr"))
+    """coverage, positive, skew and autocorr of a factor; dates on which it has no value don't count.
+
+    coverage is all its values over all prices (but 0) of its dates, 1 at most, and positive the share of all its signs; skew and
+    autocorr (with the factor's date before) are means over dates.  A value needs no price.
+    """
+    known = factor.filter(F.col("fac").isNotNull())
+    x = on_grid(known).withColumn("before", shifted("fac"))
+    each = x.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fac") > 0).alias("up"), F.count_if(F.col("fac") < 0).alias("down"), corrected_skewness(F.col("fac")).alias("sk"), pair_corr("fac", "before").alias("ac"))
+    priced = prices.groupBy("date").agg(F.count(F.nullif(F.col(col), F.lit(0.0))).alias("priced"))
+    return each.join(priced, "date", "left").agg(
+        F.least(F.lit(1.0), ratio(F.sum("n"), F.sum("priced"))).alias("coverage"), ratio(F.sum("up"), F.sum("up") + F.sum("down")).alias("positive"), F.avg("sk").alias("skew"), F.avg("ac").alias("autocorr")
+    )
 
 
 #: The rows of ``factor_summary``, in order.
@@ -141,7 +149,7 @@ SUMMARY = ("ic", "annual_ret", "vol", "ir", "positive", "skew", "autocorr", "cov
 def factor_summary(factor: DataFrame, prices: DataFrame, groups: int = 10, freq: str = "W", lag: int = 1, index: DataFrame | None = None) -> DataFrame:
     """metric, value: the twelve figures of a factor named in ``SUMMARY``.
 
-    The first and last group's excess is over an index (date, ret), or over the mean of all codes.
+    The first and last group's excess is over an index (date, ret) on the factor's dates, or over the mean of all codes.
     """
     n = per_year(freq)
     pairs = paired(factor, period_returns(prices), lag)
@@ -150,7 +158,7 @@ def factor_summary(factor: DataFrame, prices: DataFrame, groups: int = 10, freq:
     stats = long_short_stats(long_short(grouped, groups), n)
     each = group_returns(grouped)
     mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("ret")))
-    market = (grouped.groupBy("date").agg(F.avg("ret").alias("m")) if index is None else each.select("date").distinct().join(index.select("date", F.col("ret").alias("m")), "date")).agg(F.avg("m").alias("m"))
+    market = (grouped.groupBy("date").agg(F.avg("ret").alias("m")) if index is None else factor.filter("fac is not null").select("date").distinct().join(index.select("date", F.col("ret").alias("m")), "date")).agg(F.avg("m").alias("m"))
     ends = each.agg(mean(1).alias("f"), mean(groups).alias("l")).join(market).select(((F.col("f") - F.col("m")) * n).alias("first_excess"), ((F.col("l") - F.col("m")) * n).alias("last_excess"))
     row = ic.join(stats).join(cover).join(ends)  # one row each
     return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in SUMMARY])).alias("x")).select("x.*")
@@ -161,6 +169,19 @@ def summaries(factors: dict[str, DataFrame], prices: DataFrame, **kw) -> DataFra
     return reduce(DataFrame.unionByName, [factor_summary(f, prices, **kw).select(F.lit(name).alias("factor_name"), "metric", "value") for name, f in factors.items()])
 
 
-def evaluate(factor: DataFrame, prices: DataFrame, groups: int = 10, lag: int = 1) -> DataFrame:
-    """The long-short series of a factor, from prices to net values; one plan, no action."""
+def at_frequency(factor: DataFrame, prices: DataFrame, freq: str, start: str | None = None, end: str | None = None, col: str = "open") -> tuple[DataFrame, DataFrame]:
+    """A daily factor between two dates, its last value of each period, and each period's first open (last of any other price)."""
+    per_year(freq)
+    return resample(between(factor, "date", start, end).select("date", "code", "fac"), "fac", freq), resample(prices.select("date", "code", col), col, freq, "first" if col == "open" else "last")
+
+
+def evaluate(factor: DataFrame, prices: DataFrame, groups: int = 10, lag: int = 1, freq: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The long-short series of a factor, from prices to net values; one plan, no action.
+
+    With ``freq`` factor and prices are daily: they are resampled before the factor is lagged by a period.
+    """
+    if freq is not None:
+        factor, prices = at_frequency(factor, prices, freq, start, end)
+    else:
+        factor = between(factor, "date", start, end)
     return long_short(equal_groups(paired(factor, period_returns(prices), lag), groups), groups)

@@ -273,6 +273,21 @@ def factor_coverage(spark, sf):
     return evaluation.coverage(_factor(spark, sf), views.panel(spark, sf))
 
 
+@query
+def factor_signs(spark, sf):
+    # A factor of both signs, without a third of the codes and the first month.
+    x = views.panel(spark, sf)
+    change = x.select("date", "code", (ratio(F.col("close"), series.lagged("close")) - 1).alias("fac")).filter("fac is not null and cast(code as int) % 3 <> 0")
+    return evaluation.coverage(change, x)
+
+
+@query
+def weekly_backtest(spark, sf):
+    daily = views.index_daily(spark, sf)
+    out = evaluation.evaluate(daily.select("date", "code", ratio(F.col("close"), F.col("open")).alias("fac")), daily, 3, freq="W", start="1993-01-01", end="1997-12-20")
+    return out.select("date", "long", "short", "market", "ls", "net")
+
+
 @query
 def obv(spark, sf):
     return series.money_flow_line(views.index_daily(spark, sf)).select("date", "code", steady(F.col("obv"), 2).alias("obv"))
@@ -668,7 +683,7 @@ def factor_summary(spark, sf):
 @query
 def factor_summaries(spark, sf):
     x = views.panel(spark, sf)
-    return evaluation.summaries({c: x.select("date", "code", F.col(c).alias("fac")) for c in ("amount", "vol")}, x, groups=5, freq="M").filter("metric in ('coverage', 'annual_ret', 'ic')")
+    return evaluation.summaries({c: x.select("date", "code", F.col(c).alias("fac")) for c in ("amount", "vol")}, x, groups=5, freq="M", index=_index_returns(spark, sf))
 
 
 @query

@@ -54,6 +54,10 @@ _CLAMP = lambda s: f"CASE WHEN {s} >= 0 THEN 1.0 WHEN {s} <= -1 THEN 0.0 ELSE 1
 _PERF = lambda x: f""", base AS ({x}), lev AS (SELECT *, 1 + sum(ret) OVER (PARTITION BY strategy ORDER BY date) AS l FROM base), dr AS (SELECT strategy, max(1 - l / top) AS md FROM (SELECT *, max(l) OVER (PARTITION BY strategy ORDER BY date) AS top FROM lev) GROUP BY 1)
 SELECT strategy, round(total, 6) + 0 AS total, round(annual, 6) + 0 AS annual, round(vol, 6) AS vol, round(win, 6) AS win, round(md, 6) AS max_drawdown, round(annual / vol, 6) + 0 AS sharpe FROM (
 SELECT strategy, sum(ret) AS total, sum(ret) * 365 / (max(date) - min(date)) AS annual, stddev_pop(ret) * sqrt(252) AS vol, count(*) FILTER (ret > 0) / count(ret) AS win FROM base GROUP BY 1) JOIN dr USING (strategy)"""
+#: A factor's values over all prices of its dates, its signs, and the means of each date's skewness and correlation with the date before.
+_COVER = lambda f, rows: f""", cv AS (SELECT date, count({f}) AS n, count(*) FILTER ({f} > 0) AS up, count(*) FILTER ({f} < 0) AS down, skewness({f}) AS s, corr({f}, b) AS a FROM (
+SELECT *, max({f}) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS b FROM {rows}) GROUP BY 1 HAVING count({f}) > 0),
+ca AS (SELECT least(1, sum(n) / (SELECT count(nullif(open, 0)) FROM panel WHERE date IN (SELECT date FROM cv))) AS c, sum(up) / (sum(up) + sum(down)) AS p, avg(s) AS s, avg(a) AS a FROM cv) """
 _COIN = ", x AS (SELECT * FROM (SELECT date, code, vol, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS ret FROM panel) WHERE ret IS NOT NULL) "
 _EFFECT = """, chg AS (SELECT date, code, close / nullif(lag(close, 3) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS c FROM panel), cnt AS (SELECT date, count(*) FILTER (c > 0.05) AS pos, count(*) FILTER (c < -0.05) AS neg FROM chg GROUP BY 1),
 eff AS (SELECT *, CASE WHEN pos > 20 THEN 1 WHEN neg > 25 THEN -1 ELSE 0 END AS effect FROM cnt) """
@@ -172,12 +176,20 @@ SELECT code, wend AS date, round(coalesce(sum(ret) FILTER (hi <= 10), 0), 6) + 0
     "group_returns": "SELECT date, grp, round(avg(ret), 6) + 0 AS ret FROM grp GROUP BY 1, 2",
     "long_short": _LEGS + """SELECT date, round(long, 6) + 0 AS long, round(short, 6) + 0 AS short, round(market, 6) + 0 AS market, round(long - short, 6) + 0 AS ls, round(long - market, 6) + 0 AS inner_long, round(market - short, 6) + 0 AS inner_short,
 round(sum(long - short) OVER (ORDER BY date), 6) + 0 AS net, round(sum(long - market) OVER (ORDER BY date), 6) + 0 AS net_long FROM ls""",
-    "long_short_stats": _LEGS + """, z AS (SELECT long - short AS x FROM ls UNION ALL SELECT 0) SELECT round(sum(x) * 12 / count(*), 6) + 0 AS annual_ret, round(stddev_pop(x) * sqrt(12), 6) AS vol, round(sum(x) * 12 / count(*) / (stddev_pop(x) * sqrt(12)), 6) + 0 AS ir,
+    "long_short_stats": _LEGS + """, z AS (SELECT long - short AS x FROM ls UNION ALL SELECT 0) SELECT round(sum(x) * 12 / count(*), 6) + 0 AS annual_ret, round((SELECT stddev_pop(long - short) FROM ls) * sqrt(12), 6) AS vol, round(sum(x) * 12 / count(*) / ((SELECT stddev_pop(long - short) FROM ls) * sqrt(12)), 6) + 0 AS ir,
 (SELECT round(sum(long - market) * 12 / (count(*) + 1), 6) + 0 FROM ls) AS inner_long, (SELECT round(sum(market - short) * 12 / (count(*) + 1), 6) + 0 FROM ls) AS inner_short FROM z""",
     "group_summary": "SELECT grp, round((avg(ret) - (SELECT avg(ret) FROM grp)) * 12, 6) + 0 AS excess FROM grp GROUP BY 1",
-    "factor_coverage": """, c AS (SELECT date, count(amount) / nullif(count(open), 0) AS c, count(*) FILTER (amount > 0) / nullif(count(*) FILTER (amount <> 0), 0) AS p, skewness(amount) AS s, corr(amount, b) AS a FROM (
-SELECT *, max(amount) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS b FROM grid) GROUP BY 1)
-SELECT round(least(1, avg(c)), 6) AS coverage, round(avg(p), 6) AS positive, round(avg(s), 6) + 0 AS skew, round(avg(a), 6) + 0 AS autocorr FROM c""",
+    "factor_coverage": _COVER("amount", "grid") + "SELECT round(c, 6) AS coverage, round(p, 6) AS positive, round(s, 6) + 0 AS skew, round(a, 6) + 0 AS autocorr FROM ca",
+    "factor_signs": """, chg AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS ret FROM panel), sg AS (SELECT date, code, ret AS f FROM chg WHERE ret IS NOT NULL AND code::INT % 3 <> 0),
+sgd AS (SELECT sg.*, didx FROM sg JOIN (SELECT date, row_number() OVER (ORDER BY date) AS didx FROM (SELECT DISTINCT date FROM sg)) USING (date))""" + _COVER("f", "sgd") + "SELECT round(c, 6) AS coverage, round(p, 6) AS positive, round(s, 6) + 0 AS skew, round(a, 6) + 0 AS autocorr FROM ca",
+    "weekly_backtest": """, wo AS (SELECT code, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, arg_min(open, date) AS open FROM idx GROUP BY 1, 2), wf AS (SELECT code, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, arg_max(close / open, date) AS fac FROM idx WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-20' GROUP BY 1, 2),
+wr1 AS (SELECT code, date, open / nullif(max(open) OVER (PARTITION BY code ORDER BY d RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) - 1 AS ret FROM wo JOIN (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM wo)) USING (date)),
+wf1 AS (SELECT code, date, max(fac) OVER (PARTITION BY code ORDER BY d RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fac FROM wf JOIN (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM wf)) USING (date)),
+wp AS (SELECT date, code, ret, fac FROM wr1 JOIN wf1 USING (date, code)),
+wr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY fac, code) AS rn, count(*) OVER (PARTITION BY date) AS n FROM wp WHERE ret IS NOT NULL AND fac IS NOT NULL),
+wl AS (SELECT date, avg(ret) FILTER (g = 1) AS f, avg(ret) FILTER (g = 3) AS l, avg(ret) AS market FROM (SELECT *, CASE WHEN round_even(n / 3, 0) = 0 THEN 3 ELSE least(3, (rn - 1) // round_even(n / 3, 0)::BIGINT + 1) END AS g FROM wr) GROUP BY 1),
+ww AS (SELECT CASE WHEN sum(f - l) > 0 THEN 1 ELSE -1 END AS w FROM wl), ls AS (SELECT date, CASE WHEN w > 0 THEN f ELSE l END AS long, CASE WHEN w > 0 THEN l ELSE f END AS short, market FROM wl, ww)
+SELECT date, round(long, 6) + 0 AS long, round(short, 6) + 0 AS short, round(market, 6) + 0 AS market, round(long - short, 6) + 0 AS ls, round(sum(long - short) OVER (ORDER BY date), 6) + 0 AS net FROM ls""",
     "obv": """, f AS (SELECT date, code, CASE WHEN close > pre_close THEN va WHEN close < pre_close THEN -va ELSE 0 END AS f FROM (SELECT *, vol * ((close - low) - (high - close)) / nullif(high - close, 0) AS va FROM idx))
 SELECT date, code, CASE WHEN count(*) FILTER (f IS NULL) OVER w = 0 THEN round(sum(f) OVER w, 2) + 0 END AS obv FROM f WINDOW w AS (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)""",
     "pvi": """SELECT date, code, round(1000 * exp(sum(l) OVER (PARTITION BY code ORDER BY date)), 6) AS value FROM (SELECT date, code, CASE WHEN vol > lag(vol) OVER (PARTITION BY code ORDER BY date) THEN ln(1 + pct_change) ELSE 0 END AS l FROM tame)""",
@@ -263,10 +275,6 @@ ELSE CASE WHEN sc THEN CASE WHEN lo THEN 1 ELSE 0 END ELSE -1 END END FROM r JOI
 r AS (SELECT code, i, date, CASE WHEN lo THEN 1 ELSE 0 END AS s FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.date, CASE WHEN s = 1 THEN CASE WHEN so THEN 0 ELSE 1 END WHEN lo THEN 1 ELSE 0 END FROM r JOIN n ON n.code = r.code AND n.i = r.i + 1) SELECT date, code, s::INT AS signal FROM r""",
     "group_nets": """, e AS (SELECT date, grp, avg(ret) AS ret FROM grp GROUP BY 1, 2 UNION ALL SELECT (SELECT min(date) - INTERVAL 1 MONTH FROM grp)::DATE, grp, 0 FROM grp GROUP BY grp) SELECT date, grp, round(ret, 6) + 0 AS ret, round(sum(ret) OVER (PARTITION BY grp ORDER BY date), 6) + 0 AS net FROM e""",
     "long_against_index": _LEGS + _BENCH + "SELECT date, round(long - b, 6) + 0 AS long_minus_index, round(sum(long - b) OVER (ORDER BY date), 6) + 0 AS net_index FROM ls LEFT JOIN bm USING (date)",
-    "factor_summary": _LEGS + _IC + _BENCH + """, z AS (SELECT long - short AS x FROM ls UNION ALL SELECT 0), zs AS (SELECT sum(x) * 12 / count(*) AS r, stddev_pop(x) * sqrt(12) AS v FROM z), ia AS (SELECT avg(ic) AS i, avg(ic_low) AS il, avg(ic_high) AS ih FROM ic),
-cv AS (SELECT count(amount) / nullif(count(open), 0) AS c, count(*) FILTER (amount > 0) / nullif(count(*) FILTER (amount <> 0), 0) AS p, skewness(amount) AS s, corr(amount, b) AS a FROM (SELECT *, max(amount) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS b FROM grid) GROUP BY date),
-ca AS (SELECT least(1, avg(c)) AS c, avg(p) AS p, avg(s) AS s, avg(a) AS a FROM cv), gm AS (SELECT avg(f) AS f, avg(l) AS l FROM legs), bx AS (SELECT avg(b) AS b FROM bm WHERE date IN (SELECT date FROM grp))
-SELECT unnest(['ic', 'annual_ret', 'vol', 'ir', 'positive', 'skew', 'autocorr', 'coverage', 'ic_low', 'ic_high', 'first_excess', 'last_excess']) AS metric, round(unnest([i, r, v, r / v, p, s, a, c, il, ih, (f - b) * 12, (l - b) * 12]), 6) + 0 AS value FROM zs, ia, ca, gm, bx""",
     "long_side_by_year": _LEGS + "SELECT year(date)::INT AS year, round(avg(CASE WHEN (SELECT avg(f) > avg(l) FROM legs) THEN f ELSE l END) * 12, 6) + 0 AS ret FROM legs GROUP BY 1",
     "relative_to_index": """, mr AS (SELECT strategy, last_day(date) AS date, exp(sum(ln(1 + ret))) - 1 AS r FROM rets GROUP BY 1, 2), ix AS (SELECT date, c / nullif(lag(c) OVER (ORDER BY date), 0) - 1 AS i FROM (SELECT last_day(date) AS date, arg_max(close, idx.date) AS c FROM idx WHERE code = 'N' GROUP BY 1)),
 ex AS (SELECT strategy, date, r - i AS ret FROM mr JOIN ix USING (date) WHERE i IS NOT NULL)""" + _PERF("SELECT * FROM ex UNION ALL SELECT strategy, (min(date) - INTERVAL 1 MONTH)::DATE, 0 FROM ex GROUP BY 1").replace("sqrt(252)", "sqrt(12)"),
@@ -289,10 +297,13 @@ t AS (SELECT strategy, exp(sum(ln(1 + ret)) * 250 / count(*)) - 1 AS a, (exp(std
 
 
 def _summary_of(col: str) -> str:
-    """Three figures of one factor, which takes the place of ``amount`` as the panel's factor."""
+    """Twelve figures of one factor, which takes the place of ``amount`` as the panel's factor."""
     base = _BASE.replace("amount AS fac FROM panel", f"{col} AS fac FROM panel").replace("max(amount) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fac", f"max({col}) OVER (PARTITION BY code ORDER BY didx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fac")
-    return base + _LEGS + _IC + f""", z AS (SELECT long - short AS x FROM ls UNION ALL SELECT 0), zs AS (SELECT sum(x) * 12 / count(*) AS r FROM z), ia AS (SELECT avg(ic) AS i FROM ic), ca AS (SELECT least(1, avg(c)) AS c FROM (SELECT count({col}) / nullif(count(open), 0) AS c FROM grid GROUP BY date))
-SELECT '{col}' AS factor_name, unnest(['ic', 'annual_ret', 'coverage']) AS metric, round(unnest([i, r, c]), 6) + 0 AS value FROM zs, ia, ca"""
+    figures = """, zs AS (SELECT sum(long - short) * 12 / (count(*) + 1) AS r, stddev_pop(long - short) * sqrt(12) AS v FROM ls), ia AS (SELECT avg(ic) AS i, avg(ic_low) AS il, avg(ic_high) AS ih FROM ic),
+gm AS (SELECT avg(f) AS f, avg(l) AS l FROM legs), bx AS (SELECT avg(b) AS b FROM bm WHERE date IN (SELECT date FROM fac WHERE fac IS NOT NULL))"""
+    return base + _LEGS + _IC + _BENCH + figures + _COVER(col, "grid") + f"""SELECT '{col}' AS factor_name, unnest(['ic', 'annual_ret', 'vol', 'ir', 'positive', 'skew', 'autocorr', 'coverage', 'ic_low', 'ic_high', 'first_excess', 'last_excess']) AS metric,
+round(unnest([i, r, v, r / v, p, s, a, c, il, ih, (f - b) * 12, (l - b) * 12]), 6) + 0 AS value FROM zs, ia, ca, gm, bx"""
 
 
+ORACLE["factor_summary"] = f"SELECT metric, value FROM ({_summary_of('amount')})"
 ORACLE["factor_summaries"] = f"SELECT * FROM ({_summary_of('amount')}) UNION ALL SELECT * FROM ({_summary_of('vol')})"

@@ -134,6 +134,43 @@ def test_a_clip_of_zero_is_no_default(spark):
     assert {r["code"]: r["fac"] for r in cross.clip(x, "mad", 0.0).collect()} == {"a": 2.0, "b": 2.0, "c": 2.0}
 
 
+def test_long_short_figures_by_hand(spark):
+    ls = spark.createDataFrame([(day(i), x, x, 0.0, sum([0.1, -0.1, 0.3, 0.1][: i + 1])) for i, x in enumerate([0.1, -0.1, 0.3, 0.1])], "date date, ls double, inner_long double, inner_short double, net double")
+    r = evaluation.long_short_stats(ls, 4).first()
+    # Five net values with the row of 0 in front, but the deviation of four: mean 0.1, squares 0, 0.04, 0.04, 0.
+    assert math.isclose(r["annual_ret"], 0.4 * 4 / 5) and math.isclose(r["vol"], math.sqrt(0.02) * 2) and math.isclose(r["ir"], 0.32 / (math.sqrt(0.02) * 2))
+    assert math.isclose(r["inner_long"], 0.32) and r["inner_short"] == 0
+
+
+def test_coverage_divides_totals_by_hand(spark):
+    fac = [(day(0), "a", 1.0), (day(0), "b", -1.0), (day(0), "c", -2.0), (day(1), "a", 3.0), (day(1), "d", -1.0), (day(2), "a", None), (day(1), "b", 0.0)]
+    prices = [(day(0), c, 1.0) for c in "abcde"] + [(day(1), "a", 1.0), (day(1), "b", 0.0), (day(1), "c", 2.0)] + [(day(2), c, 1.0) for c in "abcde"]
+    r = evaluation.coverage(spark.createDataFrame(fac, "date date, code string, fac double"), spark.createDataFrame(prices, "date date, code string, open double")).first()
+    # Six values over 5 + 2 prices (a price of 0 is none, the third date has no value); two of five signs are up.
+    assert math.isclose(r["coverage"], 6 / 7) and math.isclose(r["positive"], 2 / 5)
+
+
+def test_an_index_is_averaged_over_the_factor_s_dates(spark):
+    days = [day(31 * i) for i in range(4)]
+    panel = spark.createDataFrame([(d, f"c{k}", float(k), 10.0 * 1.1**i) for i, d in enumerate(days) for k in range(4)], "date date, code string, fac double, open double")
+    index = spark.createDataFrame([(d, x) for d, x in zip(days, [0.4, 0.1, 0.1, 0.2], strict=True)], "date date, ret double")
+    out = {r["metric"]: r["value"] for r in evaluation.factor_summary(panel.select("date", "code", "fac"), panel.select("date", "code", "open"), 4, "M", index=index).collect()}
+    assert math.isclose(out["first_excess"], (0.1 - 0.2) * 12)  # all four dates: also the first, which has no pair
+
+
+def test_a_daily_factor_is_resampled_before_the_lag(spark):
+    # Two codes, three weeks of five days: the factor's last value of a week meets the next week's first opens.
+    rows = [(day(7 * w + d), c, float(w * 10 + d + (5 if c == "b" else 0)), 100.0 + (w if c == "a" else 2 * w) * 10 + d) for w in range(3) for d in range(5) for c in "ab"]
+    x = spark.createDataFrame(rows, "date date, code string, fac double, open double")
+    out = evaluation.evaluate(x.select("date", "code", "fac"), x.select("date", "code", "open"), 2, freq="W").orderBy("date").collect()
+    opens = {(r[0], r[1]): r[3] for r in rows}
+    weeks = sorted({r[0].isocalendar()[:2] for r in rows})
+    first = {(w, c): min((r[0], r[3]) for r in rows if r[0].isocalendar()[:2] == w and r[1] == c)[1] for w in weeks for c in "ab"}
+    want = [(first[b, "b"] / first[a, "b"]) - (first[b, "a"] / first[a, "a"]) for a, b in zip(weeks, weeks[1:])]
+    assert opens and [round(r["ls"], 12) for r in out] == [round(w, 12) for w in want]
+    assert evaluation.evaluate(x.select("date", "code", "fac"), x.select("date", "code", "open"), 2, freq="W", start="2100-01-01").count() == 0
+
+
 def test_summary_has_twelve_rows_and_frequencies_are_known(spark):
     panel = spark.createDataFrame([(day(31 * i), f"c{k:02}", float((k * 7 + i * 3) % 11 + 1), float(10 + (k * i) % 5)) for i in range(8) for k in range(12)], "date date, code string, fac double, open double")
     out = evaluation.factor_summary(panel.select("date", "code", "fac"), panel.select("date", "code", "open"), 4, "M").collect()
