@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import ratio
 from gridloom.functions.registry import grouped_apply
+from gridloom.operators.scans import affine_scan, ema_steps
 
 
 def code_window() -> WindowSpec:
@@ -129,34 +130,32 @@ def per_code(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], added: s
     return grouped_apply(df, [key], lambda g: fn(g.sort_values("date", ignore_index=True)), f"{kinds}, {added}")
 
 
-def ema(values: pd.Series, span: int) -> pd.Series:
-    """Exponential mean seeded with the first value."""
-    return values.ewm(span=span, adjust=False).mean()
+def adaptive_mean(daily: DataFrame, col: str, period: int, out: str, fast: int = 2, slow: int = 30, carry: bool = True) -> DataFrame:
+    """Adds the adaptive moving average: the more efficient the move, the faster it follows; seeded with the first mean.
 
-
-def adaptive_mean(x: pd.Series, period: int, fast: int = 2, slow: int = 30, carry: bool = True) -> list[float]:
-    """Adaptive moving average: the more efficient the move, the faster it follows; seeded with the first mean.
-
-    Where nothing moved in ``period`` rows the last value is carried, or everything behind is missing without ``carry``.
+    The rows up to the ``period``-th have the seed, null if there are fewer.  Where nothing moved in ``period`` rows the
+    last value is carried, or everything behind is null without ``carry``.
     """
     quick, idle = 2 / (fast + 1), 2 / (slow + 1)
-    gross = x.diff().abs().rolling(period).sum()
-    speed = ((x.diff(period).abs() / gross.where(gross != 0)) * (quick - idle) + idle) ** 2
-    out = [x.iloc[:period].mean() if len(x) >= period else float("nan")] * min(period, len(x))
-    for i in range(period, len(x)):
-        step = speed.iat[i]
-        out.append(out[-1] if carry and pd.isna(step) else out[-1] + step * (x.iat[i] - out[-1]))
-    return out
+    x = daily.withColumns({"_place": F.row_number().over(code_rows()), "_mean": rolling(col, period, grid=False), "_move": F.abs(F.col(col) - lagged(col)), "_net": F.abs(F.col(col) - lagged(col, period))})
+    x = x.withColumn("_gross", rolling("_move", period, F.sum, grid=False))
+    speed = F.pow(ratio(F.col("_net"), F.col("_gross")) * (quick - idle) + idle, 2)
+    x = x.withColumn("_speed", F.when(F.col("_place") > period, speed))
+    x = affine_scan(x, {out: (1 - F.col("_speed"), F.col("_speed") * F.col(col), F.when(F.col("_place") == period, F.col("_mean")))})
+    seed = F.max(F.when(F.col("_place") == period, F.col(out))).over(code_window())
+    value = F.when(F.col("_place") < period, seed).otherwise(F.col(out))
+    if not carry:
+        stuck = (F.col("_place") > period) & F.col("_speed").isNull()
+        value = F.when(F.count_if(stuck).over(code_rows().rowsBetween(Window.unboundedPreceding, 0)) == 0, value)
+    return x.withColumn(out, value).drop("_place", "_mean", "_move", "_net", "_gross", "_speed")
 
 
 def trend_strength(daily: DataFrame) -> DataFrame:
     """Adds trend (EMA10 / EMA26), accelerator (trend / EMA12 of it), ``short_state``'s columns, and long: both above 1 and not short."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        trend = ema(g["close"], 10) / ema(g["close"], 26)
-        return g.assign(trend=trend, accelerator=trend / ema(trend, 12))
-
-    out = short_state(per_code(daily, run, "trend double, accelerator double"))
+    x = affine_scan(daily, {"_fast": ema_steps(F.col("close"), 10), "_slow": ema_steps(F.col("close"), 26)})
+    x = x.withColumn("trend", ratio(F.col("_fast"), F.col("_slow"))).drop("_fast", "_slow")
+    x = affine_scan(x, {"_smooth": ema_steps(F.col("trend"), 12)})
+    out = short_state(x.withColumn("accelerator", ratio(F.col("trend"), F.col("_smooth"))).drop("_smooth"))
     return out.withColumn("long", (F.col("trend") > 1) & (F.col("accelerator") > 1) & ~F.col("short"))
 
 
@@ -166,8 +165,7 @@ def resonance(daily: DataFrame, *, ama: int = 10, bull: float = 1.125, bear: flo
     Energies compare a smoothed price with its value three rows back and a fast with a slow mean of the adaptive
     mean of volume.  In a rising trend (5 above 90 rows) the product must exceed ``bull``, else ``bear``.
     """
-    kinds = per_code(daily, lambda g: g.assign(ama_vol=adaptive_mean(g["vol"].astype(float), ama)), "ama_vol double")
-    out = kinds.withColumn("bma", rolling("close", 50, grid=False))
+    out = adaptive_mean(daily, "vol", ama, "ama_vol").withColumn("bma", rolling("close", 50, grid=False))
     out = out.withColumn("price_energy", ratio(F.col("bma"), lagged("bma", 3)))
     out = out.withColumn("volume_energy", ratio(rolling("ama_vol", 5, grid=False), rolling("ama_vol", 100, grid=False)))
     out = out.withColumn("resonance", F.col("price_energy") * F.col("volume_energy"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import ratio
 from gridloom.functions.registry import grouped_apply
+from gridloom.operators.scans import state_scan
 from gridloom.operators.series import code_rows, lagged, per_code, rolling
 
 
@@ -46,10 +47,14 @@ def long_short_signal(x: DataFrame) -> DataFrame:
     """Adds signal 1, 0 or -1: lo opens a long (before so a short), lc closes it (to a short on so), sc a short (to a long on lo).
 
     Without lc and sc of their own one event alone forces the state and both together turn it round (from 0 to a long),
-    so windows tell it; with them the rows of a code are walked in Python.
+    so windows tell it; with them each row is a map of the three states, and the maps are composed.
     """
     if "lc" in x.columns or "sc" in x.columns:
-        return _walked(x)
+        e = _events(x)
+        lo, so, lc, sc = (F.col(c) for c in ("lo", "so", "lc", "sc"))
+        opened = F.when(lo, 1).when(so, -1).otherwise(0)
+        closed_long, closed_short = F.when(lc, F.when(so, -1).otherwise(0)).otherwise(1), F.when(sc, F.when(lo, 1).otherwise(0)).otherwise(-1)
+        return state_scan(e, {0: opened, 1: closed_long, -1: closed_short}, 0)
     e = _events(x)
     lo, so = F.col("lo"), F.col("so")
     e = _since_forced(e, F.when(lo & ~so, 1).when(so & ~lo, -1), lo & so)
@@ -58,24 +63,6 @@ def long_short_signal(x: DataFrame) -> DataFrame:
     return e.withColumn("signal", signal.cast("int")).drop("_last", "_turns")
 
 
-def _walked(x: DataFrame) -> DataFrame:
-    """``long_short_signal`` row by row, for closing events that are not the opening ones."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        state, out = 0, []
-        for lo, so, lc, sc in zip(g["lo"], g["so"], g["lc"], g["sc"], strict=True):
-            if state == 0:
-                state = 1 if lo else -1 if so else 0
-            elif state == 1:
-                state = (-1 if so else 0) if lc else 1
-            else:
-                state = (1 if lo else 0) if sc else -1
-            out.append(state)
-        return g.assign(signal=out)
-
-    return per_code(_events(x), run, "signal int")
-
-
 def long_signal(x: DataFrame) -> DataFrame:
     """Adds signal 1 or 0: lo opens, lc closes.  One of them forces the state, both turn it round."""
     lo, lc = F.col("lo"), F.col("lc")

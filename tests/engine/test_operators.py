@@ -129,16 +129,19 @@ def test_account_buys_on_the_next_open_and_closes_at_the_end(spark):
     assert (s["n_trades"], s["win"]) == (2, 1.0) and s["mean_ret"] == pytest.approx(0.5)
 
 
-def test_adaptive_mean_matches_its_definition():
-    x = pd.Series(np.random.default_rng(5).normal(size=50).cumsum())
-    out = series.adaptive_mean(x, 10)
+def test_adaptive_mean_matches_its_definition(spark):
+    x = pd.Series(np.random.default_rng(5).normal(size=700).cumsum())
     want = [x[:10].mean()] * 10
-    for i in range(10, 50):
+    for i in range(10, 700):
         er = abs(x[i] - x[i - 10]) / sum(abs(x[j] - x[j - 1]) for j in range(i - 9, i + 1))
         want.append(want[-1] + (er * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (x[i] - want[-1]))
-    assert np.allclose(out, want)
-    flat = series.adaptive_mean(pd.Series([1.0] * 20), 5)
-    assert flat == [1.0] * 20
+    rows = [(DAY + dt.timedelta(i), "a", float(v)) for i, v in enumerate(x)] + [(DAY + dt.timedelta(i), "flat", 1.0) for i in range(20)] + [(DAY, "short", 5.0)]
+    df = spark.createDataFrame(rows, "date date, code string, x double")
+    out = series.adaptive_mean(df, "x", 10, "m").orderBy("code", "date").collect()
+    assert np.allclose([r["m"] for r in out if r["code"] == "a"], want)
+    assert [r["m"] for r in out if r["code"] == "flat"] == [1.0] * 20 and [r["m"] for r in out if r["code"] == "short"] == [None]
+    stuck = series.adaptive_mean(df.filter("code = 'flat'"), "x", 10, "m", carry=False).orderBy("date").collect()
+    assert [r["m"] for r in stuck] == [1.0] * 10 + [None] * 10
 
 
 def test_normal_distribution_and_worked_positions(spark):
