@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import average_rank, pair_corr, ratio
 from gridloom.functions.registry import grouped_apply
+from gridloom.operators.selection import group_quantiles, quantile_columns
 
 
 def date_window() -> WindowSpec:
@@ -32,11 +33,11 @@ def zscore(panel: DataFrame, col: str = "fac", all_pos: bool = False) -> DataFra
 
 
 def _with_mad(panel: DataFrame, col: str, n: float) -> DataFrame:
-    """Adds _med, _mad, _lo and _hi.  Medians are grouped and joined: one state a date, not one a row."""
-    med = panel.groupBy("date").agg(F.percentile(col, F.lit(0.5)).alias("_med"))
-    with_med = panel.join(med, "date")
-    mad = with_med.groupBy("date").agg(F.percentile(F.abs(F.col(col) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    return with_med.join(mad, "date").withColumns({"_lo": F.col("_med") - n * F.col("_mad"), "_hi": F.col("_med") + n * F.col("_mad")})
+    """Adds _med, _mad, _lo and _hi.  Medians are counted out for all dates at once and joined: no date is one task's state."""
+    with_med = panel.join(quantile_columns(panel, {"_med": (col, 0.5)}, ["date"]), "date", "left")
+    gap = F.abs(F.col(col) - F.col("_med"))
+    with_mad = with_med.join(quantile_columns(with_med, {"_mad": (gap, 0.5)}, ["date"]), "date", "left")
+    return with_mad.withColumns({"_lo": F.col("_med") - n * F.col("_mad"), "_hi": F.col("_med") + n * F.col("_mad")})
 
 
 def clip_mad(panel: DataFrame, n: float = 5.0, how: str = "replace", col: str = "fac") -> DataFrame:
@@ -72,8 +73,8 @@ def clip_sigma(panel: DataFrame, n: float = 3.0, col: str = "fac") -> DataFrame:
 
 def clip_percentile(panel: DataFrame, low: float = 0.025, high: float = 0.975, col: str = "fac") -> DataFrame:
     """Null outside two quantiles."""
-    bounds = panel.groupBy("date").agg(F.percentile(col, F.lit(low)).alias("_lo"), F.percentile(col, F.lit(high)).alias("_hi"))
-    return panel.join(bounds, "date").withColumn(col, F.when(F.col(col).between(F.col("_lo"), F.col("_hi")), F.col(col))).drop("_lo", "_hi")
+    bounds = quantile_columns(panel, {"_lo": (col, low), "_hi": (col, high)}, ["date"])
+    return panel.join(bounds, "date", "left").withColumn(col, F.when(F.col(col).between(F.col("_lo"), F.col("_hi")), F.col(col))).drop("_lo", "_hi")
 
 
 def clip(panel: DataFrame, method: str, parameter: float | tuple[float, float] | None = None, col: str = "fac") -> DataFrame:
@@ -90,16 +91,16 @@ def clip(panel: DataFrame, method: str, parameter: float | tuple[float, float] |
 
 def quantile_group(panel: DataFrame, groups: int = 10, col: str = "fac", out: str = "label") -> DataFrame:
     """Quantile bin from 0: edges are the date's distinct quantiles, bins are closed on the right, the first on both sides."""
-    edges = panel.groupBy("date").agg(F.array_distinct(F.percentile(col, F.array(*[F.lit(i / groups) for i in range(groups + 1)]))).alias("_edges"))
+    edges = group_quantiles(panel, col, [i / groups for i in range(groups + 1)], ["date"], "_edges").withColumn("_edges", F.array_distinct("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(col)))
-    return panel.join(edges, "date").withColumn(out, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
+    return panel.join(edges, "date", "left").withColumn(out, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 
 def distance(panel: DataFrame, quantile: float | None = None, square: bool = False, col: str = "fac") -> DataFrame:
     """Distance of each value from its date's mean or quantile."""
-    centre = panel.groupBy("date").agg((F.avg(col) if quantile is None else F.percentile(col, F.lit(quantile))).alias("_c"))
+    centre = panel.groupBy("date").agg(F.avg(col).alias("_c")) if quantile is None else quantile_columns(panel, {"_c": (col, quantile)}, ["date"])
     gap = F.col(col) - F.col("_c")
-    return panel.join(centre, "date").withColumn(col, gap * gap if square else F.abs(gap)).drop("_c")
+    return panel.join(centre, "date", "left").withColumn(col, gap * gap if square else F.abs(gap)).drop("_c")
 
 
 def coin_reverse(panel: DataFrame, ret: str, vol: str, *, mean: bool = True, split: bool = False, out: str = "fac") -> DataFrame:
@@ -108,15 +109,18 @@ def coin_reverse(panel: DataFrame, ret: str, vol: str, *, mean: bool = True, spl
     With ``split`` the threshold is taken apart for positive and negative returns, where returns of the other
     side count as 0, and results of 0 become null.
     """
-    middle = (lambda x: F.avg(x)) if mean else (lambda x: F.percentile(x, F.lit(0.5)))
+
+    def centres(**of: Column) -> DataFrame:
+        if mean:
+            return panel.groupBy("date").agg(*[F.avg(x).alias(n) for n, x in of.items()])
+        return quantile_columns(panel, {n: (x, 0.5) for n, x in of.items()}, ["date"])
+
     r, v = F.col(ret), F.col(vol)
     if not split:
-        centre = panel.groupBy("date").agg(middle(v).alias("_c"))
-        return panel.join(centre, "date").withColumn(out, r * F.signum(v - F.col("_c"))).drop("_c")
+        return panel.join(centres(_c=v), "date", "left").withColumn(out, r * F.signum(v - F.col("_c"))).drop("_c")
     up, down = F.when(r >= 0, F.when(r == 0, 0.0).otherwise(v)), F.when(r <= 0, F.when(r == 0, 0.0).otherwise(v))
-    centre = panel.groupBy("date").agg(middle(up).alias("_up"), middle(down).alias("_down"))
     signed = r * F.signum(v - F.when(r > 0, F.col("_up")).otherwise(F.col("_down")))
-    return panel.join(centre, "date").withColumn(out, F.nullif(signed, F.lit(0.0))).drop("_up", "_down")
+    return panel.join(centres(_up=up, _down=down), "date", "left").withColumn(out, F.nullif(signed, F.lit(0.0))).drop("_up", "_down")
 
 
 def add_zscores(panel: DataFrame, cols: list[str], out: str = "fac") -> DataFrame:
@@ -155,26 +159,32 @@ def preprocess(panel: DataFrame, col: str = "fac") -> DataFrame:
 def regress_out(panel: DataFrame, y: str, xs: list[str], out: str = "fac") -> DataFrame:
     """Residual of y on several factors per date, fitted on complete rows; null where one is missing.
 
-    A date's sums of products are grouped in Spark; only a k by k system per date is solved in Python.
+    A date's means and centred moments are grouped in Spark, where parts are merged without loss; only a k by k system
+    per date is solved in Python.  Factors that depend on others share their weight.
     """
     if len(xs) == 1:
         return panel.withColumn(out, residual(F.col(y), F.col(xs[0])))
     whole = panel.dropna(subset=[y, *xs])
-    names = ["1", *xs]
-    term = {n: F.lit(1.0) if n == "1" else F.col(n) for n in [*names, y]}
-    sums = [F.sum(term[a] * term[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
-    sums += [F.sum(term[a] * term[y]).alias(f"y_{i}") for i, a in enumerate(names)]
-    k = len(names)
+    k = len(xs)
+    moments = whole.groupBy("date").agg(
+        F.array(*[F.avg(c) for c in (*xs, y)]).alias("_means"), F.array(*[F.covar_pop(a, b) for a in xs for b in xs]).alias("_cov"), F.array(*[F.covar_pop(a, y) for a in xs]).alias("_with")
+    )
 
     @F.pandas_udf("array<double>")
-    def solve(row: pd.Series) -> pd.Series:
-        beta = [np.linalg.lstsq(np.reshape(r[: k * k], (k, k)), r[k * k :], rcond=None)[0].tolist() for r in row]
-        return pd.Series(beta)
+    def solve(cov: pd.Series, with_y: pd.Series) -> pd.Series:
+        def one(c, v):
+            # In units of the factors' deviations: the system is a correlation matrix.
+            c, v = np.reshape(np.asarray(c, dtype=float), (k, k)), np.asarray(v, dtype=float)
+            unit = np.sqrt(np.diag(c))
+            unit[unit == 0] = 1.0
+            return (np.linalg.lstsq(c / np.outer(unit, unit), v / unit, rcond=1e-12)[0] / unit).tolist()
+
+        return pd.Series([one(c, v) for c, v in zip(cov, with_y, strict=True)], dtype=object)
 
-    sums_at = whole.groupBy("date").agg(*sums)
-    fit = sums_at.select("date", solve(F.array(*[F.col(s) for s in sums_at.columns[1:]])).alias("_beta"))
-    line = reduce(lambda a, b: a + b, [F.get("_beta", F.lit(i)) * term[n] for i, n in enumerate(names)])
-    return panel.join(fit, "date", "left").withColumn(out, F.col(y) - line).drop("_beta")
+    fit = moments.select("date", "_means", solve("_cov", "_with").alias("_beta"))
+    gap = lambda c, i: F.col(c) - F.get("_means", F.lit(i))
+    line = reduce(lambda a, b: a + b, [F.get("_beta", F.lit(i)) * gap(c, i) for i, c in enumerate(xs)])
+    return panel.join(fit, "date", "left").withColumn(out, gap(y, k) - line).drop("_beta", "_means")
 
 
 def orthogonalise(panel: DataFrame, cols: list[str]) -> DataFrame:
@@ -236,18 +246,74 @@ def correlation(panel: DataFrame, a: str, b: str, *, key: str = "date", method:
         return ranked.groupBy(key).agg(pair_corr("a", "b").alias("corr"))
     if method != "kendall":
         raise ValueError("method is pearson, spearman or kendall")
-
-    def tau(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[a].to_numpy(), g[b].to_numpy()
-        score = ties_x = ties_y = pairs = 0
-        for i in range(len(x) - 1):  # one row of the group against the later ones: memory stays with the group
-            dx, dy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-            score, pairs = score + (dx * dy).sum(), pairs + len(dx)
-            ties_x, ties_y = ties_x + (dx == 0).sum(), ties_y + (dy == 0).sum()
-        scale = np.sqrt(float(pairs - ties_x) * float(pairs - ties_y))
-        return pd.DataFrame({key: [g[key].iat[0]], "corr": [score / scale if scale else np.nan]})
-
-    return both.select(key, a, b).groupBy(key).applyInPandas(tau, f"{key} {dict(panel.dtypes)[key]}, corr double")
+    return kendall(both.select(key, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), key)
+
+
+#: Rows of a part of a date's order, and the most parts.
+PART_ROWS, MOST_PARTS = 8192, 64
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs that stand in falling order, by merging sorted runs of doubling length."""
+    if len(values) < 2:
+        return 0
+    ranks = np.unique(values, return_inverse=True)[1]
+    top = int(ranks.max()) + 1
+    runs = np.full(1 << (len(ranks) - 1).bit_length(), top - 1, dtype=np.int64)  # what fills up the last run is in order
+    runs[: len(ranks)] = ranks
+    runs, total = runs.reshape(-1, 1), 0
+    while len(runs) > 1:
+        left, right = runs[0::2], runs[1::2]
+        width, apart = left.shape[1], np.arange(len(left))[:, None] * top
+        upto = np.searchsorted((left + apart).ravel(), (right + apart).ravel(), side="right") - np.repeat(np.arange(len(left)) * width, width)
+        total += int((width - upto).sum())
+        runs = np.sort(np.concatenate((left, right), axis=1), axis=1)
+    return total
+
+
+def kendall(pairs: DataFrame, key: str) -> DataFrame:
+    """key, corr: Kendall's tau-b of columns a and b for each key; null where one of them is constant.
+
+    All pairs less the ties, which are counts, less twice the pairs in opposite order.  Those are counted by parts of either
+    order: values between two approximate quantiles are a part, and so is each of these quantiles itself, so that a
+    frequent value is a part that needs no look.  Pairs within a part of a, or of b, are counted by merges in
+    a task; pairs of two different parts of both by the parts' counts, at most (2 * ``MOST_PARTS`` - 1)**2 of a key.
+    """
+    cuts = [F.lit(i / MOST_PARTS) for i in range(1, MOST_PARTS)]
+    size = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, F.array(*cuts)).alias(f"cuts_{c}") for c in "ab"])
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_ROWS)).cast("int")
+    # Of the cuts as many, evenly, as there are parts less one.
+    kept = lambda c: F.array_distinct(F.filter(f"cuts_{c}", lambda x, i: F.floor((i + 1) * F.col("parts") / MOST_PARTS) > F.floor(i * F.col("parts") / MOST_PARTS)))
+    size = size.withColumn("parts", parts).select(F.col(key), "n", *[kept(c).alias(f"cuts_{c}") for c in "ab"])
+    part = lambda c: (2 * F.size(F.filter(f"cuts_{c}", lambda x: x < F.col(c))) + F.array_contains(f"cuts_{c}", F.col(c)).cast("int")).alias(f"part_{c}")
+    placed = pairs.join(size, key).select(key, "a", "b", part("a"), part("b"), (F.size("cuts_a") + F.size("cuts_b") > 0).alias("many"))
+
+    within_a = placed.filter("part_a % 2 = 0").select(key, F.lit("a").alias("of"), F.col("part_a").alias("part"), "a", "b")
+    within_b = placed.filter("many and part_b % 2 = 0").select(key, F.lit("b").alias("of"), F.col("part_b").alias("part"), F.col("part_a").cast("double").alias("a"), "b")
+    kind = dict(pairs.dtypes)[key]
+
+    def opposite(g: pd.DataFrame) -> pd.DataFrame:
+        b = g["b"].to_numpy()
+        return pd.DataFrame({key: g[key].iloc[:1], "opposite": [inversions(b[np.lexsort((b, g["a"].to_numpy()))])]})
+
+    def across(g: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((2 * MOST_PARTS, 2 * MOST_PARTS), dtype=object)
+        counts[g["part_a"], g["part_b"]] = g["rows"].astype(object)
+        below = np.cumsum(counts[:-1, ::-1], axis=0)  # rows of lower parts of a, by parts of b from the highest on
+        higher = np.cumsum(below, axis=1)[:, ::-1]
+        return pd.DataFrame({key: g[key].iloc[:1], "opposite": [int((counts[1:, :-1] * higher[:, 1:]).sum())]})
+
+    merged = within_a.unionByName(within_b).groupBy(key, "of", "part").applyInPandas(opposite, f"`{key}` {kind}, opposite long")
+    cells = placed.filter("many").groupBy(key, "part_a", "part_b").agg(F.count(F.lit(1)).alias("rows"))
+    counted = merged.unionByName(cells.groupBy(key).applyInPandas(across, f"`{key}` {kind}, opposite long")).groupBy(key).agg(F.sum("opposite").alias("opposite"))
+    # Ties of a, of b, and of both: counts of (a, b) first, so a frequent value is few rows in the others.
+    twos = lambda c: F.sum(c * (c - 1) / 2)
+    both = pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    tie = lambda c, out: both.groupBy(key, c).agg(F.sum("c").alias("c")).groupBy(key).agg(twos(F.col("c")).alias(out))
+    tied = both.groupBy(key).agg(twos(F.col("c")).alias("ties_ab")).join(tie("a", "ties_a"), key).join(tie("b", "ties_b"), key)
+    x = size.select(key, (F.col("n") * (F.col("n") - 1) / 2).alias("all")).join(tied, key).join(counted, key, "left")
+    score = F.col("all") - F.col("ties_a") - F.col("ties_b") + F.col("ties_ab") - 2 * F.coalesce("opposite", F.lit(0))
+    return x.select(key, ratio(score, F.sqrt(F.col("all") - F.col("ties_a")) * F.sqrt(F.col("all") - F.col("ties_b"))).alias("corr"))
 
 
 def correlation_matrix(panel: DataFrame, cols: list[str], *, key: str = "date") -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import average_rank, ratio
-from gridloom.functions.registry import factor
+from gridloom.functions.columns import ratio
+from gridloom.functions.registry import factor, grouped_apply
+from gridloom.operators.rolling_order import with_halo
 from gridloom.operators.series import code_rows, on_grid, rolling_days, shifted
 
 _HOW = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "first": lambda c: F.min_by(c, "seq"), "last": lambda c: F.max_by(c, "seq")}
@@ -111,29 +114,84 @@ def smart_scores(bars: DataFrame) -> DataFrame:
     return x.withColumns({"s1": over(F.sqrt(v)), "s2": over(F.pow(v, F.lit(0.1))), "s3": v, "s5": F.when(v == 0, F.lit(0.0)).otherwise(over(logv))})
 
 
-def smart_money(bars: DataFrame, days: int = 10, share: float = 0.2) -> DataFrame:
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties sharing their mean; NaN for NaN."""
+    order = np.argsort(x, kind="stable")
+    at = np.cumsum(np.concatenate(([True], x[order][1:] != x[order][:-1]))) if len(x) else np.zeros(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(at)[1:])))
+    out = np.empty(len(x))
+    out[order] = (ends[at - 1] + 1 + ends[at]) / 2
+    return np.where(np.isnan(x), np.nan, out)
+
+
+class _Panes:
+    """A block's bars by days, each day sorted once by a score, with running volume and turnover along that order."""
+
+    def __init__(self, score: np.ndarray, volume: np.ndarray, turnover: np.ndarray, ends: np.ndarray):
+        # Places by falling score, missing ones last, then by time: the same order for any set of days.
+        place = np.empty(len(score), dtype=np.int64)
+        place[np.argsort(np.where(np.isnan(score), np.inf, -score), kind="stable")] = np.arange(len(score))
+        self.days = []
+        for first, end in zip(ends[:-1], ends[1:], strict=True):
+            order = np.argsort(place[first:end])
+            running = lambda x, order=order, first=first, end=end: np.concatenate(([0.0], np.cumsum(x[first:end][order])))
+            self.days.append((place[first:end][order], running(volume), running(turnover)))
+        self.bars = len(score)
+
+    def upto(self, first: int, end: int, limit: float) -> tuple[float, float]:
+        """Turnover and volume of the bars of days first to end, from the best on, while their volume stays within ``limit``."""
+        days = self.days[first:end]
+        cut = lambda place: [np.searchsorted(d[0], place) for d in days]
+        volume = lambda at: sum(d[1][i] for d, i in zip(days, at, strict=True))
+        low, high = 0, self.bars  # within the limit up to place low
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if volume(cut(middle)) <= limit else (low, middle - 1)
+        at = cut(low)
+        return sum(d[2][i] for d, i in zip(days, at, strict=True)), volume(at)
+
+
+def smart_money(bars: DataFrame, days: int = 10, share: float = 0.2, block: int = 40) -> DataFrame:
     """code, date (window end), score, q: price of the bars with the highest scores, up to ``share`` of the
     window's volume, against the whole window's price; for scores s1 to s5 in one pass.
 
     s4 adds the ranks of |R| and V within the window, where R is against the window's own bar before: its first bar
-    has none and comes last.  If the first bar alone exceeds the share, q is null.  Bars are spread once over their
-    windows; each score is a sort within a window's partition, so the scores cost no shuffle.
+    has none and comes last.  If the first bar alone exceeds the share, q is null.  A code's bars are dealt in blocks of
+    ``block`` of its days, each with the days before it that its windows need, so a bar is shuffled about once.  A block sorts each
+    day once a score; a window is its days' sorted bars, cut by a search for the place where the share is reached.  Only s4
+    is sorted for each window, as its ranks are the window's own.
     """
-    key = ["code", "window_end"]
-    whole = Window.partitionBy(*key)
-    x = rolling_days(smart_scores(bars), days)
-    x = x.withColumn("_r4", F.abs(ratio(F.col("close"), F.lag("close").over(whole.orderBy("date", "seq"))) - 1))
-    x = x.withColumn("s4", average_rank(F.col("_r4"), key) + average_rank(F.col("volume"), key))
-    names = ["s1", "s2", "s3", "s4", "s5"]
-    pv, v = F.col("price") * F.col("volume"), F.col("volume")
-    total = F.sum("volume").over(whole)
-    for n in names:
-        run = F.sum("volume").over(whole.orderBy(F.col(n).desc_nulls_last(), "date", "seq").rowsBetween(Window.unboundedPreceding, 0))
-        x = x.withColumn(f"_{n}", run <= share * total)
-    of = lambda n: ratio(F.sum(F.when(F.col(f"_{n}"), pv)), F.sum(F.when(F.col(f"_{n}"), v)))
-    out = x.groupBy(*key).agg(ratio(F.sum(pv), F.sum(v)).alias("_all"), *[of(n).alias(n) for n in names])
-    rows = F.array(*[F.struct(F.lit(n).alias("score"), ratio(F.col(n), F.col("_all")).alias("q")) for n in names])
-    return out.select("code", F.col("window_end").alias("date"), F.explode(rows).alias("x")).select("code", "date", "x.*")
+    x = smart_scores(bars).select("code", "date", "seq", "close", "volume", "price", "s1", "s2", "s3", "s5")
+    own = x.select("code", "date").distinct().withColumn("_d", F.row_number().over(code_rows()).cast("long"))
+    spread = with_halo(x.join(own, ["code", "date"]), F.col("_d"), block, days - 1)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["_d", "seq"], ignore_index=True)
+        d, close = g["_d"].to_numpy(), g["close"].to_numpy(dtype=float)
+        volume, turnover = (np.nan_to_num(v) for v in (g["volume"].to_numpy(dtype=float), (g["price"] * g["volume"]).to_numpy(dtype=float)))
+        starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        ends = np.append(starts, len(d))
+        panes = {s: _Panes(g[s].to_numpy(dtype=float), volume, turnover, ends) for s in ("s1", "s2", "s3", "s5")}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            change = np.abs(np.concatenate(([np.nan], close[1:] / np.where(close[:-1] == 0, np.nan, close[:-1]))) - 1)
+        whole_v, whole_t = (np.concatenate(([0.0], np.cumsum(v))) for v in (volume, turnover))
+        out = []
+        for at in range(days - 1, len(starts)):
+            first, end = starts[at - days + 1], ends[at + 1]
+            if not g["_own"].iat[end - 1]:
+                continue
+            v, t = whole_v[end] - whole_v[first], whole_t[end] - whole_t[first]
+            r = change[first:end].copy()
+            r[0] = np.nan
+            s4 = _average_ranks(r) + _average_ranks(volume[first:end])
+            for name in ("s1", "s2", "s3", "s4", "s5"):
+                pane, span = (_Panes(s4, volume[first:end], turnover[first:end], np.array([0, end - first])), (0, 1)) if name == "s4" else (panes[name], (at - days + 1, at + 1))
+                top_t, top_v = pane.upto(*span, share * v)
+                out.append((g["code"].iat[0], g["date"].iat[end - 1], name, (top_t / top_v) / (t / v) if top_v and t and v else None))
+        return pd.DataFrame(out, columns=["code", "date", "score", "q"])
+
+    kinds = dict(x.dtypes)
+    return grouped_apply(spread, ["code", "_block"], run, f"code {kinds['code']}, date {kinds['date']}, score string, q double")
 
 
 def reverse_momentum(bars: DataFrame, daily: DataFrame, days: int = 20, top: int = 10, quantile: float = 15 / 16) -> DataFrame:

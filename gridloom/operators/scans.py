@@ -1,8 +1,9 @@
 """Scans along a key's rows as compositions of maps: what a row does to the state before it is a map, and maps compose.
 
 Composition is associative, so a prefix needs no loop over rows: the rows of a block (a run of dates) are composed in
-a few steps of ``lag``, each step over four times as many rows; the blocks' own maps, a row a block, are composed in the
-same way; and each row is its block's start and its own prefix.  A key's rows are spread over as many tasks as it has blocks.
+two steps of ``lag``, the second over sixteen times as many rows; the blocks' own maps, one a block, are folded in a list
+that the calendar bounds; and each row is its block's start and its own prefix.  A key's rows are spread over as many
+tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -15,82 +16,91 @@ from pyspark.sql import functions as F
 
 #: A map's columns by name.
 Map = dict[str, Column]
-#: Days of a block: its rows are composed in four steps, as 4**4 rows are.
-BLOCK_DAYS = 256
-#: Steps that compose any number of blocks that dates can have: 4**7 blocks of 256 days.
-BLOCK_STEPS = 7
+#: How many rows a step composes.
+FAN = 16
+#: Days of a block: its rows, one a day at most, are composed in two steps.
+BLOCK_STEPS = 2
+BLOCK_DAYS = FAN**BLOCK_STEPS
 
 
-def day_block(date: str = "date", days: int = BLOCK_DAYS) -> Column:
-    return F.floor(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) / days)
+def day_block(date: str = "date") -> Column:
+    return F.floor(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) / BLOCK_DAYS)
 
 
-def _prefixes(df: DataFrame, names: list[str], unit: dict[str, object], compose: Callable[[Map, Map], Map], order: WindowSpec, steps: int) -> DataFrame:
-    """Each row's map composed with all maps before it in its window's partition, which has at most 4**steps rows."""
+def _before(name: str, rows: int, unit: Column | None, order: WindowSpec) -> Column:
+    """The column ``rows`` rows before; a row that isn't there changes nothing."""
+    lagged = F.lag(name, rows).over(order)
+    return lagged if unit is None else F.coalesce(lagged, unit)
+
+
+def _prefixes(df: DataFrame, names: list[str], unit: dict[str, Column | None], compose: Callable[[Map, Map], Map], order: WindowSpec, steps: int) -> DataFrame:
+    """Each row's map composed with all maps before it in its window's partition, which has at most FAN**steps rows."""
+    others = [c for c in df.columns if c not in names]
     for step in range(steps):
-        reach = 4**step
-        parts = [{n: F.col(n) for n in names}] + [{n: F.lag(n, j * reach, unit[n]).over(order) for n in names} for j in (1, 2, 3)]
         # The window's results become columns first: composed in place they would stand in it many times.
-        flat = df.withColumns({f"{n}_{j}": p[n] for j, p in enumerate(parts) if j for n in names})
-        maps = [parts[0]] + [{n: F.col(f"{n}_{j}") for n in names} for j in (1, 2, 3)]
-        df = flat.withColumns(reduce(compose, maps)).drop(*[f"{n}_{j}" for j in (1, 2, 3) for n in names])
+        flat = df.select("*", *[_before(n, j * FAN**step, unit[n], order).alias(f"{n}_{j}") for j in range(1, FAN) for n in names])
+        maps = [{n: F.col(f"{n}_{j}") for n in names} for j in range(FAN - 1, 0, -1)] + [{n: F.col(n) for n in names}]
+        # From the earliest on, so that each map stands in it once.
+        df = flat.select(*others, *[c.alias(n) for n, c in reduce(lambda done, later: compose(later, done), maps).items()])
     return df
 
 
-def compose_prefixes(df: DataFrame, maps: Map, unit: dict[str, object], compose: Callable[[Map, Map], Map], *, keys: tuple[str, ...] = ("code",), order: str = "date") -> DataFrame:
+def compose_prefixes(df: DataFrame, maps: Map, unit: dict[str, Column | None], compose: Callable[[Map, Map], Map], *, keys: tuple[str, ...] = ("code",), order: str = "date", firsts: Map | None = None) -> DataFrame:
     """Adds columns of each row's map composed with those of all rows of its key before it.
 
     ``compose(later, earlier)`` gives the columns of the later map after the earlier one; ``unit`` is the map that changes nothing.
-    ``order`` is a date that a key has once.
+    ``order`` is a date that a key has once.  ``firsts`` adds columns of structs (``order``, value): the key's first value that isn't null.
     """
-    names = list(maps)
-    x = df.withColumns({**maps, "_block": day_block(order)})
-    inner = _prefixes(x, names, unit, compose, Window.partitionBy(*keys, "_block").orderBy(order), 4)
-    whole = inner.groupBy(*keys, "_block").agg(*[F.max_by(F.struct(*names), order).alias("_m")]).select(*keys, "_block", "_m.*")
-    along = Window.partitionBy(*keys).orderBy("_block")
-    blocks = _prefixes(whole, names, unit, compose, along, BLOCK_STEPS)
-    start = blocks.select(*keys, "_block", *[F.lag(n, 1, unit[n]).over(along).alias(f"_start_{n}") for n in names])
-    out = inner.join(start, [*keys, "_block"])
-    return out.withColumns(compose({n: F.col(n) for n in names}, {n: F.col(f"_start_{n}") for n in names})).drop("_block", *[f"_start_{n}" for n in names])
+    names, firsts = list(maps), firsts or {}
+    x = df.withColumns({**maps, **{n: F.when(c.isNotNull(), F.struct(order, c.alias("value"))) for n, c in firsts.items()}, "_block": day_block(order)})
+    inner = _prefixes(x, names, unit, compose, Window.partitionBy(*keys, "_block").orderBy(order), BLOCK_STEPS)
+    # A block's last row, with all its columns: so both readers of the blocks share one shuffle.
+    whole = inner.groupBy(*keys, "_block").agg(F.max_by(F.struct(*inner.columns), order).alias("_m"), *[F.min(n).alias(n) for n in firsts])
+    # A key has some hundred blocks in a century, and 14,300 in all the dates that there are.
+    listed = whole.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", *[F.col(f"_m.{n}").alias(n) for n in names]))).alias("_blocks"), *[F.min(n).alias(f"_first_{n}") for n in firsts])
+    each = listed.select("*", F.posexplode(F.transform("_blocks", lambda m: m["_block"])).alias("_at", "_block"))
+    nothing = F.struct(*[(F.lit(None).cast(dict(inner.dtypes)[n]) if unit[n] is None else unit[n]).alias(n) for n in names])
+    after = lambda done, m: F.struct(*[c.alias(n) for n, c in compose({n: m[n] for n in names}, {n: done[n] for n in names}).items()])
+    start = each.select(*keys, "_block", *[f"_first_{n}" for n in firsts], F.aggregate(F.slice("_blocks", F.lit(1), F.col("_at")), nothing, after).alias("_start"))
+    out = compose({n: F.col(n) for n in names}, {n: F.col(f"_start.{n}") for n in names})
+    return inner.drop(*firsts).join(start, [*keys, "_block"]).select(*df.columns, *[c.alias(n) for n, c in out.items()], *[F.col(f"_first_{n}").alias(n) for n in firsts])
 
 
 def affine_scan(df: DataFrame, steps: dict[str, tuple[Column, Column, Column]], *, keys: tuple[str, ...] = ("code",), order: str = "date") -> DataFrame:
     """Adds a column for each of ``steps``: the value of x -> a x + b run along a key's rows.
 
-    A step is (a, b, first): before there is a value a row gives ``first``, null to leave it undefined; a null ``a`` or ``b``
-    leaves the value as it is.
+    A step is (a, b, seed).  The value before a key's first row is its first ``seed`` that isn't null; rows before that one have no
+    value.  A null ``a`` or ``b`` leaves the value as it is.
     """
     maps: Map = {}
-    unit: dict[str, object] = {}
-    for name, (a, b, first) in steps.items():
+    for name, (a, b, _) in steps.items():
         moves = a.isNotNull() & b.isNotNull()
-        maps |= {f"_a_{name}": F.when(moves, a).otherwise(1.0), f"_b_{name}": F.when(moves, b).otherwise(0.0), f"_c_{name}": first.cast("double")}
-        unit |= {f"_a_{name}": 1.0, f"_b_{name}": 0.0, f"_c_{name}": None}
+        maps |= {f"_a_{name}": F.when(moves, a).otherwise(1.0), f"_b_{name}": F.when(moves, b).otherwise(0.0)}
 
     def compose(later: Map, earlier: Map) -> Map:
         out = {}
         for name in steps:
-            (la, lb, lc), (ea, eb, ec) = ([m[f"_{p}_{name}"] for p in "abc"] for m in (later, earlier))
-            out |= {f"_a_{name}": la * ea, f"_b_{name}": la * eb + lb, f"_c_{name}": F.when(ec.isNull(), lc).otherwise(la * ec + lb)}
+            (la, lb), (ea, eb) = ([m[f"_{p}_{name}"] for p in "ab"] for m in (later, earlier))
+            out |= {f"_a_{name}": la * ea, f"_b_{name}": la * eb + lb}
         return out
 
-    # From nothing, so a prefix's value is what it makes of nothing.
-    return compose_prefixes(df, maps, unit, compose, keys=keys, order=order).withColumnsRenamed({f"_c_{n}": n for n in steps}).drop(*[f"_{p}_{n}" for p in "ab" for n in steps])
+    unit: dict[str, Column | None] = {n: F.lit(1.0 if n.startswith("_a_") else 0.0) for n in maps}
+    x = compose_prefixes(df.drop(*steps), maps, unit, compose, keys=keys, order=order, firsts={f"_s_{n}": seed.cast("double") for n, (_, _, seed) in steps.items()})
+    value = lambda n: F.when(F.col(order) >= F.col(f"_s_{n}.{order}"), F.col(f"_a_{n}") * F.col(f"_s_{n}.value") + F.col(f"_b_{n}"))
+    return x.select(*[c for c in df.columns if c not in steps], *[value(n).alias(n) for n in steps])
 
 
 def ema_steps(x: Column, span: int) -> tuple[Column, Column, Column]:
-    """Steps of the exponential mean, seeded with the first value; a null leaves it as it is."""
+    """Steps of the exponential mean, which is the first value at first; a null leaves it as it is."""
     alpha = 2 / (span + 1)
     return F.when(x.isNotNull(), F.lit(1 - alpha)), alpha * x, x
 
 
 def state_scan(df: DataFrame, images: dict[int, Column], start: int, out: str = "signal", *, keys: tuple[str, ...] = ("code",), order: str = "date") -> DataFrame:
     """Adds ``out``: the state of a machine along a key's rows; ``images`` is where a row takes each state, ``start`` the state before the first row."""
-    name = lambda s: f"_from_{list(images).index(s)}"
-
-    def compose(later: Map, earlier: Map) -> Map:
-        return {name(s): reduce(lambda rest, t: F.when(earlier[name(s)] == t, later[name(t)]).otherwise(rest), list(images)[1:], later[name(list(images)[0])]) for s in images}
-
-    maps = {name(s): image.cast("int") for s, image in images.items()}
-    done = compose_prefixes(df, maps, {name(s): s for s in images}, compose, keys=keys, order=order)
-    return done.withColumn(out, F.col(name(start))).drop(*maps)
+    # A map is an array: at each state's place the place of where it goes.
+    states = list(images)
+    place = lambda image: reduce(lambda rest, i: F.when(image == states[i], i).otherwise(rest), range(len(states)), F.lit(None).cast("int"))
+    compose = lambda later, earlier: {"_map": F.transform(earlier["_map"], lambda s: F.get(later["_map"], s))}
+    done = compose_prefixes(df.drop(out), {"_map": F.array(*[place(c) for c in images.values()])}, {"_map": F.array(*[F.lit(i) for i in range(len(states))])}, compose, keys=keys, order=order)
+    return done.withColumn(out, F.get(F.array(*[F.lit(s) for s in states]), F.get("_map", F.lit(states.index(start))))).drop("_map")

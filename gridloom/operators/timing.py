@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -11,15 +12,16 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import ratio
 from gridloom.functions.registry import grouped_apply
+from gridloom.operators.rolling_order import rolling_quantiles
 from gridloom.operators.scans import state_scan
 from gridloom.operators.series import code_rows, lagged, per_code, rolling
 
 
 def quantile_events(x: DataFrame, col: str, *, low: float = 0.2, high: float = 0.8, days: int = 365, burn_in: int = 365) -> DataFrame:
     """Adds lo (above the upper) and so (below the lower quantile of the trailing calendar window), after a burn-in."""
-    w = Window.partitionBy("code").orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(-(days - 1), 0)
+    x = rolling_quantiles(x, col, {"_high": high, "_low": low}, days)
     first = F.min("date").over(Window.partitionBy("code"))
-    x = x.withColumns({"lo": F.col(col) > F.percentile(col, F.lit(high)).over(w), "so": F.col(col) < F.percentile(col, F.lit(low)).over(w), "_first": first})
+    x = x.withColumns({"lo": F.col(col) > F.col("_high"), "so": F.col(col) < F.col("_low"), "_first": first}).drop("_high", "_low")
     return x.filter(F.col("date") >= F.date_add("_first", burn_in)).drop("_first")
 
 
@@ -114,6 +116,25 @@ def effect_signals(index: DataFrame, effect: DataFrame, window: int = 20) -> Dat
     return x.withColumn("signal", F.when(F.col("effect") == -1, -1).when((F.col("effect") == 1) & (F.col("close") > F.col("ma")), 1).otherwise(0))
 
 
+def next_after(left: DataFrame, right: DataFrame, keys: list[str], date: str = "date", *, strict: bool = True) -> DataFrame:
+    """Each row of ``left`` with the columns of the first row of ``right`` of the same keys after its date (from its date on, if not ``strict``); null without one.
+
+    The tables are laid together and read once backwards in time: no pairs are made, whatever lies between.  ``right``
+    has a date once for each key; its date comes as ``next_date``, and its other columns must have names of their own.  Null keys or dates meet nothing.
+    """
+    added = [c for c in right.columns if c not in (*keys, date)]
+    if set(added) & set(left.columns) or f"next_{date}" in left.columns:
+        raise ValueError("the tables share names besides their keys and the date")
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, date)])
+    rows = left.select(*keys, date, F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(F.col(date).alias(f"next_{date}"), *added)).schema[0].dataType).alias("_right"))
+    marks = right.filter(usable).select(*keys, date, F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.struct(F.col(date).alias(f"next_{date}"), *added).alias("_right"))
+    # Backwards, a row meets the marks that came before it; on the same day those are first that may be met.
+    mark_first = F.col("_left").isNotNull() if not strict else F.col("_left").isNull()
+    back = Window.partitionBy(*keys).orderBy(F.col(date).desc(), mark_first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(marks).withColumn("_met", F.when(usable, F.last("_right", ignorenulls=True).over(back)))
+    return met.filter("_left is not null").select("_left.*", "_met.*")
+
+
 def _account(g: pd.DataFrame, cash: float) -> tuple[pd.DataFrame, list[tuple[object, object, float]]]:
     """Equity of one code's rows, and its trades (entry, exit, return)."""
     shares, entry, equity, held, trades = 0, None, [], [], []

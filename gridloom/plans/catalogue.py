@@ -656,6 +656,24 @@ def level_long(spark, sf):
     return timing.one_signal(timing.level_events(x, "fac", 0.97, 1.03), "fac", 1).select("date", "code", "signal")
 
 
+@query
+def next_shipment(spark, sf):
+    """Each order with its first shipment after the order's day, and what is shipped of it on that day."""
+    orders = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), F.to_date("o_orderdate").alias("date"), "o_orderstatus")
+    shipped = views.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("code"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("quantity"))
+    return timing.next_after(orders, shipped, ["code"])
+
+
+@query
+def next_exit(spark, sf):
+    """Each day on which a flag's bars open a long, with the first later day of the orders' table on which more than twice the usual number is placed."""
+    bars = views.index_daily(spark, sf).withColumn("fac", steady(F.col("close") / F.col("open"), 6))
+    entries = timing.level_events(bars, "fac", 0.97, 1.03).filter("lo").select("code", "date", "close")
+    placed = views.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("R").alias("code")).agg(F.count("*").alias("placed"))
+    usual = placed.groupBy("code").agg(F.avg("placed").alias("usual"))
+    return timing.next_after(entries, placed.join(usual, "code").filter("placed > 2 * usual").select("code", "date", "placed"), ["code"], strict=False)
+
+
 # More of evaluation and performance
 
 

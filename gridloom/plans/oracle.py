@@ -271,6 +271,10 @@ round(CASE WHEN close > 1500 THEN amount WHEN close < 1500 THEN vol ELSE 0 END,
     "level_signal": """, n AS (SELECT date, code, x >= 1.03 AS lo, x <= 0.97 AS so, vol <= 300 AS sc, vol >= 600 AS lc, row_number() OVER (PARTITION BY code ORDER BY date) AS i FROM (SELECT *, round(close / open, 6) AS x FROM idx)),
 r AS (SELECT code, i, date, CASE WHEN lo THEN 1 WHEN so THEN -1 ELSE 0 END AS s FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.date, CASE s WHEN 0 THEN CASE WHEN lo THEN 1 WHEN so THEN -1 ELSE 0 END WHEN 1 THEN CASE WHEN lc THEN CASE WHEN so THEN -1 ELSE 0 END ELSE 1 END
 ELSE CASE WHEN sc THEN CASE WHEN lo THEN 1 ELSE 0 END ELSE -1 END END FROM r JOIN n ON n.code = r.code AND n.i = r.i + 1) SELECT date, code, s::INT AS signal FROM r WHERE date >= DATE '1995-01-01'""",
+    "next_shipment": """SELECT o.code, o.date, o_orderstatus, s.date AS next_date, round(quantity, 6) AS quantity FROM (SELECT o_orderkey AS code, o_orderdate::DATE AS date, o_orderstatus FROM orders) o
+ASOF LEFT JOIN (SELECT l_orderkey AS code, l_shipdate::DATE AS date, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2) s ON o.code = s.code AND o.date < s.date""",
+    "next_exit": """, en AS (SELECT code, date, close FROM idx WHERE round(close / open, 6) >= 1.03), pl AS (SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'R' END AS code, count(*) AS placed FROM orders GROUP BY 1, 2),
+ex AS (SELECT * FROM (SELECT *, avg(placed) OVER (PARTITION BY code) AS u FROM pl) WHERE placed > 2 * u) SELECT en.code, en.date, round(close, 6) AS close, ex.date AS next_date, placed FROM en ASOF LEFT JOIN ex ON en.code = ex.code AND en.date <= ex.date""",
     "level_long": """, n AS (SELECT date, code, x >= 1.03 AS lo, x <= 0.97 AS so, row_number() OVER (PARTITION BY code ORDER BY date) AS i FROM (SELECT *, round(close / open, 6) AS x FROM idx)),
 r AS (SELECT code, i, date, CASE WHEN lo THEN 1 ELSE 0 END AS s FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.date, CASE WHEN s = 1 THEN CASE WHEN so THEN 0 ELSE 1 END WHEN lo THEN 1 ELSE 0 END FROM r JOIN n ON n.code = r.code AND n.i = r.i + 1) SELECT date, code, s::INT AS signal FROM r""",
     "group_nets": """, e AS (SELECT date, grp, avg(ret) AS ret FROM grp GROUP BY 1, 2 UNION ALL SELECT (SELECT min(date) - INTERVAL 1 MONTH FROM grp)::DATE, grp, 0 FROM grp GROUP BY grp) SELECT date, grp, round(ret, 6) + 0 AS ret, round(sum(ret) OVER (PARTITION BY grp ORDER BY date), 6) + 0 AS net FROM e""",
