@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import average_rank, pair_corr, ratio
-from gridloom.functions.registry import grouped_apply
 from gridloom.operators.selection import group_quantiles, quantile_columns
 
 
@@ -214,26 +213,41 @@ def orthogonalise(panel: DataFrame, cols: list[str]) -> DataFrame:
     return z.join(cov, "date").withColumns(turned).drop("_m")
 
 
+#: Candidates of a round of Box-Cox's search, and rounds: each leaves a sixteenth of the range, from -5 to 5.
+LAMBDAS, LAMBDA_ROUNDS = 32, 7
+
+
+def box_cox_lambdas(panel: DataFrame, col: str = "fac") -> DataFrame:
+    """date, lambda (likeliest, from -5 to 5, to some 1e-8) and the values' mean logarithm, all dates at once.
+
+    With values over their geometric mean the likeliest lambda is that of the least variance.  A round takes the variance of
+    each date at evenly spaced candidates, in one aggregation; the next one looks between the neighbours of the least.  Dates with
+    a negative value or fewer than two different positive ones have no row.
+    """
+    x = F.nullif(F.col(col).cast("double"), F.lit(0.0))
+    dates = panel.groupBy("date").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.when(x > 0, F.ln(F.when(x > 0, x)))).alias("centre"))
+    # Every round reads the same shuffle of dates and values, dealt by both, so that the input is computed once.
+    values = panel.select("date", x.alias("x")).filter("x is not null").repartition("date", F.pmod(F.xxhash64("x"), F.lit(64)))
+    at = dates.filter("least > 0 and least < most").select("date", "centre", F.lit(-5.0).alias("low"), F.lit(5.0).alias("high"))
+    for _ in range(LAMBDA_ROUNDS):
+        step = (F.col("high") - F.col("low")) / LAMBDAS
+        near = values.join(at, "date").select("date", "centre", "low", "high", (F.ln("x") - F.col("centre")).alias("z"), F.explode(F.sequence(F.lit(0), F.lit(LAMBDAS))).alias("i"))
+        power = F.col("low") + F.col("i") * step
+        near = near.withColumn("f", F.when(F.abs(power) < 1e-9, F.col("z")).otherwise(F.expm1(power * F.col("z")) / F.when(F.abs(power) < 1e-9, 1.0).otherwise(power)))
+        spread = near.groupBy("date", "centre", "low", "high", "i").agg(F.var_pop("f").alias("spread"))
+        best = spread.groupBy("date", "centre", "low", "high").agg(F.min(F.struct("spread", "i")).alias("best"))
+        i = F.col("best.i")
+        at = best.select("date", "centre", (F.col("low") + F.greatest(i - 1, F.lit(0)) * step).alias("low"), (F.col("low") + F.least(i + 1, F.lit(LAMBDAS)) * step).alias("high"))
+    return at.select("date", ((F.col("low") + F.col("high")) / 2).alias("lambda"), "centre")
+
+
 def box_cox(panel: DataFrame, col: str = "fac") -> DataFrame:
-    """Box-Cox transform with each date's likeliest lambda; zeros become null, a date with a negative value is null."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in panel.dtypes)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g[col].astype(float).where(g[col] != 0)
-        v = x.dropna().to_numpy()
-        if len(v) < 2 or v.min() <= 0 or v.min() == v.max():
-            return g.assign(**{col: np.nan})
-        logs = np.log(v)
-        f = lambda lam: logs if abs(lam) < 1e-9 else np.expm1(lam * logs) / lam
-        loss = lambda lam: len(v) / 2 * np.log(f(lam).var()) - (lam - 1) * logs.sum()
-        low, high, golden = -5.0, 5.0, (5**0.5 - 1) / 2
-        for _ in range(80):
-            a, b = high - golden * (high - low), low + golden * (high - low)
-            low, high = (low, b) if loss(a) < loss(b) else (a, high)
-        best = (low + high) / 2
-        return g.assign(**{col: np.log(x) if abs(best) < 1e-9 else np.expm1(best * np.log(x)) / best})
-
-    return grouped_apply(panel, ["date"], run, kinds)
+    """Box-Cox transform with each date's likeliest lambda; zeros become null, a date with a negative value, or without two different ones, is null."""
+    best, x = F.col("_lambda"), F.nullif(F.col(col).cast("double"), F.lit(0.0))
+    found = box_cox_lambdas(panel, col).select("date", F.col("lambda").alias("_lambda"))
+    log = F.ln(F.when(x > 0, x))
+    new = F.when(F.abs(best) < 1e-9, log).otherwise(F.expm1(best * log) / F.nullif(best, F.lit(0.0)))
+    return panel.join(found, "date", "left").withColumn(col, F.when(best.isNotNull(), new)).drop("_lambda")
 
 
 def correlation(panel: DataFrame, a: str, b: str, *, key: str = "date", method: str = "pearson") -> DataFrame:

@@ -498,7 +498,7 @@ def sym_orth(spark, sf):
 
 @query
 def de_cross(spark, sf):
-    return cross.regress_out(_three(spark, sf), "amount", ["vol", "close"]).select("date", "code", steady(F.col("fac"), 3).alias("fac"))
+    return cross.regress_out(_three(spark, sf), "amount", ["vol", "close"]).select("date", "code", steady(F.col("fac"), 4).alias("fac"))
 
 
 # Readers, masks and column functions

@@ -121,6 +121,8 @@ SELECT date, code, round(fac, 6) AS fac, greatest(len(list_filter(edges, lambda
 JOIN (SELECT date, quantile_cont(CASE WHEN ret > 0 THEN vol WHEN ret = 0 THEN 0 END, 0.5) AS u, quantile_cont(CASE WHEN ret < 0 THEN vol WHEN ret = 0 THEN 0 END, 0.5) AS d FROM x GROUP BY 1) USING (date)""",
     "add_zscores": f"SELECT date, code, round({_Z('amount')} + {_Z('vol')}, 6) + 0 AS fac FROM panel",
     "neutral_size": """SELECT date, code, round(fac - a - b * circ_mv, 3) + 0 AS fac FROM fac JOIN attr USING (code) JOIN (SELECT date, regr_slope(fac, circ_mv) AS b, regr_intercept(fac, circ_mv) AS a FROM fac JOIN attr USING (code) GROUP BY 1) USING (date)""",
+    "de_cross": """, mo AS (SELECT date, avg(amount) AS y, avg(vol) AS a, avg(close) AS b, covar_pop(vol, vol) AS aa, covar_pop(close, close) AS bb, covar_pop(vol, close) AS ab, covar_pop(vol, amount) AS ay, covar_pop(close, amount) AS yb FROM panel GROUP BY 1)
+SELECT date, code, round(amount - y - (ay * bb - yb * ab) / (aa * bb - ab * ab) * (vol - a) - (yb * aa - ay * ab) / (aa * bb - ab * ab) * (close - b), 4) + 0 AS fac FROM panel JOIN mo USING (date)""",
     "neutral_industry": "SELECT date, code, round(fac - avg(fac) OVER (PARTITION BY date, industry), 6) + 0 AS fac FROM fac JOIN attr USING (code)",
     "preprocess_pipeline": f""", med AS (SELECT date, quantile_cont(fac, 0.5) AS m FROM fac JOIN attr USING (code) GROUP BY 1), mad AS (SELECT date, m, quantile_cont(abs(fac - m), 0.5) AS d FROM fac JOIN attr USING (code) JOIN med USING (date) GROUP BY 1, 2),
 c AS (SELECT date, code, industry, circ_mv, least(greatest(fac, m - 3 * d), m + 3 * d) AS fac FROM fac JOIN attr USING (code) JOIN mad USING (date)),

@@ -174,3 +174,22 @@ def test_blocks_carry_what_is_looked_back_on(spark):
         own = {i for i in range(20) if i // 5 == block}
         assert set(g["id"]) == {i for i in range(20) if any(0 <= o - i <= 3 for o in (own or range(5 * block, 5 * block + 5)))}
     assert isinstance(out, pd.DataFrame)
+
+
+def test_box_cox_finds_the_least_variance_of_a_fine_grid(spark):
+    r = np.random.default_rng(8)
+    data = {"log": np.exp(r.normal(size=300)), "root": (5 + r.normal(size=300)) ** 2, "large": 1e5 + 1e4 * r.gamma(2.0, size=300), "huge": np.exp(150 + r.normal(size=100)), "two": np.array([1.0, 3.0])}
+    rows = [(k, str(i), float(v)) for k, xs in data.items() for i, v in enumerate(xs)] + [("log", "zero", 0.0), ("log", "none", None), ("minus", "a", -1.0), ("minus", "b", 2.0), ("flat", "a", 2.0), ("flat", "b", 2.0), ("alone", "a", 2.0)]
+    df = spark.createDataFrame(rows, "date string, code string, fac double").repartition(4)
+    found = {q["date"]: q["lambda"] for q in cross.box_cox_lambdas(df).collect()}
+    assert set(found) == set(data)
+    out = {(q["date"], q["code"]): q["fac"] for q in cross.box_cox(df).collect()}
+    assert len(out) == len(rows) and all(out[k] is None for k in [("log", "zero"), ("log", "none"), ("minus", "a"), ("minus", "b"), ("flat", "a"), ("alone", "a")])
+    for k, xs in data.items():
+        z = np.log(xs) - np.log(xs).mean()
+        spread = lambda lam, z=z: z.var() if abs(lam) < 1e-9 else (np.expm1(lam * z) / lam).var()
+        grid = np.linspace(-5, 5, 20001)
+        best = grid[np.argmin([spread(g) for g in grid])]
+        assert abs(found[k] - best) <= 5.1e-4 and spread(found[k]) <= spread(best) * (1 + 1e-12)
+        lam = found[k]
+        assert out[k, "1"] == pytest.approx(float(np.expm1(lam * np.log(xs[1])) / lam), rel=1e-12)
