@@ -136,7 +136,7 @@ class Encoder:
 
     @staticmethod
     def _bodies(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
-        """Subframes: constant, fixed order 0 to 2 with one Rice parameter, or verbatim, whichever is shortest."""
+        """Subframes: constant, fixed order 0 to 2 with a Rice parameter by the mean residual, or verbatim, whichever is shortest."""
         n = len(start)
         column = np.arange(BLOCK)
         inside = column < size[:, None]
@@ -152,10 +152,12 @@ class Encoder:
             live = inside & (column >= order)
             u = np.where(live, (r << 1) ^ (r >> 31), 0)
             residuals[order] = u
-            for k in range(3, 9):
-                bits = 8 + 8 * order + 10 + np.where(live, (u >> k) + 1 + k, 0).sum(axis=1)
-                better = (bits < best) & (size > order)
-                best, kind, param = np.where(better, bits, best), np.where(better, 8 + order, kind), np.where(better, k, param)
+            count = np.maximum(size - order, 1)
+            # The parameter that suits the mean: some two thirds of it are below 2**k.
+            k = np.clip(np.floor(np.log2(np.maximum(u.sum(axis=1) / count, 1) * 0.7)).astype(np.int64) + 1, 0, 8)
+            bits = 8 + 8 * order + 10 + (u >> k[:, None]).sum(axis=1) + count * (1 + k)
+            better = (bits < best) & (size > order)
+            best, kind, param = np.where(better, bits, best), np.where(better, 8 + order, kind), np.where(better, k, param)
         kind = np.where(constant, 0, kind)
         bits = np.where(constant, 16, best)
         nbytes = -(-bits // 8)
@@ -240,10 +242,10 @@ def _frame_bounds(stream: np.ndarray, at: int, end: int) -> list[int]:
 
 
 def parse_info(stream: bytes) -> dict:
-    """STREAMINFO and the first frame's position."""
+    """STREAMINFO, the first frame's position (at), and the seek points' distances from it (points)."""
     if stream[:4] != b"fLaC":
         raise FlacError("no FLAC marker")
-    at, info, last = 4, None, False
+    at, info, last, points = 4, None, False, []
     while not last:
         if at + 4 > len(stream):
             raise FlacError("metadata runs past the end")
@@ -252,21 +254,19 @@ def parse_info(stream: bytes) -> dict:
             block = stream[at + 4 : at + 4 + size]
             packed = int.from_bytes(block[10:18], "big")
             info = {"block": int.from_bytes(block[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "depth": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": block[18:34]}
+        elif kind == 3:
+            table = stream[at + 4 : at + 4 + size]
+            points = [int.from_bytes(table[i + 8 : i + 16], "big") for i in range(0, len(table) - 17, 18) if table[i : i + 8] != b"\xff" * 8]
         at += 4 + size
     if info is None:
         raise FlacError("no STREAMINFO")
     if info["channels"] != 1 or info["depth"] > 24:
         raise FlacError("only mono of at most 24 bits is read")
-    return info | {"at": at}
+    return info | {"at": at, "points": points}
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """Samples (int32) of each stream; raises FlacError where a checksum or the MD5 fails."""
-    infos = [parse_info(s) for s in streams]
-    lengths = np.array([len(s) for s in streams], dtype=np.int64)
-    base = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    # Sync codes propose frames; those whose header checksum holds and that follow one another by number are frames.
+def _proposed(data: np.ndarray, infos: list[dict], base: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of frames and their streams, as sync codes propose them: those whose header's checksum holds and whose numbers follow one another."""
     starts, owner = [], []
     for i, info in enumerate(infos):
         found = _frame_bounds(data, int(base[i]) + info["at"], int(base[i] + lengths[i]))
@@ -274,15 +274,76 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         owner += [i] * len(found)
     start, owner = np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64)
     heads = _headers(data, start)
-    start, owner, heads = start[heads["ok"]], owner[heads["ok"]], {k: v[heads["ok"]] for k, v in heads.items()}
+    sequels, due = np.zeros(len(start), dtype=bool), {}
+    for k, (i, n, ok) in enumerate(zip(owner.tolist(), heads["number"].tolist(), heads["ok"].tolist(), strict=True)):
+        if ok and n == due.get(i, 0):
+            sequels[k], due[i] = True, n + 1
+    return start[sequels], owner[sequels]
+
+
+def _walked(data: np.ndarray, info: dict) -> np.ndarray:
+    """Starts of a stream's frames, each where the one before ends.
+
+    Seek points start many walks at once; where one of them isn't met by the walk before it, the table is wrong, and one
+    walk goes from the first frame on.
+    """
+    points = sorted({info["at"], *(info["at"] + p for p in info["points"] if info["at"] + p < len(data))})
+    for origins in (points, [info["at"]]) if len(points) > 1 else (points,):
+        try:
+            found = []
+            for i in range(0, len(origins), GROUP // 8):
+                part = np.array(origins[i : i + GROUP // 8], dtype=np.int64)
+                goal = np.array([*origins[i + 1 : i + GROUP // 8 + 1], len(data)][: len(part)], dtype=np.int64)
+                low, bits = part[0], _Bits(data[part[0] : goal[-1]])
+                while len(part):
+                    heads = _headers(data, part)
+                    if not heads["ok"].all():
+                        raise FlacError("no frame where the last one ends")
+                    found.append(part)
+                    depth = np.where(heads["depth"] == 0, info["depth"], heads["depth"])
+                    part = ((_subframes(bits, 8 * (part - low + heads["bytes"]), heads["size"], depth)[1] + 7) >> 3) + 2 + low
+                    if (part > goal).any():
+                        raise FlacError("a frame runs past the end")
+                    part, goal = part[part < goal], goal[part < goal]
+            return np.sort(np.concatenate(found))
+        except (FlacError, IndexError, OverflowError):
+            if origins == [info["at"]]:
+                raise
+    raise AssertionError("one of the walks ends or raises")
+
+
+def decode(streams: list[bytes]) -> list[np.ndarray]:
+    """Samples (int32) of each stream; raises FlacError where a checksum or the MD5 fails.
+
+    Sync codes propose where frames begin, so that frames are read many at a time.  A proposal stands only if each frame
+    begins where the one before was found to end.  Bytes inside a frame may look like a header: a stream whose proposal
+    doesn't stand is read again by walking from each frame's end to the next.
+    """
+    infos = [parse_info(s) for s in streams]
+    lengths = np.array([len(s) for s in streams], dtype=np.int64)
+    base = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
+    start, owner = _proposed(data, infos, base, lengths)
+    try:
+        return _decode_frames(data, infos, base, lengths, start, owner)
+    except (FlacError, IndexError, OverflowError):
+        if len(streams) > 1:
+            return [decode([s])[0] for s in streams]
+    try:
+        start = _walked(data, infos[0])
+        return _decode_frames(data, infos, base, lengths, start, np.zeros(len(start), dtype=np.int64))
+    except (IndexError, OverflowError) as e:
+        raise FlacError("the stream ends in a frame, or a number is out of range") from e
+
+
+def _decode_frames(data: np.ndarray, infos: list[dict], base: np.ndarray, lengths: np.ndarray, start: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+    heads = _headers(data, start)
     default = np.array([i["depth"] for i in infos], dtype=np.int64)
     depth = np.where(heads["depth"] == 0, default[owner], heads["depth"])
-    sequels = np.zeros(len(start), dtype=bool)
-    due, last = {}, -1
-    for k, (i, n) in enumerate(zip(owner.tolist(), heads["number"].tolist(), strict=True)):
-        if n == due.get(i, 0):
-            sequels[k], due[i], last = True, n + 1, k  # noqa: F841
-    start, owner, depth, heads = start[sequels], owner[sequels], depth[sequels], {k: v[sequels] for k, v in heads.items()}
+    first = np.searchsorted(owner, np.arange(len(infos) + 1))
+    begins = [int(start[a]) if a < b else None for a, b in zip(first[:-1], first[1:], strict=True)]
+    if any(at is not None and at != low + info["at"] for at, low, info in zip(begins, base.tolist(), infos, strict=True)):
+        raise FlacError("bytes before the first frame")
     closing = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
     follow = np.where(closing, (base + lengths)[owner], np.concatenate((start[1:], [len(data)]))) if len(owner) else start
     samples = [np.zeros(0, np.int32)]
@@ -300,7 +361,6 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         samples.append(rows[np.arange(rows.shape[1]) < size[:, None]].astype(np.int32))
     flat, per_frame = np.concatenate(samples), np.concatenate(([0], np.cumsum(heads["size"])))
     out = []
-    first = np.searchsorted(owner, np.arange(len(streams) + 1))
     for i, info in enumerate(infos):
         pcm = flat[per_frame[first[i]] : per_frame[first[i + 1]]]
         width = (info["depth"] + 7) // 8
@@ -407,7 +467,6 @@ def _rice(bits: _Bits, at: np.ndarray, size: np.ndarray, order: int, out: np.nda
     at = at + 6
     wide = 4 + method
     each = size >> parts
-    left = np.zeros(len(at), dtype=np.int64)
     k, raw = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
     for i in range(order, int(size.max()) if len(size) else 0):
         live = i < size
@@ -431,7 +490,6 @@ def _rice(bits: _Bits, at: np.ndarray, size: np.ndarray, order: int, out: np.nda
             pick = np.flatnonzero(live & raw)
             out[rows[pick], i] = bits.signed(at[pick], k[pick])
             at[pick] += k[pick]
-    del left
     return at
 
 

@@ -80,7 +80,10 @@ def media_digest(media: bytes | None, blocks: Iterator[tuple[int, bytes]]) -> tu
 
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac.encode_flac(padded_payloads(documents(spark, sf_dir))).drop("payload")
-    return flac.read_blocks(stored, media_digest, MEDIA_FIELDS)
+    read = flac.read_blocks(stored, media_digest, MEDIA_FIELDS)
+    # Every payload was stored just now: one that can't be read back is no result but a fault.
+    sound = F.when(F.col("media_error").isNotNull(), F.raise_error(F.concat(F.lit("a stored payload can't be read back: "), "media_error")).cast("long")).otherwise(F.col("payload_bytes"))
+    return read.withColumn("payload_bytes", sound).drop("media_error")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

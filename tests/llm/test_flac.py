@@ -1,6 +1,7 @@
 """FLAC: streams of other encoders, broken streams, blocks with offsets."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -145,3 +146,83 @@ def test_digests_are_those_of_plain_python(spark):
         assert (r["doc_id"], r["feature"], r["payload_sha256"]) == (i, want, hashlib.sha256(p or b"").hexdigest())
         media = flac.Encoder().encode([p])[0] if p else b""
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def fake_header(number, size=flac.BLOCK):
+    """A frame's header with its right checksum, as it may stand in any text."""
+    return flac.Encoder().header(number, size)
+
+
+def as_payload(header):
+    """Payload bytes whose samples, written verbatim, are these bytes."""
+    return bytes(b ^ 0x80 for b in header)
+
+
+def test_a_text_whose_bytes_look_like_a_header_is_read_back(spark):
+    r = random.Random(21)
+    odd = lambda n: "".join(chr(r.choice([r.randrange(0x20, 0x7F), r.randrange(0xA0, 0x7FF)])) for _ in range(n))
+    # Stored verbatim these characters are FF F8 .. and a header of the frame after the first.
+    texts = [odd(150) + "\x7fxႁ\x006" + odd(600), odd(40) + "plain", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = flac.encode_flac(queries.padded_payloads(docs))
+    for row in flac.decode_flac(stored).collect():
+        assert row["media_error"] is None and bytes(b ^ 0x80 for b in row["pcm"]) == row["payload"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fake_headers_at_every_place_are_read_back(seed):
+    r = random.Random(seed)
+    noise = lambda n: bytes(r.randrange(256) for _ in range(n))
+    payloads = []
+    for _ in range(12):
+        body = bytearray(noise(r.randrange(1, 9) * 512 + r.randrange(-300, 300)))
+        for _ in range(r.randrange(1, 30)):
+            head = as_payload(fake_header(r.randrange(0, 12), r.choice((flac.BLOCK, r.randrange(1, 512)))))
+            at = r.randrange(0, len(body))
+            body[at : at + len(head)] = head
+        payloads.append(bytes(body))
+    payloads.append(b"".join(as_payload(fake_header(i % 5)) for i in range(800)))  # nothing but headers
+    inner = flac.Encoder().encode([noise(3000)])[0]
+    payloads.append(noise(100) + as_payload(inner) + noise(100))  # a whole stream inside a stream
+    for streams in (flac.Encoder().encode(payloads), [flac.Encoder().encode([p])[0] for p in payloads]):
+        out = flac.decode(streams)
+        assert [bytes((x.astype(np.int64) + 128).astype(np.uint8)) for x in out] == payloads
+
+
+def test_a_crafted_chain_with_right_checksums_is_no_frame():
+    """A false frame 1 inside frame 0 whose bytes even make frame 0's checksum hold up to it."""
+    r = random.Random(4)
+    body = bytearray(bytes(r.randrange(256) for _ in range(1024)))
+    probe = flac.Encoder().encode([bytes(body)])[0]
+    start = flac.parse_info(probe)["at"]
+    head = fake_header(0)
+    for at in range(60, 300):
+        body[at : at + len(head) + 1] = as_payload(fake_header(1)) + b"\0"
+        upto = head + bytes([2]) + bytes(b ^ 0x80 for b in body[: at - 2])  # frame 0, verbatim, before the false frame
+        body[at - 2 : at] = as_payload(crc(upto, 0x8005, 16).to_bytes(2, "big"))
+    payload = bytes(body)
+    coded = flac.Encoder().encode([payload])[0]
+    assert coded[start : start + 5] == probe[start : start + 5]
+    assert bytes((flac.decode([coded])[0].astype(np.int64) + 128).astype(np.uint8)) == payload
+
+
+def test_streams_without_or_with_a_wrong_seek_table_are_walked():
+    r = random.Random(6)
+    payload = bytes(r.randrange(256) for _ in range(70_000))
+    payload = payload[:600] + as_payload(fake_header(2)) + payload[600:]
+    coded = flac.Encoder().encode([payload])[0]
+    info = flac.parse_info(coded)
+    assert len(info["points"]) > 1
+    bare = coded[:4] + bytes([0x80]) + coded[5:42] + coded[info["at"] :]
+    wrong = coded.replace(info["points"][1].to_bytes(8, "big"), (info["points"][1] + 1).to_bytes(8, "big"), 1)
+    for stream in (coded, bare, wrong):
+        assert bytes((flac.decode([stream])[0].astype(np.int64) + 128).astype(np.uint8)) == payload
+    with pytest.raises(flac.FlacError):
+        flac.decode([bare[:-700]])
+
+
+def test_a_row_that_can_t_be_read_back_raises(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries.flac, "encode_flac", lambda df: df.withColumn("media", F.encode(F.lit("no stream"), "UTF-8")))
+    with pytest.raises(Exception, match="can't be read back"):
+        queries.op5_flac(spark, str(tmp_path)).collect()
