@@ -11,6 +11,7 @@ from gridloom.functions import columns, registry
 from gridloom.functions.columns import ratio, steady
 from gridloom.operators import cross, evaluation, intraday, options, returns, series, timing
 from gridloom.sources import readers, views
+from gridloom.sources.kept import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -682,26 +683,27 @@ def group_nets(spark, sf):
     return evaluation.group_net_values(evaluation.equal_groups(_pairs(spark, sf), 5), "M")
 
 
-def _index_returns(spark, sf):
+def _index_returns(panel):
     """A benchmark a month: the mean price of all codes against the month before."""
-    x = views.panel(spark, sf).groupBy("date").agg(steady(F.avg("open"), 4).alias("p"))
+    x = panel.groupBy("date").agg(steady(F.avg("open"), 4).alias("p"))
     return x.select("date", (ratio(F.col("p"), F.lag("p").over(Window.orderBy("date"))) - 1).alias("ret"))
 
 
 @query
 def long_against_index(spark, sf):
-    return evaluation.against_index(evaluation.evaluate(_factor(spark, sf), views.panel(spark, sf), 5), _index_returns(spark, sf)).select("date", "long_minus_index", "net_index")
+    return evaluation.against_index(evaluation.evaluate(_factor(spark, sf), views.panel(spark, sf), 5), _index_returns(views.panel(spark, sf))).select("date", "long_minus_index", "net_index")
 
 
 @query
 def factor_summary(spark, sf):
-    return evaluation.factor_summary(_factor(spark, sf), views.panel(spark, sf), 5, "M", index=_index_returns(spark, sf))
+    x = kept(views.panel(spark, sf))  # its branches, and other queries, read one table
+    return evaluation.factor_summary(x.select("date", "code", F.col("amount").alias("fac")), x, 5, "M", index=_index_returns(x))
 
 
 @query
 def factor_summaries(spark, sf):
-    x = views.panel(spark, sf)
-    return evaluation.summaries({c: x.select("date", "code", F.col(c).alias("fac")) for c in ("amount", "vol")}, x, groups=5, freq="M", index=_index_returns(spark, sf))
+    x = kept(views.panel(spark, sf))
+    return evaluation.summaries({c: x.select("date", "code", F.col(c).alias("fac")) for c in ("amount", "vol")}, x, groups=5, freq="M", index=_index_returns(x))
 
 
 @query
@@ -787,7 +789,7 @@ def book_in_currency(spark, sf):
 
 @query
 def all_factors(spark, sf):
-    return registry.compute(views.bars(spark, sf)).groupBy("factor_name").agg(F.count("*").alias("cells"), F.count("fac").alias("filled"))
+    return registry.compute(kept(views.bars(spark, sf)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

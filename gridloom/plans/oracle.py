@@ -313,3 +313,9 @@ round(unnest([i, r, v, r / v, p, s, a, c, il, ih, (f - b) * 12, (l - b) * 12]),
 
 ORACLE["factor_summary"] = f"SELECT metric, value FROM ({_summary_of('amount')})"
 ORACLE["factor_summaries"] = f"SELECT * FROM ({_summary_of('amount')}) UNION ALL SELECT * FROM ({_summary_of('vol')})"
+
+#: Every built-in factor's rows, from the queries that give them by themselves.
+ORACLE["all_factors"] = " UNION ALL ".join(
+    [f"SELECT date, code, '{prefix}' || factor_name AS factor_name, fac FROM (SELECT * FROM ({ORACLE[name]})) UNPIVOT INCLUDE NULLS (fac FOR factor_name IN (COLUMNS(* EXCLUDE (date, code))))" for name, prefix in (("pv_returns", ""), ("pv_volume", ""), ("pv_bars15", ""), ("pv_vov", ""), ("reverse_m", "reverse_"))]
+    + [f"SELECT date, code, 'smart_' || score AS factor_name, q AS fac FROM ({ORACLE['smart_money']})"]
+)
