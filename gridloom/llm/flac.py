@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 BLOCK = 512
-GROUP = 512
+GROUP = 1024
 RATE = 8000
 #: Samples of a block that a reader seeks.
 PCM_BLOCK = 4096
@@ -415,10 +415,11 @@ def _subframes(bits: _Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray)
     out[constant] = bits.signed(at[constant], depth[constant])[:, None]
     end[constant] += depth[constant]
     verbatim = np.flatnonzero(kind == 1)
-    for i in range(int(size[verbatim].max()) if len(verbatim) else 0):
-        rows = verbatim[size[verbatim] > i]
-        out[rows, i] = bits.signed(end[rows], depth[rows])
-        end[rows] += depth[rows]
+    if len(verbatim):
+        row, place = np.nonzero(np.arange(int(size[verbatim].max())) < size[verbatim][:, None])
+        rows = verbatim[row]
+        out[rows, place] = bits.signed(end[rows] + depth[rows] * place, depth[rows])
+        end[verbatim] += depth[verbatim] * size[verbatim]
     for code in np.unique(kind[(kind > 1)]).tolist():
         rows = np.flatnonzero(kind == code)
         if 8 <= code <= 12:
@@ -460,37 +461,60 @@ def _subframes(bits: _Bits, at: np.ndarray, size: np.ndarray, depth: np.ndarray)
 
 
 def _rice(bits: _Bits, at: np.ndarray, size: np.ndarray, order: int, out: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Reads the residuals of the rows into ``out``, all rows in lockstep; returns the bit after each."""
+    """Reads the residuals of the rows into ``out``, all rows in lockstep; returns the bit after each.
+
+    Longer rows come first, so that the rows that still go on are the first ones.  A code is mostly read from one word.
+    """
+    by = np.argsort(-size, kind="stable")
+    at, size, most = at[by], size[by], int(size.max(initial=0))
     method, parts = bits.read(at, 2), bits.read(at + 2, 4)
     if (method > 1).any():
         raise FlacError("a reserved residual coding")
     at = at + 6
     wide = 4 + method
-    each = size >> parts
+    each, several = np.maximum(size >> parts, 1), bool(parts.any())
+    going = np.searchsorted(-size, -np.arange(most), side="left").tolist()
     k, raw = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
-    for i in range(order, int(size.max()) if len(size) else 0):
-        live = i < size
-        fresh = live & ((i == order) | (i % np.maximum(each, 1) == 0))
-        if fresh.any():
+    found = np.zeros((most, len(at)), dtype=np.int64)
+    some_raw = False
+    one = np.uint64(1)
+    for i in range(order, most):
+        m = going[i]
+        if several or i == order:
+            fresh = np.flatnonzero((i % each[:m] == 0) | (i == order))
             p = bits.read(at[fresh], wide[fresh])
             at[fresh] += wide[fresh]
             escape = p == (1 << wide[fresh]) - 1
             width = bits.read(at[fresh], 5)
             at[fresh] += np.where(escape, 5, 0)
             k[fresh], raw[fresh] = np.where(escape, width, p), escape
-        some_raw = bool(raw.any())
-        every = bool(live.all()) and not some_raw
-        pick = slice(None) if every else np.flatnonzero(live & ~raw)
+            some_raw = bool(raw.any())
+            low, shift, step = k.astype(np.uint64), (63 - k).astype(np.uint64), k + 1
+        if not some_raw:
+            a = at[:m]
+            word = bits.peek(a)
+            lead = _LEAD[word >> np.uint64(48)]
+            if int(lead.max()) < 16:
+                zeros = lead.astype(np.uint64)
+                u = (zeros << low[:m] | (word << (zeros + one)) >> one >> shift[:m]).view(np.int64)
+                found[i, :m] = (u >> 1) ^ -(u & 1)
+                a += lead
+                a += step[:m]
+                continue
+        pick = np.flatnonzero(~raw[:m])
         a, kk = at[pick], k[pick]
         zeros = bits.unary(a)
         u = zeros << kk | bits.read(a + zeros + 1, kk)
-        out[rows[pick], i] = (u >> 1) ^ -(u & 1)
+        found[i, pick] = (u >> 1) ^ -(u & 1)
         at[pick] = a + zeros + 1 + kk
         if some_raw:
-            pick = np.flatnonzero(live & raw)
-            out[rows[pick], i] = bits.signed(at[pick], k[pick])
+            pick = np.flatnonzero(raw[:m])
+            found[i, pick] = bits.signed(at[pick], k[pick])
             at[pick] += k[pick]
-    return at
+    out[rows[by], order:most] = found[order:].T
+    end = np.empty_like(at)
+    end[by] = at
+    return end
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -534,7 +558,7 @@ def _sizes(batch: pd.Series) -> np.ndarray:
     return np.array([len(x or b"") for x in batch], dtype=np.int64)
 
 
-def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
+def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str = "media", run_bytes: int = 1 << 19) -> DataFrame:
     """Adds ``media_col``: the payload's bytes b as samples b - 128 of a lossless 8-bit mono FLAC stream.
 
     A null or empty payload gives null.  Equal payloads give equal bytes.  A payload of any length is coded whole; a task
@@ -550,7 +574,7 @@ def encode_flac(df: DataFrame, *, payload_col: str = "payload", media_col: str =
     return df.withColumn(media_col, coded(F.col(payload_col)))
 
 
-def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 << 18) -> DataFrame:
+def decode_flac(df: DataFrame, *, media_col: str = "media", run_bytes: int = 1 << 19) -> DataFrame:
     """Adds ``pcm`` (little-endian signed samples of the stream's byte width) and ``media_error``.
 
     Frame and stream checksums are verified; a stream that fails one, or is none, has null pcm and a reason
@@ -571,7 +595,7 @@ def cut_blocks(pcm: bytes, block: int = PCM_BLOCK, width: int = 1) -> Iterator[t
         yield at, pcm[at * width : (at + block) * width]
 
 
-def read_blocks(df: DataFrame, describe: Callable[[bytes | None, Iterator[tuple[int, bytes]]], tuple], fields: StructType, *, media_col: str = "media", block: int = PCM_BLOCK, run_bytes: int = 1 << 18) -> DataFrame:
+def read_blocks(df: DataFrame, describe: Callable[[bytes | None, Iterator[tuple[int, bytes]]], tuple], fields: StructType, *, media_col: str = "media", block: int = PCM_BLOCK, run_bytes: int = 1 << 19) -> DataFrame:
     """Decodes stored streams and tells of each what ``describe`` does of the stream and its blocks (of 8-bit samples, with their offsets).
 
     In place of ``media_col`` come ``fields``, those values, and ``media_error``, as ``decode_flac`` has it; a stream that
