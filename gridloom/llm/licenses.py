@@ -13,6 +13,7 @@ from collections.abc import Iterator, Mapping
 from math import ceil
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -80,36 +81,35 @@ class Matcher:
     def windows(self, pairs: list[tuple[str, str]], size: int, template: frozenset, least: int) -> list[tuple[float, int, int, int]]:
         """For each bigram of the template in the text, the best run that begins there: Dice, shared bigrams, first and last place.
 
-        A run whose first or last bigram is not the template's, or occurs in it again, can be cut without a loss.
+        A run whose first or last bigram is not the template's, or occurs in it again, can be cut without a loss.  A bigram
+        is new to a run if it stood before only ahead of the run's start: sums over that tell a start's runs all at once.
         """
-        places = [i for i, p in enumerate(pairs) if p in template]
         found, most = [], size / self.ratio + 1e-9
-        after: set = set()
-        enough = 0  # starts from which enough of the template follows
-        for k in range(len(places) - 1, -1, -1):
-            after.add(pairs[places[k]])
-            if len(after) >= least:
-                enough = k + 1
-                break
-        for k in range(enough):
-            seen, shared, best, at = set(), 0, None, places[k]
-            for end in places[k:]:
-                if seen and pairs[end] == pairs[places[k]]:
+        inside = np.fromiter((p in template for p in pairs), dtype=bool, count=len(pairs))
+        before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
+        last: dict = {}
+        for i, p in enumerate(pairs):
+            if (at := last.get(p)) is not None:
+                before[i], after[at] = at, i
+            last[p] = i
+        # A start is worth a look if enough of the template's bigrams stand at or behind it: the last place of each, from behind.
+        rest = np.cumsum((inside & (after == len(pairs)))[::-1])[::-1]
+        for start in np.flatnonzero(inside & (rest >= least)).tolist():
+            length, upto = int(most) + 1, int(after[start])
+            while True:
+                end = min(start + length, upto)
+                new = before[start:end] < start
+                seen = np.cumsum(new)
+                if end == upto or seen[-1] > most:
                     break
-                for i in range(at, end):
-                    seen.add(pairs[i])
-                at = end
-                if pairs[end] not in seen:
-                    seen.add(pairs[end])
-                    shared += 1
-                if len(seen) > most:
-                    break
-                if shared >= least:
-                    dice = 2 * shared / (len(seen) + size)
-                    if dice >= self.threshold and (best is None or dice > best[0]):
-                        best = (dice, shared, places[k], end)
-            if best:
-                found.append(best)
+                length *= 2
+            shared = np.cumsum(new & inside[start:end])
+            ends = np.flatnonzero(inside[start:end] & (seen <= most) & (shared >= least))
+            if len(ends):
+                dice = 2 * shared[ends] / (seen[ends] + size)
+                best = int(np.argmax(dice))  # the first of equal ones
+                if dice[best] >= self.threshold:
+                    found.append((float(dice[best]), int(shared[ends[best]]), start, start + int(ends[best])))
         return found
 
     def scan(self, text: str) -> list[tuple[str, float, tuple[int, int]]]:

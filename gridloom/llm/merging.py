@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
 
 _NONE = np.int64(1 << 40)
+#: Bytes of a word above which it is merged by itself: a round costs a sequence's whole length, and long ones take many.
+LONG = 512
 _SLOTS = 18
 
 
@@ -54,10 +57,54 @@ class RankMerger:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         left, right, self.made = (np.array([vocab[x] for x in col], dtype=np.int64) for col in ([p[0] for p in pairs], [p[1] for p in pairs], [a + b for a, b in pairs]))
         self.width = np.int64(max(vocab.values()) + 1)
-        self.pairs = PairTable(left * self.width + right)  # a pair's number is its rank
+        self.keys = left * self.width + right
+        self.pairs = PairTable(self.keys)  # a pair's number is its rank
+        self.known: dict[int, tuple[int, int]] | None = None  # for long words, made when the first one comes
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The surviving symbols of all words, one after another, and how many each has."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge_together(words)
+        flat, counts = self._merge_together([w if len(w) <= LONG else b"" for w in words])
+        ends, parts, at = np.cumsum(counts), [], 0
+        for i in long:
+            own = self._merge_alone(words[i])
+            parts += [flat[at : ends[i]], own]
+            at, counts[i] = int(ends[i]), len(own)
+        return np.concatenate([*parts, flat[at:]]), counts
+
+    def _merge_alone(self, word: bytes) -> np.ndarray:
+        """One long word's symbols: its pairs wait in a heap by rank and place, so that a merge only looks at its neighbours."""
+        if self.known is None:
+            keys = self.keys.tolist()
+            self.known = {k: (rank, made) for rank, (k, made) in enumerate(zip(keys, self.made.tolist(), strict=True))}
+        known, width = self.known, int(self.width)
+        data = np.frombuffer(word, dtype=np.uint8)
+        symbols = self.first_ids[data]
+        symbols[-1] = self.last_ids[data[-1]]
+        symbols, n = symbols.tolist(), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, key) for i, key in enumerate(a * width + b for a, b in zip(symbols, symbols[1:], strict=False)) if (found := known.get(key))]
+        heapq.heapify(heap)
+        while heap:
+            _, at, key = heapq.heappop(heap)
+            right = after[at]
+            if right >= n or symbols[at] < 0 or symbols[at] * width + symbols[right] != key:
+                continue  # one of the two has been merged since
+            symbols[at], symbols[right] = known[key][1], -1
+            nearer, further = before[at], after[right]
+            after[at] = further
+            if further < n:
+                before[further] = at
+                if found := known.get(new := symbols[at] * width + symbols[further]):
+                    heapq.heappush(heap, (found[0], at, new))
+            if nearer >= 0 and (found := known.get(new := symbols[nearer] * width + symbols[at])):
+                heapq.heappush(heap, (found[0], nearer, new))
+        return np.array([s for s in symbols if s >= 0], dtype=np.int64)
+
+    def _merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of any length, in rounds: each word's pair of lowest rank is merged everywhere in it."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.first_ids[data]

@@ -1,6 +1,8 @@
 """License texts wherever they stand in a document."""
 
+import random
 import textwrap
+import time
 
 import pytest
 
@@ -84,3 +86,44 @@ def test_rows_of_nulls_ties_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, mit), (3, mit), (None, mit + " " + mit)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("license", "dice", "words")})
     out = sorted(map(tuple, licenses.license_scan(df).collect()), key=str)
     assert out == sorted([(1, None, None, 0, []), (2, None, None, 0, []), (3, "MIT notice", 1.0, 1, ["MIT notice"]), (3, "MIT notice", 1.0, 1, ["MIT notice"]), (None, "MIT notice", 1.0, 2, ["MIT notice"])], key=str)
+
+
+def windows_by_loops(pairs, size, template, least, ratio, threshold):
+    """For each start the best run, bigram by bigram, as the rule says it."""
+    out = []
+    for start, p in enumerate(pairs):
+        if p not in template:
+            continue
+        seen, shared, best = set(), 0, None
+        for end in range(start, len(pairs)):
+            if end > start and pairs[end] == p:
+                break
+            shared += pairs[end] in template and pairs[end] not in seen
+            seen.add(pairs[end])
+            if len(seen) > size / ratio + 1e-9:
+                break
+            dice = 2 * shared / (len(seen) + size)
+            if pairs[end] in template and shared >= least and dice >= threshold and (best is None or dice > best[0]):
+                best = (dice, shared, start, end)
+        if best:
+            out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_all_runs_at_once_equal_run_by_run(threshold):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    for _ in range(150):
+        templates = {str(i): " ".join(r.choices(words, k=r.randint(2, 25))) for i in range(3)}
+        text = " ".join(x for _ in range(6) for x in (r.choice(list(templates.values())), " ".join(r.choices(words, k=r.randint(0, 8)))))
+        m = licenses.Matcher(templates, threshold)
+        pairs = list(zip(text.split(), text.split()[1:]))
+        for (size, _, template), least in zip(m.sets, m.least, strict=True):
+            assert m.windows(pairs, size, template, least) == windows_by_loops(pairs, size, template, least, m.ratio, threshold)
+
+
+def test_many_copies_of_a_long_license_take_seconds():
+    began = time.time()
+    assert names("\n".join([licenses.TEMPLATES["GPL-3.0 text"]] * 6)) == ["GPL-3.0 text"] * 6
+    assert time.time() - began < 30  # some 3 seconds on a quiet machine; run by run it was minutes
