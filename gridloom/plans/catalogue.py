@@ -177,6 +177,13 @@ def list_std(spark, sf):
     return cross.factors_std(z, ["amount", "vol", "close"]).select("date", "code", "fac")
 
 
+@query
+def list_std_weighted(spark, sf):
+    x = _three(spark, sf)
+    z = x.withColumns({c: cross.z_of(F.col(c)) for c in ("amount", "vol", "close")})
+    return cross.factors_std(z, ["amount", "vol", "close"], [0.5, 0.25, 2.0]).select("date", "code", "fac")
+
+
 @query
 def smooth_daily(spark, sf):
     return series.smooth(_factor(spark, sf), 6)
@@ -299,6 +306,14 @@ def pvi(spark, sf):
     return series.volume_index(_tame(spark, sf), True).select("date", "code", "value")
 
 
+@query
+def volume_levels(spark, sf):
+    """Logarithms of both volume indices on the returns as they are."""
+    daily = views.index_daily(spark, sf)
+    both = series.volume_index(series.volume_index(daily, True, out="pvi"), False, out="nvi")
+    return both.select("date", "code", *[F.ln(F.col(c) / 1000).alias(c) for c in ("pvi", "nvi")])
+
+
 @query
 def nvi_reset(spark, sf):
     return series.volume_index(_tame(spark, sf), False, reset=True).select("date", "code", "value")
@@ -471,7 +486,14 @@ def calendar_spread(spark, sf):
     x = options.greeks(views.option_book(spark, sf)).withColumn("pair", F.floor(F.col("opt_id") / 4))
     # Calls with calls (0, 2) and puts with puts (1, 3); the ratio is null where the far theta is 0.
     x = x.withColumn("pair", F.col("pair") * 2 + F.col("opt_id") % 2)
-    return options.calendar_spread(x.filter("opt_id % 4 < 2"), x.filter("opt_id % 4 >= 2"), "pair").select("pair", "net_theta", "net_vega", *[F.when(F.abs("twr") < 1e3, F.col(c)).alias(c) for c in ("twr", "enter", "leave")])
+    out = options.calendar_spread(x.filter("opt_id % 4 < 2"), x.filter("opt_id % 4 >= 2"), "pair")
+    return out.select("pair", "net_theta", "net_vega", *_digits("twr"), "enter", "leave")
+
+
+def _digits(col: str) -> list:
+    """A number of any size as digits (six places of 1 to 10) and its power of ten: a far theta near 0 gives large ratios."""
+    power = F.floor(F.log10(F.when(F.abs(col) >= 1e-6, F.abs(col)).otherwise(1.0))).cast("int")
+    return [(F.col(col) / F.pow(F.lit(10.0), power)).alias(col), F.when(F.col(col).isNotNull(), power).alias(f"{col}_power")]
 
 
 @query
@@ -765,7 +787,7 @@ def option_values(spark, sf):
 @query
 def option_rules(spark, sf):
     c = F.col
-    return _priced(spark, sf).select("opt_id", options.max_contracts(F.lit(50_000.0), c("margin")).alias("contracts"), options.theta_return(c("theta") / 252, c("margin")).alias("theta_return"), options.theta_covers_gamma(c("theta"), c("gamma"), c("sigma"), c("s")).alias("covered"), F.least(options.vega_days(c("vega"), c("theta") / 252), F.lit(1e4)).alias("vega_days"))
+    return _priced(spark, sf).select("opt_id", options.max_contracts(F.lit(50_000.0), c("margin")).alias("contracts"), options.theta_return(c("theta") / 252, c("margin")).alias("theta_return"), options.theta_covers_gamma(c("theta"), c("gamma"), c("sigma"), c("s")).alias("covered"), options.vega_days(c("vega"), c("theta") / 252).alias("vega_days")).select("opt_id", "contracts", "theta_return", "covered", *_digits("vega_days"))
 
 
 @query
@@ -773,6 +795,15 @@ def sell_screen(spark, sf):
     return options.sell_screen(options.greeks(views.option_book(spark, sf))).select("opt_id")
 
 
+@query
+def close_at_expiry(spark, sf):
+    # An option of an order expires when its quarter of a year ends; the book is looked at on the order's day and on that one.
+    orders = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("opt_id"), F.to_date("o_orderdate").alias("day"))
+    x = views.option_book(spark, sf).join(orders, "opt_id").withColumn("expiry", F.last_day(F.add_months("day", (2 - (F.month("day") - 1) % 3).cast("int"))))
+    looked = x.withColumn("date", F.explode(F.array("day", "expiry")))
+    return options.close_at_expiry(looked).groupBy("book", "expiry").agg(F.count("*").alias("looks"), F.count_if("close").alias("closes"))
+
+
 @query
 def hedge_trades(spark, sf):
     # A book's positions of one call, by key, stand for the steps of a path.

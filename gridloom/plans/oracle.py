@@ -50,6 +50,8 @@ _WMA = "(close + 2 * lag(close) OVER w + 3 * lag(close, 2) OVER w + 4 * lag(clos
 _EVENTS = """, ev AS (SELECT date, code, lo, so FROM (SELECT date, code, close > quantile_cont(close, 0.8) OVER q AS lo, close < quantile_cont(close, 0.2) OVER q AS so, min(date) OVER (PARTITION BY code) AS f FROM idx
 WINDOW q AS (PARTITION BY code ORDER BY date RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)) WHERE date >= f + 365),
 n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS i FROM ev) """
+#: A number of any size as digits and a power of ten.
+_DIGITS = lambda x, name: f"round({x} / power(10.0::DOUBLE, floor(log10(CASE WHEN abs({x}) >= 1e-6 THEN abs({x}) ELSE 1 END))), 6) + 0 AS {name}, CASE WHEN {x} IS NOT NULL THEN floor(log10(CASE WHEN abs({x}) >= 1e-6 THEN abs({x}) ELSE 1 END))::INT END AS {name}_power"
 _CLAMP = lambda s: f"CASE WHEN {s} >= 0 THEN 1.0 WHEN {s} <= -1 THEN 0.0 ELSE 1 + {s} END"
 _PERF = lambda x: f""", base AS ({x}), lev AS (SELECT *, 1 + sum(ret) OVER (PARTITION BY strategy ORDER BY date) AS l FROM base), dr AS (SELECT strategy, max(1 - l / top) AS md FROM (SELECT *, max(l) OVER (PARTITION BY strategy ORDER BY date) AS top FROM lev) GROUP BY 1)
 SELECT strategy, round(total, 6) + 0 AS total, round(annual, 6) + 0 AS annual, round(vol, 6) AS vol, round(win, 6) AS win, round(md, 6) AS max_drawdown, round(annual / vol, 6) + 0 AS sharpe FROM (
@@ -194,6 +196,8 @@ ww AS (SELECT CASE WHEN sum(f - l) > 0 THEN 1 ELSE -1 END AS w FROM wl), ls AS (
 SELECT date, round(long, 6) + 0 AS long, round(short, 6) + 0 AS short, round(market, 6) + 0 AS market, round(long - short, 6) + 0 AS ls, round(sum(long - short) OVER (ORDER BY date), 6) + 0 AS net FROM ls""",
     "obv": """, f AS (SELECT date, code, CASE WHEN close > pre_close THEN va WHEN close < pre_close THEN -va ELSE 0 END AS f FROM (SELECT *, vol * ((close - low) - (high - close)) / nullif(high - close, 0) AS va FROM idx))
 SELECT date, code, CASE WHEN count(*) FILTER (f IS NULL) OVER w = 0 THEN round(sum(f) OVER w, 2) + 0 END AS obv FROM f WINDOW w AS (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)""",
+    "list_std_weighted": f"SELECT date, code, round(sqrt((0.5 * power(a - m, 2) + 0.25 * power(v - m, 2) + 2 * power(c - m, 2)) / 2.75), 6) AS fac FROM (SELECT *, (a + v + c) / 3 AS m FROM (SELECT date, code, {_Z('amount')} AS a, {_Z('vol')} AS v, {_Z('close')} AS c FROM panel))",
+    "volume_levels": """SELECT date, code, round(sum(u) OVER w, 6) + 0 AS pvi, round(sum(d) OVER w, 6) + 0 AS nvi FROM (SELECT date, code, CASE WHEN vol > lag(vol) OVER v THEN ln(1 + pct_change) ELSE 0 END AS u, CASE WHEN vol < lag(vol) OVER v THEN ln(1 + pct_change) ELSE 0 END AS d FROM idx WINDOW v AS (PARTITION BY code ORDER BY date)) WINDOW w AS (PARTITION BY code ORDER BY date)""",
     "pvi": """SELECT date, code, round(1000 * exp(sum(l) OVER (PARTITION BY code ORDER BY date)), 6) AS value FROM (SELECT date, code, CASE WHEN vol > lag(vol) OVER (PARTITION BY code ORDER BY date) THEN ln(1 + pct_change) ELSE 0 END AS l FROM tame)""",
     "nvi_reset": """, h AS (SELECT date, code, coalesce(vol < lag(vol) OVER (PARTITION BY code ORDER BY date), FALSE) AS hit, pct_change FROM tame), r AS (SELECT *, count(*) FILTER (NOT hit) OVER (PARTITION BY code ORDER BY date) AS run FROM h)
 SELECT date, code, round(1000 * exp(sum(CASE WHEN hit THEN ln(1 + pct_change) ELSE 0 END) OVER (PARTITION BY code, run ORDER BY date)), 6) AS value FROM r""",
@@ -236,9 +240,9 @@ SELECT strategy, round(z, 6) + 0 AS z, round(2 * (1 - {_N('abs(z)')}), 6) + 0 AS
     "greeks": "SELECT opt_id, round(delta, 6) + 0 AS delta, round(gamma, 6) + 0 AS gamma, round(vega, 6) + 0 AS vega, round(theta, 6) + 0 AS theta FROM gr",
     "share_equivalents": "SELECT book, round(sum(delta * contracts * multiplier), 3) + 0 AS sep, round(sum(delta * contracts), 3) + 0 AS delta, round(sum(gamma * contracts), 3) + 0 AS gamma, round(sum(vega * contracts), 3) + 0 AS vega, round(sum(theta * contracts), 3) + 0 AS theta FROM gr GROUP BY 1",
     "risk_limits": "SELECT book, abs(sep) > 0.05 AS rebalance, abs(sep) > 5000 AS hedge, abs(sep) > 200000 AS delta_over, abs(g) > 0.05 AS gamma_over FROM (SELECT book, sum(delta * contracts * multiplier) AS sep, sum(gamma * contracts) AS g FROM gr GROUP BY 1)",
-    "calendar_spread": """, s AS (SELECT n.opt_id // 4 * 2 + n.opt_id % 2 AS pair, f.theta - n.theta AS nt, f.vega - n.vega AS nv, n.v, CASE WHEN abs(abs(n.theta / nullif(f.theta, 0)) - 1) < 1000 THEN abs(n.theta / nullif(f.theta, 0)) - 1 END AS twr
+    "calendar_spread": f""", s AS (SELECT n.opt_id // 4 * 2 + n.opt_id % 2 AS pair, f.theta - n.theta AS nt, f.vega - n.vega AS nv, n.v, abs(n.theta / nullif(f.theta, 0)) - 1 AS twr
 FROM gr n JOIN gr f ON n.opt_id // 4 = f.opt_id // 4 AND n.opt_id % 2 = f.opt_id % 2 WHERE n.opt_id % 4 < 2 AND f.opt_id % 4 >= 2)
-SELECT pair, round(nt, 6) + 0 AS net_theta, round(nv, 6) + 0 AS net_vega, round(twr, 6) + 0 AS twr, CASE WHEN twr IS NOT NULL THEN twr >= 1 AND v <= 0.4 END AS enter, twr < 0.5 AS leave FROM s""",
+SELECT pair, round(nt, 6) + 0 AS net_theta, round(nv, 6) + 0 AS net_vega, {_DIGITS('twr', 'twr')}, CASE WHEN twr IS NOT NULL THEN twr >= 1 AND v <= 0.4 END AS enter, twr < 0.5 AS leave FROM s""",
     "account_sim": _ONE_ACCOUNT + "SELECT date, key AS code, round(e, 6) AS equity, shares FROM eq",
     "account_stats": _ONE_ACCOUNT + f"SELECT key AS code, {_STATS} FROM st LEFT JOIN tt USING (key)",
     "grid_search": _EFFECT.split("eff AS")[0] + "gr2 AS (SELECT unnest([10, 10, 20, 20, 30, 30]) AS pos_num, unnest([15, 25, 15, 25, 15, 25]) AS neg_num)" + _MONTHS + _ACCOUNT(f"""SELECT code || ' ' || pos_num || ' ' || neg_num AS key, date, open, close, {_SIGNAL} AS signal FROM (
@@ -293,7 +297,9 @@ t AS (SELECT strategy, exp(sum(ln(1 + ret)) * 250 / count(*)) - 1 AS a, (exp(std
     "period_sums": "SELECT strategy, date_trunc('month', date)::DATE AS period, round(sum(ret), 6) + 0 AS total, round((exp(sum(ret)) - 1) * 100, 6) + 0 AS log_total, round(product(1 + ret), 6) AS product FROM rets GROUP BY 1, 2",
     "start_zero": "SELECT strategy, date, round(ret, 6) + 0 AS ret FROM rets UNION ALL SELECT strategy, min(date) - 7, 0 FROM rets GROUP BY 1",
     "option_values": ", " + _PRICED + "SELECT opt_id, round(delta * ds + 0.5 * gamma * ds * ds + vega * dv + theta / 252, 6) + 0 AS change, round(delta + gamma * ds, 6) + 0 AS delta_after, round(intrinsic, 6) AS intrinsic, round(intrinsic + tv - intrinsic, 6) + 0 AS time_value FROM p",
-    "option_rules": ", " + _PRICED + "SELECT opt_id, floor(50000 / margin)::BIGINT AS contracts, round(theta / margin, 6) + 0 AS theta_return, abs(gamma) <= theta / (0.5 * v * v * s * s) AS covered, round(least(vega / nullif(abs(theta / 252), 0), 10000), 6) + 0 AS vega_days FROM p",
+    "option_rules": ", " + _PRICED + "SELECT opt_id, floor(50000 / margin)::BIGINT AS contracts, round(theta / margin, 6) + 0 AS theta_return, abs(gamma) <= theta / (0.5 * v * v * s * s) AS covered, " + _DIGITS("(vega / nullif(abs(theta / 252), 0))", "vega_days") + " FROM p",
+    "close_at_expiry": """, o AS (SELECT o_orderkey AS opt_id, o_orderdate::DATE AS day, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS expiry FROM orders), l AS (SELECT opt_id, day AS date, expiry FROM o UNION ALL SELECT opt_id, expiry, expiry FROM o)
+SELECT book, expiry, count(*) AS looks, count(*) FILTER (date = expiry AND abs(s / k - 1) <= 0.01) AS closes FROM l JOIN book USING (opt_id) GROUP BY 1, 2""",
     "sell_screen": "SELECT opt_id FROM gr WHERE abs(gamma) < 2 * abs(theta) AND gamma / nullif(theta, 0) <= 5",
     "hedge_trades": "SELECT opt_id % 500 AS opt_id, DATE '1992-01-01' + (opt_id // 500)::INT AS date, round(s, 6) AS s, round(gamma, 6) + 0 AS gamma, round(-lag(gamma) OVER w * (s - lag(s) OVER w), 6) + 0 AS trade FROM gr WINDOW w AS (PARTITION BY gr.opt_id % 500 ORDER BY gr.opt_id // 500)",
     "book_in_currency": "SELECT book, round(sum(delta * contracts * multiplier) * (1 + book[1]::INT / 4), 3) + 0 AS sep FROM gr GROUP BY 1",

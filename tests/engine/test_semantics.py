@@ -171,6 +171,16 @@ def test_a_daily_factor_is_resampled_before_the_lag(spark):
     assert evaluation.evaluate(x.select("date", "code", "fac"), x.select("date", "code", "open"), 2, freq="W", start="2100-01-01").count() == 0
 
 
+def test_a_position_ends_at_expiry_near_the_strike(spark):
+    from gridloom.operators import options
+
+    rows = [("near", day(3), day(3), 101.0, 100.0), ("edge", day(3), day(3), 99.0, 100.0), ("far", day(3), day(3), 101.1, 100.0), ("early", day(2), day(3), 100.0, 100.0), ("no strike", day(3), day(3), 100.0, None)]
+    x = spark.createDataFrame(rows, "opt_id string, date date, expiry date, s double, k double")
+    want = {"near": True, "edge": True, "far": False, "early": False, "no strike": None}
+    assert {r["opt_id"]: r["close"] for r in options.close_at_expiry(x).collect()} == want
+    assert {r["opt_id"] for r in options.close_at_expiry(x, str(day(3))).filter("close").collect()} == {"near", "edge", "early"}
+
+
 def test_summary_has_twelve_rows_and_frequencies_are_known(spark):
     panel = spark.createDataFrame([(day(31 * i), f"c{k:02}", float((k * 7 + i * 3) % 11 + 1), float(10 + (k * i) % 5)) for i in range(8) for k in range(12)], "date date, code string, fac double, open double")
     out = evaluation.factor_summary(panel.select("date", "code", "fac"), panel.select("date", "code", "open"), 4, "M").collect()
