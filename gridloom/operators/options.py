@@ -96,7 +96,7 @@ def atm_concentration(x: DataFrame, width: float = 0.01, key: str = "book") -> D
 def close_at_expiry(x: DataFrame, at: str | None = None, width: float = 0.01) -> DataFrame:
     """Adds close: whether a position ends on day ``at`` (its own date, if there is none) with the price within ``width`` of the strike; null without a strike, price or expiry."""
     today = F.col("date") if at is None else F.to_date(F.lit(at))
-    return x.withColumn("close", (F.col("expiry") == today) & (F.abs(ratio(F.col("s"), F.col("k")) - 1) <= width))
+    return x.withColumn("close", (F.col("expiry") == today) & (F.abs(F.col("s") - F.col("k")) <= width * F.abs("k")))
 
 
 def hedge_trades(path: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ t AS (SELECT strategy, exp(sum(ln(1 + ret)) * 250 / count(*)) - 1 AS a, (exp(std
     "option_values": ", " + _PRICED + "SELECT opt_id, round(delta * ds + 0.5 * gamma * ds * ds + vega * dv + theta / 252, 6) + 0 AS change, round(delta + gamma * ds, 6) + 0 AS delta_after, round(intrinsic, 6) AS intrinsic, round(intrinsic + tv - intrinsic, 6) + 0 AS time_value FROM p",
     "option_rules": ", " + _PRICED + "SELECT opt_id, floor(50000 / margin)::BIGINT AS contracts, round(theta / margin, 6) + 0 AS theta_return, abs(gamma) <= theta / (0.5 * v * v * s * s) AS covered, " + _DIGITS("(vega / nullif(abs(theta / 252), 0))", "vega_days") + " FROM p",
     "close_at_expiry": """, o AS (SELECT o_orderkey AS opt_id, o_orderdate::DATE AS day, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS expiry FROM orders), l AS (SELECT opt_id, day AS date, expiry FROM o UNION ALL SELECT opt_id, expiry, expiry FROM o)
-SELECT book, expiry, count(*) AS looks, count(*) FILTER (date = expiry AND abs(s / k - 1) <= 0.01) AS closes FROM l JOIN book USING (opt_id) GROUP BY 1, 2""",
+SELECT book, expiry, count(*) AS looks, count(*) FILTER (date = expiry AND abs(s - k) <= 0.01 * k) AS closes FROM l JOIN book USING (opt_id) GROUP BY 1, 2""",
     "sell_screen": "SELECT opt_id FROM gr WHERE abs(gamma) < 2 * abs(theta) AND gamma / nullif(theta, 0) <= 5",
     "hedge_trades": "SELECT opt_id % 500 AS opt_id, DATE '1992-01-01' + (opt_id // 500)::INT AS date, round(s, 6) AS s, round(gamma, 6) + 0 AS gamma, round(-lag(gamma) OVER w * (s - lag(s) OVER w), 6) + 0 AS trade FROM gr WINDOW w AS (PARTITION BY gr.opt_id % 500 ORDER BY gr.opt_id // 500)",
     "book_in_currency": "SELECT book, round(sum(delta * contracts * multiplier) * (1 + book[1]::INT / 4), 3) + 0 AS sep FROM gr GROUP BY 1",
