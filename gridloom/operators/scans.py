@@ -1,7 +1,7 @@
 """Scans along a key's rows as compositions of maps: what a row does to the state before it is a map, and maps compose.
 
 Composition is associative, so a prefix needs no loop over rows: the rows of a block (a run of dates) are composed in
-two steps of ``lag``, the second over sixteen times as many rows; the blocks' own maps, one a block, are folded in a list
+four steps of ``lag``, each over four times as many rows; the blocks' own maps, one a block, are folded in a list
 that the calendar bounds; and each row is its block's start and its own prefix.  A key's rows are spread over as many
 tasks as it has blocks.
 """
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 #: A map's columns by name.
 Map = dict[str, Column]
 #: How many rows a step composes.
-FAN = 16
-#: Days of a block: its rows, one a day at most, are composed in two steps.
-BLOCK_STEPS = 2
+FAN = 4
+#: Days of a block: its rows, one a day at most, are composed in four steps.
+BLOCK_STEPS = 4
 BLOCK_DAYS = FAN**BLOCK_STEPS
 
 
@@ -54,14 +54,16 @@ def compose_prefixes(df: DataFrame, maps: Map, unit: dict[str, Column | None], c
     names, firsts = list(maps), firsts or {}
     x = df.withColumns({**maps, **{n: F.when(c.isNotNull(), F.struct(order, c.alias("value"))) for n, c in firsts.items()}, "_block": day_block(order)})
     inner = _prefixes(x, names, unit, compose, Window.partitionBy(*keys, "_block").orderBy(order), BLOCK_STEPS)
-    # A block's last row, with all its columns: so both readers of the blocks share one shuffle.
-    whole = inner.groupBy(*keys, "_block").agg(F.max_by(F.struct(*inner.columns), order).alias("_m"), *[F.min(n).alias(n) for n in firsts])
+    # A block's own map is folded from its list of rows, 256 at most: only maps are read for it, and no windows.
+    kinds = {f.name: f.dataType for f in x.schema.fields}
+    nothing = F.struct(*[(F.lit(None).cast(kinds[n]) if unit[n] is None else unit[n].cast(kinds[n])).alias(n) for n in names])
+    after = lambda done, m: F.struct(*[c.cast(kinds[n]).alias(n) for n, c in compose({n: m[n] for n in names}, {n: done[n] for n in names}).items()])
+    rows = F.array_sort(F.collect_list(F.struct(order, *names)))
+    whole = x.groupBy(*keys, "_block").agg(rows.alias("_rows"), *[F.min(n).alias(n) for n in firsts]).withColumn("_m", F.aggregate("_rows", nothing, after))
     # A key has some hundred blocks in a century, and 14,300 in all the dates that there are.
-    listed = whole.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", *[F.col(f"_m.{n}").alias(n) for n in names]))).alias("_blocks"), *[F.min(n).alias(f"_first_{n}") for n in firsts])
+    listed = whole.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_blocks"), *[F.min(n).alias(f"_first_{n}") for n in firsts])
     each = listed.select("*", F.posexplode(F.transform("_blocks", lambda m: m["_block"])).alias("_at", "_block"))
-    nothing = F.struct(*[(F.lit(None).cast(dict(inner.dtypes)[n]) if unit[n] is None else unit[n]).alias(n) for n in names])
-    after = lambda done, m: F.struct(*[c.alias(n) for n, c in compose({n: m[n] for n in names}, {n: done[n] for n in names}).items()])
-    start = each.select(*keys, "_block", *[f"_first_{n}" for n in firsts], F.aggregate(F.slice("_blocks", F.lit(1), F.col("_at")), nothing, after).alias("_start"))
+    start = each.select(*keys, "_block", *[f"_first_{n}" for n in firsts], F.aggregate(F.slice("_blocks", F.lit(1), F.col("_at")), nothing, lambda done, b: after(done, b["_m"])).alias("_start"))
     out = compose({n: F.col(n) for n in names}, {n: F.col(f"_start.{n}") for n in names})
     return inner.drop(*firsts).join(start, [*keys, "_block"]).select(*df.columns, *[c.alias(n) for n, c in out.items()], *[F.col(f"_first_{n}").alias(n) for n in firsts])
 
