@@ -7,7 +7,7 @@ rates: long documents are told apart and found again by thin subsets, short ones
 
 The lexicon's size is bounded at every input size: as a term is in one of 13,000 documents at
 least, there are no more than 13,000 terms for each distinct term of a document on average.  Tasks
-get it as a table of some bytes a term, which lets 3 of 1000 other terms pass, in every text alike.
+get it as one value, of some 20 bytes a term, and look terms up in it exactly.
 """
 
 from __future__ import annotations
@@ -34,73 +34,66 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def lexicon(texts: DataFrame, *, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[int]:
-    """The hashes of the terms in the band, sorted; document counts are those of each term over all rows."""
+def lexicon(texts: DataFrame, *, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
+    """The hashes of the terms in the band, as a written table of ``term``; document counts are those of each term over all rows."""
     counted = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(texts.count(), 1))) / F.col("df"))
-    return sorted(r["term"] for r in counted.filter((idf >= min_idf) & (idf <= max_idf)).select("term").collect())
+    return materialise(counted.filter((idf >= min_idf) & (idf <= max_idf)).select("term"))
 
 
-def _places(term: int, bits: int) -> tuple[int, int, int]:
-    """A hash's two places in a table of 2**bits bytes, and the byte, never 0, that stands for it there."""
-    t = term & 0xFFFFFFFFFFFFFFFF
-    return t >> (64 - bits), t & ((1 << bits) - 1), 1 + (t >> 24) % 255
+def shelves(terms: DataFrame) -> tuple[Column, int]:
+    """The terms dealt to 2**bits shelves by their leading bits, and the bits: 2 to 4 terms a shelf, some 20 bytes a term.
 
+    The column is a scalar subquery, of one row: Spark hands its value to tasks, and a plan's text shows its name only.
+    """
+    bits = max(1, (terms.count() // 4).bit_length())
+    place = F.shiftrightunsigned("term", 64 - bits)
+    filled = terms.groupBy(place.alias("at")).agg(F.collect_list("term").alias("held"))
+    every = terms.sparkSession.range(1 << bits).select(F.col("id").alias("at")).join(filled, "at", "left")
+    held = F.coalesce("held", F.array().cast("array<bigint>")).alias("held")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("at", held))).alias("shelves"))
+    return row.select(F.transform("shelves", lambda s: s["held"]).alias("shelves")).scalar(), bits
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def sieve(terms: list[int], bits: int = 0) -> tuple[bytes, int]:
-    """A table with a byte of each term in one of its two places, and the table's bits: 2 to 5 bytes a term, at every size.
 
-    A hash is taken for a term if its byte stands in one of its places: that is so of all terms, and of some 3 of
-    1000 other hashes, in whatever text they are.
+def with_terms(df: DataFrame, text: Column, text_col: str, terms_col: str, shelves: Column, bits: int) -> DataFrame:
+    """Adds the text and its terms in the lexicon, sorted and distinct; all its terms if none is in the lexicon.
+
+    The shelves are a column that is named once, over the input's own columns, and dropped: the optimizer puts the
+    subquery in its place, so that no row carries them.  (Written there, Spark refuses a subquery beside lambdas.)
     """
-    bits = bits or max(4, (2 * len(terms) + len(terms) // 5).bit_length())
-    held: dict[int, int] = {}
-    for placed in terms:
-        term: int | None = placed
-        one, two, _ = _places(placed, bits)
-        at = one if one not in held else two
-        for _ in range(500):  # who stands there moves to its other place
-            before = held.get(at)
-            held[at] = term
-            if (term := before) is None:
-                break
-            one, two, _ = _places(term, bits)
-            at = two if at == one else one
-        if term is not None:
-            return sieve(terms, bits + 1)
-    out = bytearray(1 << bits)
-    for at, term in held.items():
-        out[at] = _places(term, bits)[2]
-    return bytes(out), bits
-
-
-def in_sieve(table: bytes, bits: int):
-    """The same as a function of a hash column."""
-    mark, codes = F.lit(bytearray(table)), F.lit(bytearray(range(256)))
-
-    def known(t: Column) -> Column:
-        code = F.substring(codes, (F.pmod(F.shiftrightunsigned(t, 24), F.lit(255)) + 2).cast("int"), F.lit(1))
-        # One mention of the table: a plan's text, which the driver keeps, shows it in full.
-        places = F.array(F.shiftrightunsigned(t, 64 - bits).cast("int"), t.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
-        return F.exists(places, lambda at: F.substring(mark, at + 1, F.lit(1)) == code)
-
-    return known
-
-
-def fingerprint(text_col: str, out_col: str, terms: list[int]):
-    """A function of DataFrames that adds ``out_col``: 80 hashes of ``text_col``, 0 for an empty subset; ``terms`` is the lexicon.
-
-    A text without a term in the lexicon is hashed by all its terms; one without terms has zeros only.
+
+    def stands(t: Column, shelves: Column) -> Column:
+        return F.exists(F.get(shelves, F.shiftrightunsigned(t, 64 - bits).cast("int")), lambda held: held == t)
+
+    def chosen(row: Column) -> Column:
+        every = term_hashes(row["text"])
+        known = lambda terms: F.filter(terms, lambda t: stands(t, row["shelves"]))
+        pick = lambda terms: _let(known(terms), lambda own: F.when(F.size(own) > 0, own).otherwise(terms))
+        return F.struct(row["text"].alias("text"), _let(every, pick).alias("terms"))
+
+    kept = [c for c in df.columns if c != text_col]
+    found = _let(F.struct(F.col("_shelves").alias("shelves"), text.alias("text")), chosen).alias("_found")
+    out = df.withColumn("_shelves", shelves).select(*kept, found)
+    return out.select(*kept, F.col("_found.text").alias(text_col), F.col("_found.terms").alias(terms_col))
+
+
+def fingerprint(text: Column, text_col: str, out_col: str, terms: tuple[Column, int]):
+    """A function of DataFrames that adds ``text`` as ``text_col`` and its 80 hashes as ``out_col``, 0 for an empty subset.
+
+    ``terms`` is ``shelves`` of the lexicon.  A text without a term in the lexicon is hashed by all its terms; one
+    without terms has zeros only.
     """
-    known = in_sieve(*sieve(terms))
 
     def hashed(terms: Column) -> Column:
         return F.when(F.size(terms) == 0, 0).otherwise(F.hash(terms))
 
     def add(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_all", term_hashes(F.col(text_col)))
-        df = df.withColumn("_in", F.filter("_all", known))
-        df = df.withColumn("_terms", F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")))
+        df = with_terms(df, text, text_col, "_terms", *terms)
         parts = []
         for rate in RATES:
             if rate < SUBSETS:
@@ -115,7 +108,7 @@ def fingerprint(text_col: str, out_col: str, terms: list[int]):
                 parts.append(f"flatten(transform(_h{rate}, h -> {hands.format('h', 32)}))")
         sets = F.concat(*[F.expr(p) for p in parts])
         df = df.withColumn(out_col, F.transform(sets, hashed))
-        return df.drop("_all", "_in", "_terms", *[f"_{x}{r}" for r in RATES for x in "rh"])
+        return df.drop("_terms", *[f"_{x}{r}" for r in RATES for x in "rh"])
 
     return add
 
@@ -168,19 +161,20 @@ def next_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     that one its first characters and its fingerprint, by a second, smaller shuffle.
     """
     texts = id_and_text(df, id_col, text_col)
-    terms = lexicon(texts)
+    terms = shelves(lexicon(texts))
     name = {k: F.xxhash64(F.lit(i), "doc_id", "text") for i, k in enumerate(("k1", "k2"))}
     quarter = F.floor(F.col("n") / 4).cast("int")
     named = texts.select("doc_id", F.length("text").alias("n"), *[c.alias(k) for k, c in name.items()])
     links = next_keys(named)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = fingerprint("text", "print", terms)(texts.withColumns(name))
+    rows = fingerprint(F.col("text"), "text", "print", terms)(texts.withColumns(name))
     # A name's partition is fixed here, so that both joins below read one and the same shuffle.
     rows = rows.repartition(max(2, math.ceil(size / task_bytes)), "k1", "k2").dropDuplicates(["k1", "k2"])
     sent = rows.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "doc_id", "text", "print").join(links.hint("shuffle_hash"), ["n1", "n2"])
     sent = sent.select("k1", "k2", "n", "times", F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), quarter).alias("start"), F.col("print").alias("next_print"))
-    paired = rows.join(sent, ["k1", "k2"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - quarter), "start"))
-    out = fingerprint("edited", "edited_print", terms)(paired.select("doc_id", "n", "times", "next_id", "edited", "print", "next_print"))
+    paired = rows.join(sent, ["k1", "k2"]).select("doc_id", "text", "start", "n", "times", "next_id", "print", "next_print")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n") - quarter), "start")
+    out = fingerprint(edited, "edited", "edited_print", terms)(paired).drop("text", "start")
     out = out.select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited", fingerprint_text("print").alias("fingerprint"), fingerprint_text("edited_print").alias("edited_fingerprint"),
         likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"), "next_id", "times",

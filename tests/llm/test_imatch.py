@@ -5,6 +5,7 @@ import re
 
 import pyarrow.parquet as pq
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import imatch
 
@@ -40,20 +41,9 @@ def band_of(texts):
     return {x for x, n in df.items() if imatch.MIN_IDF <= math.log(len(texts) / n) <= imatch.MAX_IDF}
 
 
-def sifted(texts):
-    """What is taken for a term of the band."""
-    table, bits = imatch.sieve(sorted(band_of(texts)))
-
-    def known(x):
-        one, two, code = imatch._places(x, bits)
-        return code in (table[one], table[two])
-
-    return known
-
-
-def print_of(text, known):
+def print_of(text, band):
     every = terms_of(text)
-    own = [t for t in every if known(t)] or every
+    own = [t for t in every if t in band] or every
     sets = [[t for t in own if (t >> (2 * j)) & 3 == 0] for j in range(16)]
     for rate in (16, 64, 256, 1024):
         kept = [t for t in own if (t >> 36) & (rate // 16 - 1) == 0]
@@ -70,14 +60,14 @@ def likeness_of(a, b):
 
 def brute(rows):
     """rows of (id, text) in their order -> (n_chars, edited, fingerprint, edited fingerprint, near_edited, near_next)."""
-    known = sifted([t for _, t in rows])
+    band = band_of([t for _, t in rows])
     text = lambda p: ",".join(f"{x:x}" if x else "" for x in p)
     out = []
     for k, (_, a) in enumerate(rows):
         b = rows[(k + 1) % len(rows)][1]
         q = len(a) // 4
         edited = a[: len(a) - q] + b[:q]
-        p, e, n = (print_of(x, known) for x in (a, edited, b))
+        p, e, n = (print_of(x, band) for x in (a, edited, b))
         out.append((len(a), edited, text(p), text(e), likeness_of(p, e), likeness_of(p, n)))
     return out
 
@@ -100,20 +90,33 @@ def test_rare_and_frequent_terms_are_outside_the_band(spark):
     n = 20_000
     df = spark.range(n).selectExpr("id as doc_id", "concat('every ', case when id % 50 = 0 then 'some ' else '' end, 'only', id) as text")
     terms = imatch.lexicon(df)
-    assert terms == terms_of("some")
-    assert imatch.fingerprint("text", "p", terms)(df.limit(1)).count() == 1
-
-
-def test_the_sieve_holds_every_term_and_few_others():
-    import random
-
-    rng = random.Random(1)
-    for n in (0, 1, 5, 1000, 60_000):
-        terms = sorted({rng.getrandbits(64) - 2**63 for _ in range(n)})
-        table, bits = imatch.sieve(terms)
-        known = lambda x: imatch._places(x, bits)[2] in (table[imatch._places(x, bits)[0]], table[imatch._places(x, bits)[1]])  # noqa: B023, E731
-        assert all(map(known, terms)) and len(table) <= max(16, 6 * n)
-        assert sum(known(rng.getrandbits(64) - 2**63) for _ in range(20_000)) < 150
+    assert [r["term"] for r in terms.collect()] == terms_of("some")
+    assert imatch.fingerprint(F.col("text"), "text", "p", imatch.shelves(terms))(df.limit(1)).count() == 1
+
+
+def test_shelves_hold_every_term_and_no_other(spark):
+    for n in (0, 1, 5, 1000, 20_000):
+        texts = [f"w{k} x{k}" for k in range(n)]
+        terms = sorted(t for text in texts for t in terms_of(text))
+        own = spark.createDataFrame([(t,) for t in terms], "term long")
+        shelves, bits = imatch.shelves(own)
+        held = spark.range(1).select(shelves.alias("s")).first()["s"]
+        assert len(held) == 1 << bits and sorted(t for shelf in held for t in shelf) == terms
+        assert all((t & (1 << 64) - 1) >> (64 - bits) == k for k, shelf in enumerate(held) for t in shelf)
+        asked = [(f"{text} stranger{k}",) for k, text in enumerate(texts[:: max(1, n // 500)])]
+        if asked:
+            df = spark.createDataFrame(asked, "text string")
+            got = imatch.with_terms(df, F.col("text"), "text", "terms", shelves, bits).collect()
+            assert sorted(t for r in got for t in r["terms"]) == sorted(t for (x,) in asked for t in terms_of(" ".join(x.split()[:2])))
+
+
+def test_the_plan_shows_no_term_and_no_row_carries_the_shelves(spark):
+    texts = [f"every word{i % 3} of text{i % 20}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    execution = imatch.next_likeness(df)._jdf.queryExecution()
+    plan = execution.toString()
+    assert band_of(texts) and not [t for t in band_of(texts) if str(t) in plan]
+    assert "scalar-subquery" in execution.optimizedPlan().toString() and "AS _shelves" not in execution.optimizedPlan().toString()
 
 
 def test_ids_of_any_type_far_apart_null_and_repeated(spark):
