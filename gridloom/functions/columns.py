@@ -11,6 +11,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite where b is 0, NaN where a is too; null only where one of them is."""
+    by_zero = F.when(a == 0, float("nan")).otherwise(F.signum(a.cast("double")) * float("inf"))
+    return F.when(b == 0, F.when(a.isNotNull(), by_zero)).otherwise(ratio(a, b))
+
+
 def steady(x: Column, places: int) -> Column:
     """Rounds half away from zero in binary arithmetic, as other engines do (``round`` looks at the decimal form)."""
     scale = float(10**places)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import ratio
+from gridloom.functions.columns import float_ratio, ratio
 from gridloom.functions.registry import factor, grouped_apply
 from gridloom.operators.rolling_order import with_halo
 from gridloom.operators.series import code_rows, on_grid, rolling_days, shifted
@@ -90,13 +90,17 @@ def bucket_factors(bars: DataFrame, k: int = 15) -> DataFrame:
 
 def volatility_factors(bars: DataFrame, k: int = 5, skip: int = 15, parkinson: str = "extremes") -> DataFrame:
     """vov1, the deviation of k-bar sums of returns without the day's first and last bars, and vov2, the
-    range-based volatility of k-bar highs and lows (their means with ``parkinson='mean'``; null on a day of fewer bars)."""
+    range-based volatility of k-bar highs and lows (their means with ``parkinson='mean'``; null on a day of fewer bars).
+
+    A low of 0 makes the day's vov2 infinite (NaN where the high is 0 too): such a range has no bound and isn't left out.
+    """
     x = returned(bars).withColumns({"place": F.row_number().over(day_bars()), "n": F.count(F.lit(1)).over(day_window())})
     inner = x.filter((F.col("place") >= skip) & (F.col("place") <= F.col("n") - skip))
     one = to_freq(inner, f"{k}T", "sum", "ret").groupBy("code", "date").agg(F.stddev_samp("ret").alias("vov1"))
     high, low = ("mean", "mean") if parkinson == "mean" else ("max", "min")
     b = x.groupBy("code", "date", "n", F.floor((F.col("place") - 1) / k).alias("bucket")).agg(_HOW[high]("high").alias("high"), _HOW[low]("low").alias("low"))
-    two = b.filter(F.col("n") >= k).groupBy("code", "date").agg(F.sqrt(F.sum(F.ln(ratio(F.col("high"), F.col("low"))) ** 2) / (4 * F.ln(F.lit(2.0)) * F.count(F.lit(1)))).alias("vov2"))
+    spread = F.ln(float_ratio(F.col("high"), F.col("low")))
+    two = b.filter(F.col("n") >= k).groupBy("code", "date").agg(F.sqrt(F.sum(spread**2) / (4 * F.ln(F.lit(2.0)) * F.count(F.lit(1)))).alias("vov2"))
     return x.select("code", "date").distinct().join(two, ["code", "date"], "left").join(one, ["code", "date"], "left").select("code", "date", "vov1", "vov2")
 
 

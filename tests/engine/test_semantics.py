@@ -37,6 +37,17 @@ def test_five_bar_sums_are_averaged(spark):
     assert intraday.return_factors(bars(spark, closes[:4], [1] * 4)).first()["rtn5_mean"] is None
 
 
+def test_a_low_of_zero_makes_the_range_infinite(spark):
+    def vov2(closes):
+        return intraday.volatility_factors(bars(spark, closes, [1] * len(closes))).first()["vov2"]
+
+    # With a price of 0 in the last five of ten bars with a return; the bar after it has none.
+    assert vov2([1, 2, 4, 2, 1, 2, 4, 2, 1, 2, 0]) == math.inf
+    assert vov2([1, 2, 4, 2, 1, 2]) == pytest.approx(math.log(4) / math.sqrt(4 * math.log(2)))
+    # Its bucket of its own, where the high is 0 too.
+    assert math.isnan(vov2([1, 2, 4, 2, 1, 2, 0]))
+
+
 def test_tail_shares_are_of_log_volume(spark):
     volumes = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]
     out = intraday.volume_factors(bars(spark, range(1, 13), volumes)).first()
