@@ -34,3 +34,16 @@ def test_same_rows(spark, db, name):
     text = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else str(v)
     rows = lambda dicts: sorted(tuple(text(d[c]) for c in sorted(cols)) for d in dicts)
     assert rows(r.asDict() for r in got.collect()) == rows(dict(zip(cols, r, strict=True)) for r in want.fetchall())
+
+
+def test_all_factors_with_prices_of_zero(spark, db, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    db.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3001 = 7 THEN 0 ELSE value END AS value) FROM '{SMALL}/events.parquet') TO '{path}'")
+    odd = duckdb.connect()
+    for t in TABLES:
+        odd.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path if t == 'events' else f'{SMALL}/{t}.parquet'}'")
+    cols = ["code", "date", "factor_name", "fac"]
+    got = [tuple(str(r[c]) for c in cols) for r in QUERIES["all_factors"](spark, str(tmp_path)).collect()]
+    want = odd.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE['all_factors']})").fetchall()
+    assert sum(r[3] == "inf" for r in got) > 0
+    assert sorted(got) == sorted(tuple(map(str, r)) for r in want)
