@@ -432,7 +432,7 @@ def tradable(panel: DataFrame, *, listing: DataFrame, st: DataFrame, suspended:
 
 
 def expand_membership(spells: DataFrame, until: str | None = None) -> DataFrame:
-    """code, kind, date: a row for each day from a kind's first entry to its last exit (open: ``until`` or today)."""
+    """code, kind, date: one row for each day from a kind's first entry to its last exit (open: ``until`` or today)."""
     end = F.current_date() if until is None else F.to_date(F.lit(until))
     span = spells.groupBy("code", "kind").agg(F.min("entry").alias("a"), F.max(F.coalesce("exit", end)).alias("b")).filter("a <= b")
     return span.select("code", "kind", F.explode(F.sequence("a", "b")).alias("date"))

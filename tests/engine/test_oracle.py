@@ -47,3 +47,18 @@ def test_all_factors_with_prices_of_zero(spark, db, tmp_path):
     want = odd.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE['all_factors']})").fetchall()
     assert sum(r[3] == "inf" for r in got) > 0
     assert sorted(got) == sorted(tuple(map(str, r)) for r in want)
+
+
+def test_expanded_days_are_summed_by_kind_and_day_alone(spark, tmp_path):
+    path = str(tmp_path / "orders.parquet")
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS o_custkey) FROM '{SMALL}/orders.parquet') TO '{path}'")
+    got = QUERIES["interval_expand"](spark, str(tmp_path))
+    rows = sorted((r["kind"], r["date"], r["members"], r["codes"]) for r in got.collect())
+    odd = duckdb.connect()
+    odd.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}'")
+    assert rows == sorted(odd.execute(f"SELECT kind, date, members, codes FROM ({ORACLE['interval_expand']})").fetchall())
+    assert any(members > codes for _, _, members, codes in rows)  # the null code is a member
+    # Above the expansion nothing is grouped by code: that would hold, and spill, a row for each day of each code.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = [line for line in plan.split("Generate")[0].splitlines() if "Aggregate(keys=" in line]
+    assert above and all("code#" not in line.split("functions=")[0] for line in above)
