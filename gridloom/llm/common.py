@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
@@ -54,6 +55,12 @@ def materialise(df: DataFrame) -> DataFrame:
         conf.set(_SHUFFLE_CLEANUP, before)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Before a step writes: Spark removes the shuffles, broadcasts and checkpoints of earlier ones when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_slices(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a text column into runs of rows of about ``max_bytes`` (a longer text is a run of its own).
 

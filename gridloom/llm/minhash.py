@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_and_text, materialise, text_slices
+from gridloom.llm.common import id_and_text, let_go, materialise, text_slices
 from gridloom.llm.hashing import BASE, mix, span_hashes
 
 SKETCH = 64
@@ -176,6 +176,7 @@ def sketch_need(percent: int, k: int) -> Column:
 
 def _met(lists: DataFrame) -> DataFrame:
     """rep of the classes that share a list with another class."""
+    lists = materialise(lists.select("rep", "value"))  # read twice, made once
     several = materialise(lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value"))
     return lists.join(several, "value").select("rep").distinct()
 
@@ -198,6 +199,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = docs.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("row"))
     classes = materialise(classes)
     met = materialise(_met(_rarest(classes, sketch_need(percent, sketch), F.least(F.col("n"), F.lit(sketch)))))
+    let_go(df.sparkSession)
     sets = whole_sets(texts.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
     sets = materialise(sets.withColumnRenamed("doc_id", "rep"))
     lists = materialise(_rarest(sets, whole_need(percent), F.col("n")))
@@ -216,10 +218,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """node, label of the classes that may be linked with others."""
-    listed = sets.select(F.col("rep").alias("node"))
-    labels = listed.withColumn("label", F.col("node"))
-    edges = tested = None
+    labels = sets.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    tested = None
     for turn in range(LEADER_ROUNDS + 1):
+        let_go(lists.sparkSession)
         marked = lists.select("rep", "n", "at", "weight", "value").join(labels.withColumnRenamed("node", "rep"), "rep")
         # Lists whose members are all in one component are settled for good.
         of_list = [F.min("label").alias("low"), F.max("label").alias("high"), F.min("at").alias("least_at")]
@@ -232,12 +234,12 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         found = materialise(_verify(pairs, sets, percent, k))
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if found.isEmpty():
             continue
-        edges = found if edges is None else edges.union(found)
-        moved = connected_labels(edges)
-        labels = materialise(listed.join(moved, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        # The components so far are the nodes, so what was linked before isn't walked again.
+        moved = connected_labels(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
     return labels
 
 
@@ -253,34 +255,36 @@ def _leader(turn: int) -> Column:
 
 
 def _pairs(marked: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs a < b to compare in this turn; marked has value, rep, n, at, weight, label, x (the list's leader) and least_at, of lists with several labels."""
+    """Pairs a < b to compare in this turn, with their labels; marked has value, rep, n, at, weight, label, x (the list's leader) and least_at, of lists with several labels."""
     # In the list of the first value that both hold, nothing before it is common: so two linked sets pass in one list at least.
     fits = F.expr(f"100 * least(n - at, m - other_at) >= {percent} * (n + m - least(n - at, m - other_at)) and label <> other")
-    ordered = F.expr("struct(least(rep, head) as a, greatest(rep, head) as b)")
+    ordered = F.expr("struct(least(rep, head) as a, greatest(rep, head) as b, if(rep < head, label, other) as label_a, if(rep < head, other, label) as label_b)")
     if turn < LEADER_ROUNDS:
         meet = marked.select("*", *[F.col(f"x.{c}").alias(as_) for c, as_ in _OTHER.items()]).filter(fits)
         if turn:
             return meet.select(ordered.alias("p")).select("p.*").distinct()
         # At first each class meets only the leader with which it shares most lists.
-        votes = meet.groupBy("rep", "head").agg(F.count("*").alias("votes"))
-        return votes.groupBy("rep").agg(F.min_by("head", F.struct(-F.col("votes"), F.col("head"))).alias("head")).select(ordered.alias("p")).select("p.*").distinct()
+        votes = meet.groupBy("rep", "label", "head", "other").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("rep", "label").agg(F.min(F.struct(-F.col("votes"), F.col("head"), F.col("other"))).alias("best"))
+        return best.select("rep", "label", "best.head", "best.other").select(ordered.alias("p")).select("p.*").distinct()
     # Members that leaders left in different components: what is not compared yet is compared now.  A partner's first
     # common value has ``least_at`` values before it at least, so who can't fit even the best partner meets none.
     marked = marked.filter(f"100 * (n - at) >= {percent} * (n + least_at)")
     other = marked.select("value", *[F.col(c).alias(as_) for c, as_ in _OTHER.items()])
-    return marked.join(other, "value").filter(fits & (F.col("rep") < F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    return marked.join(other, "value").filter(fits & (F.col("rep") < F.col("head"))).select(ordered.alias("p")).select("p.*").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs that are linked: the union's sketch estimates, whole sets decide."""
+    """The pairs that are linked, with their labels: the union's sketch estimates, whole sets decide."""
+    ends = ["a", "b", "label_a", "label_b"]
     drawn = pairs
     for name in ("a", "b"):
         drawn = drawn.join(sets.select(F.col("rep").alias(name), F.slice("row", 1, k).alias(f"sketch_{name}")), name)
     drawn = drawn.withColumn("u", F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k))
     both = F.size(F.array_intersect(F.array_intersect("u", "sketch_a"), "sketch_b"))
-    whole = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select("a", "b")
+    whole = drawn.filter(both >= (percent / 100 - ESTIMATE_SLACK) * F.size("u")).select(*ends)
     for name in ("b", "a"):
         whole = whole.join(sets.select(F.col("rep").alias(name), F.col("row").alias(f"whole_{name}")), name)
     # A set's values are distinct, so the two sizes and that of the intersection tell the union's.
     whole = whole.withColumn("common", F.size(F.array_intersect("whole_a", "whole_b"))).withColumn("total", F.size("whole_a") + F.size("whole_b") - F.col("common"))
-    return whole.filter(f"100 * common >= {percent} * total").select("a", "b")
+    return whole.filter(f"100 * common >= {percent} * total").select(*ends)
