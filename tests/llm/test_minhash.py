@@ -55,3 +55,16 @@ def test_null_ids_are_rows_too(spark):
     df = spark.createDataFrame([(None, text), (3, text), (5, text), (None, None), (9, "alone in here now ok")], "doc_id long, text string")
     out = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
     assert [(i, c) for i, _, c, _ in out if i is not None] == [(3, 3), (5, 3), (9, 9)] and len(out) == 5
+
+
+def test_lists_that_are_read_twice_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lists = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "rep long, value long").mapInArrow(count, "rep long, value long")
+    assert {r["rep"] for r in minhash._met(lists).collect()} == {1, 2}
+    assert made.value == 3
