@@ -20,9 +20,11 @@ def float_ratio(a: Column, b: Column) -> Column:
 def steady(x: Column, places: int) -> Column:
     """Rounds half away from zero in binary arithmetic, as other engines do (``round`` looks at the decimal form)."""
     scale = float(10**places)
-    # ``floor`` would give a long and saturate; the remainder stays a double.  Infinities and NaN pass.
-    moved = F.abs(x) * scale + 0.5
-    return F.nanvl(F.signum(x) * (moved - moved % 1.0) / scale, x.cast("double"))
+    # ``floor`` would give a long and saturate; the remainder stays a double.  Infinities and NaN pass.  Half isn't added
+    # before the remainder is taken: from 2 ** 52 on the sum is rounded itself, and odd numbers would go up by one.
+    moved = F.abs(x) * scale
+    part = moved % 1.0
+    return F.nanvl(F.signum(x) * (moved - part + F.when(part >= 0.5, 1.0).otherwise(0.0)) / scale, x.cast("double"))
 
 
 def no_nan(x: Column) -> Column:

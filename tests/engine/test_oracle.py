@@ -49,6 +49,21 @@ def test_all_factors_with_prices_of_zero(spark, db, tmp_path):
     assert sorted(got) == sorted(tuple(map(str, r)) for r in want)
 
 
+def test_all_factors_with_sums_of_sixteen_digits(spark, db, tmp_path):
+    # A price near 0 now and then makes returns, and the sums of their squares, large.
+    path = str(tmp_path / "events.parquet")
+    db.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 97 = 5 THEN 0.002 ELSE value END AS value) FROM '{SMALL}/events.parquet') TO '{path}'")
+    odd = duckdb.connect()
+    odd.execute("SET threads = 1")  # the order of a day's bars, which the last digits depend on
+    for t in TABLES:
+        odd.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path if t == 'events' else f'{SMALL}/{t}.parquet'}'")
+    cols = ["code", "date", "factor_name", "fac"]
+    got = [tuple(str(r[c]) for c in cols) for r in QUERIES["all_factors"](spark, str(tmp_path)).collect()]
+    want = odd.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE['all_factors']})").fetchall()
+    assert sum(2**52 <= r[3] * 1e6 < 2**53 for r in want if r[3] is not None) > 5
+    assert sorted(got) == sorted(tuple(map(str, r)) for r in want)
+
+
 def test_expanded_days_are_summed_by_kind_and_day_alone(spark, tmp_path):
     path = str(tmp_path / "orders.parquet")
     duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS o_custkey) FROM '{SMALL}/orders.parquet') TO '{path}'")

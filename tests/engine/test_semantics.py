@@ -28,6 +28,14 @@ def test_rounding_lets_large_values_and_infinities_through(spark):
     assert math.isnan(spark.range(1).select(columns.steady(F.lit(float("nan")), 2)).first()[0])
 
 
+def test_rounding_leaves_whole_numbers_of_its_unit_alone(spark):
+    # In millionths these are whole and odd, between 2 ** 52 and 2 ** 53; then the largest number below a half.
+    xs = [6271486243.774899, -7224558066.525381, 7867837064.370039, 0.49999999999999994]
+    table = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in table.select(columns.steady(F.col("x"), 6)).collect()][:3] == xs[:3]
+    assert [r[0] for r in table.select(columns.steady(F.col("x"), 0)).collect()] == [6271486244.0, -7224558067.0, 7867837064.0, 0.0]
+
+
 def test_five_bar_sums_are_averaged(spark):
     closes = [1.0]
     for r in (0.1, 0.2, 0.0, -0.1, 0.3, 0.5, -0.2):  # five, and a rest of two
