@@ -69,7 +69,7 @@ def volume_factors(bars: DataFrame) -> DataFrame:
     day, cumulated volume, and pvi, the sum of returns where volume is above the day's mean."""
     x = returned(bars).withColumn("lv", F.ln(F.col("volume") + 1e-6))
     cuts = x.groupBy("code", "date").agg(F.percentile("lv", F.lit(0.9)).alias("q9"), F.percentile("lv", F.lit(0.1)).alias("q1"), F.avg("volume").alias("mean"))
-    x = x.join(cuts, ["code", "date"]).withColumn("cum", F.sum("volume").over(day_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.join(cuts, ["code", "date"]).withColumn("cum", F.sum("volume").over(day_bars().rangeBetween(Window.unboundedPreceding, 0)))
     v, lv = F.col("volume"), F.col("lv")
     part = lambda cond: ratio(F.coalesce(F.sum(F.when(cond, lv)), F.lit(0.0)), F.sum(lv))
     return x.groupBy("code", "date").agg(

@@ -56,6 +56,12 @@ def test_a_low_of_zero_makes_the_range_infinite(spark):
     assert math.isnan(vov2([1, 2, 4, 2, 1, 2, 0]))
 
 
+def test_bars_of_one_place_share_their_cumulated_volume(spark):
+    x = bars(spark, [1, 2, 2, 4], [1, 5, 7, 9]).withColumn("seq", F.least("seq", F.lit(1)) + F.when(F.col("seq") > 2, 1).otherwise(0))
+    assert [r["seq"] for r in x.orderBy("close", "volume").collect()] == [0, 1, 1, 2]
+    assert intraday.volume_factors(x).first()["cum_mean"] == (12 + 12 + 21) / 3  # the first bar has no return
+
+
 def test_tail_shares_are_of_log_volume(spark):
     volumes = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]
     out = intraday.volume_factors(bars(spark, range(1, 13), volumes)).first()
