@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files at its end.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @lru_cache(maxsize=8)
 def _own_folder(application: str) -> str:
@@ -81,3 +87,35 @@ def kept(df: DataFrame, folder: str | None = None, version: str = "") -> DataFra
             if old.getPath().getName() != state:
                 store.delete(old.getPath(), True)
     return spark.read.schema(df.schema).parquet(f"{of_plan}/{state}")
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Writes tables between the steps of one computation, by name, and gives them back as they are read; they are removed when it ends.
+
+    When a table is written nothing reads the shuffles before it any more, and Spark may remove their files.
+    """
+    folder = f"{kept_folder(spark)}/steps-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        before = spark.conf.get(_SHUFFLE_CLEANUP)
+        spark.conf.set(_SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{folder}/{name}")
+        finally:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        yield write
+    finally:
+        home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, by a reliable checkpoint in the folder of kept tables: nothing before it is read again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(kept_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import os
 import random
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -88,6 +90,40 @@ def test_panes_equal_sorting_each_window(spark, block, days):
         assert (out[k] is None) == (v is None) and (v is None or out[k] == pytest.approx(v, rel=1e-9)), k
 
 
+@pytest.mark.parametrize("rows_a_slice", [1, 8])
+def test_slices_of_values_equal_sorting_each_window(spark, monkeypatch, rows_a_slice):
+    monkeypatch.setattr(intraday, "SLICE_ROWS", rows_a_slice)  # slices by both kinds of cells
+    r = random.Random(6)
+    price = {"x": lambda: round(r.uniform(9, 11), 2), "y": lambda: r.choice((10.0, 10.0, 12.0)), "z": lambda: math.exp(r.uniform(-5, 5))}
+    rows = [(c, DAY + dt.timedelta(d), s, p(), 11.5, 8.5, float(r.choice((0, 1, 2, 5, 5, 9, 40)))) for c, p in price.items() for d in range(9) for s in range(r.choice((1, 6, 12)))]
+    bars = spark.createDataFrame(rows, "code string, date date, seq long, close double, high double, low double, volume double").repartition(4)
+    want = q_by_definition(intraday.smart_scores(bars).toPandas(), 3, 0.2)
+    out = {(q["code"], q["date"], q["score"]): q["q"] for q in intraday.smart_money(bars, 3, 0.2, 4).collect()}
+    assert set(out) == set(want)
+    for k, v in want.items():
+        assert (out[k] is None) == (v is None) and (v is None or out[k] == pytest.approx(v, rel=1e-9)), k
+
+
+def test_no_task_of_smart_money_gets_a_window_s_bars(spark, monkeypatch, tmp_path):
+    sizes = str(tmp_path)
+
+    def watched(df, keys, fn, schema):
+        def run(g):
+            with open(f"{sizes}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(g)))
+            return fn(g)
+
+        return df.groupBy(*keys).applyInPandas(run, schema)
+
+    monkeypatch.setattr(intraday, "grouped_apply", watched)
+    r = random.Random(8)
+    rows = [("x", DAY + dt.timedelta(d), s, r.choice((9.0, 10.0, 12.0)), 12.5, 8.5, r.choice((2, 5, 9))) for d in range(4) for s in range(400)]
+    bars = spark.createDataFrame(rows, "code string, date date, seq long, close double, high double, low double, volume int")
+    assert intraday.smart_money(bars, 3, 0.2).count() == 10
+    # A window has 1200 bars; of a day's bars with the same value a task gets one row.
+    assert 0 < max(int((tmp_path / f).read_text()) for f in os.listdir(sizes)) < 100
+
+
 def test_inversions_equal_all_pairs():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 64, 65, 300):
