@@ -299,9 +299,11 @@ def smart_money(bars: DataFrame, days: int = 10, share: float = 0.2, block: int
     x = x.select("code", "seq", F.nanvl("_v", nothing).alias("_w"), "_t", F.explode(F.concat(*hit)).alias("_hit")).select("code", "seq", "_w", "_t", "_hit.*")
     run = F.sum("_w").over(Window.partitionBy("code", "_end", "score").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("_in", F.col("_bw") + run <= share * F.col("_aw"))
-    x = x.groupBy("code", F.col("_end").alias("date"), "score", *_CUT).agg(*[F.coalesce(F.sum(F.when(F.col("_in"), F.col(c))), nothing).alias(c) for c in ("_w", "_t")])
+    x = x.filter("_in").groupBy("code", "_end", "score").agg(F.sum("_w").alias("_w"), F.sum("_t").alias("_t"))
+    # Every window has a row: of none of its last cell's bars, where they are past the share.
+    x = found.join(x, ["code", "_end", "score"], "left").fillna(0.0, ["_w", "_t"])
     q = ratio(ratio(F.col("_bt") + F.col("_t"), F.col("_bw") + F.col("_w")), ratio(F.col("_at"), F.col("_aw")))
-    return x.select("code", "date", "score", q.alias("q"))
+    return x.select("code", F.col("_end").alias("date"), "score", q.alias("q"))
 
 
 def reverse_momentum(bars: DataFrame, daily: DataFrame, days: int = 20, top: int = 10, quantile: float = 15 / 16) -> DataFrame:

@@ -105,6 +105,16 @@ def test_a_write_that_failed_is_done_again(spark, tmp_path):
     assert kept.kept(spark.read.parquet(path), folder).count() == 5
 
 
+def test_tables_between_steps_go_at_the_end(spark):
+    with pytest.raises(RuntimeError), kept.steps(spark) as write:
+        rows = write(spark.range(5).repartition(2), "five")
+        (file, *_) = rows.inputFiles()
+        assert rows.count() == 5 and os.path.exists(file.removeprefix("file://"))
+        left = kept.settled(rows.filter("id > 2"))
+        raise RuntimeError
+    assert not os.path.exists(file.removeprefix("file://")) and left.count() == 2
+
+
 def test_what_a_plan_doesn_t_show_isn_t_kept(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(5).write.parquet(path)
